@@ -1 +1 @@
-"""Metrics analytics on Spark."""
+"""Column functions: time, names and labels, numbers, line formats."""

@@ -1 +1 @@
-"""Metrics analytics on Spark."""
+"""Readers, writers, and text encodings of metrics and spans."""

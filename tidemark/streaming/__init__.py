@@ -1 +1 @@
-"""Metrics analytics on Spark."""
+"""Structured Streaming forms of the metric operators."""
