@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import label, matches_all
 
+SILENCES = 10_000
 SEVERITIES = ("info", "warning", "critical", "emergency")
 
 
@@ -59,10 +60,13 @@ def counters(changes: DataFrame, by: list[str]) -> DataFrame:
 def silenced(alerts: DataFrame, silences: DataFrame, keep: bool = False) -> DataFrame:
     """Alerts that no silence ``matchers, starts_us, ends_us`` covers (or with ``keep``, those that one does).
 
-    A silence covers an alert if it is running and all its label pairs match. Silences are few; Spark broadcasts them
-    below its threshold, and otherwise they can be split by a label that all of them name.
+    A silence covers an alert if it is running and all its label pairs match. Silences are entered by hand: up to
+    ``SILENCES`` of them are broadcast, as a condition on all pairs needs; more must be given in parts, one after another.
     """
     s = silences.select("matchers", "starts_us", "ends_us")
+    if s.count() > SILENCES:
+        raise ValueError(f"more than {SILENCES} silences at once")
+    s = F.broadcast(s)
     cover = (alerts["us"] >= s["starts_us"]) & (alerts["us"] < s["ends_us"]) & matches_all(s["matchers"], alerts["labels"])
     return alerts.join(s, cover, "left_semi" if keep else "left_anti")
 
@@ -73,10 +77,11 @@ def inhibited(alerts: DataFrame, source: Column, target: Column, equal: list[str
     Sources are reduced to two fingerprints a label set (the least and the greatest), which decide the same, so the equi
     join can't multiply rows.
     """
-    keys = [label(F.col("labels"), k).alias(f"_k{i}") for i, k in enumerate(equal)]
-    names = [f"_k{i}" for i in range(len(equal))]
+    keys = [label(F.col("labels"), k).alias(f"_k{i}") for i, k in enumerate(equal)] or [F.lit("").alias("_k0")]
+    names = [f"_k{i}" for i in range(max(1, len(equal)))]
     sources = alerts.where(source & (F.col("state") == "firing")).groupBy(*keys).agg(F.min("fingerprint").alias("_low"), F.max("fingerprint").alias("_high"))
-    joined = alerts.select("*", *keys).join(sources, names, "left") if names else alerts.crossJoin(sources)
+    sources = sources if equal else F.broadcast(sources)  # one row at most
+    joined = alerts.select("*", *keys).join(sources, names, "left")
     blocked = target & F.col("_low").isNotNull() & ((F.col("_low") != F.col("fingerprint")) | (F.col("_high") != F.col("fingerprint")))
     return joined.where(~F.coalesce(blocked, F.lit(False))).drop(*names, "_low", "_high")
 
