@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.labels import label, matches_all
+from ..functions.labels import label
 
 SILENCES = 10_000
 SEVERITIES = ("info", "warning", "critical", "emergency")
@@ -63,12 +63,22 @@ def silenced(alerts: DataFrame, silences: DataFrame, keep: bool = False) -> Data
     A silence covers an alert if it is running and all its label pairs match. Silences are entered by hand: up to
     ``SILENCES`` of them are broadcast, as a condition on all pairs needs; more must be given in parts, one after another.
     """
-    s = silences.select("matchers", "starts_us", "ends_us")
-    if s.count() > SILENCES:
+    if silences.count() > SILENCES:
         raise ValueError(f"more than {SILENCES} silences at once")
-    s = F.broadcast(s)
-    cover = (alerts["us"] >= s["starts_us"]) & (alerts["us"] < s["ends_us"]) & matches_all(s["matchers"], alerts["labels"])
-    return alerts.join(s, cover, "left_semi" if keep else "left_anti")
+    wanted, absent = _pairs(F.col("matchers"))
+    s = F.broadcast(silences.select("starts_us", "ends_us", wanted.alias("_wanted"), absent.alias("_absent")))
+    pairs, _ = _pairs(F.col("labels"))
+    named = F.map_keys(F.map_filter("labels", lambda _, v: v != ""))
+    a = alerts.withColumns({"_pairs": pairs, "_named": named})
+    cover = (a["us"] >= s["starts_us"]) & (a["us"] < s["ends_us"]) & (F.size(F.array_except(s["_wanted"], a["_pairs"])) == 0) & ~F.arrays_overlap(s["_absent"], a["_named"])
+    return a.join(s, cover, "left_semi" if keep else "left_anti").drop("_pairs", "_named")
+
+
+def _pairs(labels: Column) -> tuple[Column, Column]:
+    """Label pairs with a value as texts, and the keys of those without, which stand for missing labels."""
+    entries = F.map_entries(labels)
+    full = F.transform(F.filter(entries, lambda e: e["value"] != ""), lambda e: F.concat(e["key"], F.lit("\x01"), e["value"]))
+    return full, F.transform(F.filter(entries, lambda e: e["value"] == ""), lambda e: e["key"])
 
 
 def inhibited(alerts: DataFrame, source: Column, target: Column, equal: list[str]) -> DataFrame:
