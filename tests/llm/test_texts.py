@@ -149,7 +149,7 @@ def test_line_dedup(spark, monkeypatch, few):
     assert linededup.drop_boilerplate(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op4_source_mix", "op5_warc", "op6_line_dedup"])
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_queries_match_sql(spark, name):
     con = duck()
     got, want = queries.QUERIES[name](spark, SF), con.sql(queries.ORACLE_SQL[name])

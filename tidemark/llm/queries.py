@@ -119,4 +119,43 @@ SELECT doc_id, len(lines)::BIGINT AS n_lines, (len(lines) - len(kept))::BIGINT A
 FROM k
 """
 
-ORACLE_SQL = {"op4_source_mix": OP4_SQL, "op5_warc": OP5_SQL, "op6_line_dedup": OP6_SQL}
+OP1_SQL = """
+WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+r AS (SELECT a AS node, a AS seen FROM l UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.seen),
+c AS (SELECT node, min(seen) AS component FROM r GROUP BY node),
+n AS (SELECT a, count(*) AS links FROM l GROUP BY a)
+SELECT vec_id, coalesce(links, 0)::BIGINT AS n_links, coalesce(component, vec_id) AS component_id, vec_id = coalesce(component, vec_id) AS kept
+FROM embeddings LEFT JOIN n ON vec_id = n.a LEFT JOIN c ON vec_id = node
+"""
+
+
+def _op8_sql(rounds: int = 12, damping: float = 0.85) -> str:
+    """The verdicts with a step of the propagation in each of ``rounds`` expressions."""
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in urlfilter.RULES)
+    link = urlfilter.LINK.replace("'", "''")
+    steps = []
+    for name, seed, source, to in (("t", "good", "src", "dst"), ("d", "bad", "dst", "src")):
+        steps.append(f"{name}e AS (SELECT {source} AS a, {to} AS b, n / sum(n) OVER (PARTITION BY {source}) * {damping}::DOUBLE AS part FROM edges)")
+        steps.append(f"{name}0 AS (SELECT host, {seed} * {1 - damping}::DOUBLE AS rank FROM seeds WHERE {seed} > 0)")
+        for i in range(rounds):
+            steps.append(f"{name}{i + 1} AS (SELECT host, sum(rank) AS rank FROM (SELECT * FROM {name}0 UNION ALL SELECT b, part * rank FROM {name}e JOIN {name}{i} ON a = host) GROUP BY host)")
+    return rf"""
+WITH p AS (SELECT page_id, html, {lower.format("coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '')")} AS host, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+r(verdict, h, s) AS (VALUES {rules}),
+hosts AS (SELECT DISTINCT host FROM p WHERE host <> ''),
+fits AS (SELECT host, verdict, s, h || s AS rule FROM hosts JOIN r ON host = h OR ends_with(host, '.' || h)),
+best AS (SELECT DISTINCT ON (p.host, p.path) p.host, p.path, rule, verdict FROM (SELECT DISTINCT host, path FROM p) p JOIN fits ON p.host = fits.host AND starts_with(p.path, s) ORDER BY p.host, p.path, length(rule) DESC, rule),
+j AS (SELECT p.page_id, p.host, p.path, rule, verdict FROM p LEFT JOIN best USING (host, path)),
+seeds AS (SELECT host, count(*) FILTER (WHERE verdict = 'allow')::DOUBLE AS good, count(*) FILTER (WHERE verdict = 'block')::DOUBLE AS bad FROM j WHERE verdict IS NOT NULL GROUP BY host),
+links AS (SELECT host AS src, {lower.format("regexp_replace(x, '^(?i:https?:)?//', '')")} AS dst FROM (SELECT host, unnest(list_distinct(regexp_extract_all(html, '{link}', 1))) AS x FROM p WHERE host <> '')),
+edges AS (SELECT src, dst, count(*) AS n FROM links WHERE src <> dst AND dst <> '' GROUP BY ALL),
+{", ".join(steps)}
+SELECT page_id, j.host AS host, path, rule, coalesce(verdict, CASE WHEN coalesce(d{rounds}.rank, 0) > coalesce(t{rounds}.rank, 0) THEN 'block' ELSE 'allow' END) AS verdict
+FROM j LEFT JOIN t{rounds} ON t{rounds}.host = j.host LEFT JOIN d{rounds} ON d{rounds}.host = j.host
+"""
+
+
+ORACLE_SQL = {"op1_embedding_near_dedup": OP1_SQL, "op4_source_mix": OP4_SQL, "op5_warc": OP5_SQL, "op6_line_dedup": OP6_SQL, "op8_url_filter": _op8_sql()}
