@@ -454,11 +454,11 @@ def cooldown(spark, sf_dir):
 
 
 @query(f"""WITH {{m}}, {ALERTS}, f AS (SELECT name, id, us, fingerprint AS text FROM a WHERE severity = 'critical'),
-p AS (SELECT a.id AS a, b.id AS b, 1 - levenshtein(a.text, b.text) / greatest(length(a.text), length(b.text), 1) AS similarity FROM f a JOIN f b ON a.name = b.name AND b.us >= a.us AND b.us - a.us <= {DAY} AND (b.us > a.us OR b.id > a.id))
+p AS (SELECT a.id AS a, b.id AS b, 1 - levenshtein(a.text, b.text) / greatest(length(a.text), length(b.text), 1) AS similarity FROM f a JOIN f b ON a.name = b.name AND b.us >= a.us AND b.us - a.us <= {10 * DAY} AND (b.us > a.us OR b.id > a.id))
 SELECT a, b, round(similarity, 6) AS similarity FROM p WHERE similarity >= 0.85""")
 def similar_alerts(spark, sf_dir):
     a = alerts(spark, sf_dir).where("severity = 'critical'").withColumnRenamed("fingerprint", "text")
-    return rounded(AL.similar_alerts(a, DAY), "similarity")
+    return rounded(AL.similar_alerts(a, 10 * DAY), "similarity")
 
 
 # --- health and traces ----------------------------------------------------------------------------------------------
