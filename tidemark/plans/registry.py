@@ -11,11 +11,11 @@ from ..functions import labels as L
 from ..functions.times import micros
 from ..operators import aggregates as A
 from ..operators import alerts as AL
-from ..operators import folds, graphs, ordering
+from ..operators import buffers, derived, folds, graphs, ordering
 from ..operators import series as S
 from ..operators import triggers as T
 from ..sources import encoders as E
-from ..sources import storage
+from ..sources import collectors, storage
 from ..streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -625,6 +625,97 @@ def active_collectors(spark, sf_dir):
     return ordering.active_collectors(p, "p_brand", "p_size", "p_partkey", "cpu").select("p_brand", "p_partkey", "place")
 
 
+# --- derived metrics and buffers ------------------------------------------------------------------------------------
+
+
+@query("""SELECT user_id, event_id, 'critical' AS level, 'cpu' AS name, least(100, value) AS value FROM events WHERE least(100, value) >= 90 UNION ALL SELECT user_id, event_id, 'warning', 'cpu', value FROM events WHERE value >= 75 AND value < 90
+UNION ALL SELECT user_id, event_id, CASE WHEN event_id % 101 >= 95 THEN 'critical' ELSE 'warning' END, 'memory', (event_id % 101)::DOUBLE FROM events WHERE event_id % 101 >= 80""")
+def resource_findings(spark, sf_dir):
+    e = read(spark, sf_dir, "events").withColumns({"cpu": F.least(F.lit(100.0), "value"), "memory": F.col("event_id") % 101})
+    return derived.findings(derived.melted(e, ["user_id", "event_id"], {"cpu": "cpu", "memory": "memory"}))
+
+
+@query("""WITH p AS (SELECT p_partkey, p_size / 50 AS saturation, (p_partkey % 100) / 100 AS utilisation, (p_partkey % 13) / 100 AS failures, p_retailprice * 3 AS wait_ms FROM part),
+i AS (SELECT p_partkey, list_filter([CASE WHEN saturation >= 0.9 THEN 'saturation:critical' WHEN saturation >= 0.7 THEN 'saturation:warning' END, CASE WHEN utilisation >= 0.9 THEN 'utilisation:critical' WHEN utilisation < 0.2 THEN 'utilisation:low' END,
+  CASE WHEN failures >= 0.1 THEN 'failures:critical' WHEN failures >= 0.05 THEN 'failures:warning' END, CASE WHEN wait_ms >= 5000 THEN 'wait_ms:critical' WHEN wait_ms >= 1000 THEN 'wait_ms:warning' END], lambda x: x IS NOT NULL) AS x FROM p)
+SELECT p_partkey, array_to_string(x, ',') AS issues, CASE WHEN len(list_filter(x, lambda y: ends_with(y, 'critical'))) > 0 THEN 'unhealthy' WHEN len(x) > 0 THEN 'degraded' ELSE 'healthy' END AS health FROM i""")
+def pool_health(spark, sf_dir):
+    p = read(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") / 50).alias("saturation"), (F.col("p_partkey") % 100 / 100).alias("utilisation"), (F.col("p_partkey") % 13 / 100).alias("failures"), (F.col("p_retailprice") * 3).alias("wait_ms"))
+    return derived.pool_issues(p).select("p_partkey", F.array_join("issues", ",").alias("issues"), "health")
+
+
+@query("""WITH v AS (SELECT p_brand, p_name || p_partkey AS name, p_size AS used, 60 AS total, 100 * (p_size / 60) AS use FROM part)
+SELECT p_brand, sum(used)::BIGINT AS used, sum(total)::BIGINT AS total, round(avg(use), 6) AS mean_use, round(max(use), 6) AS max_use, arg_min(name, (-use, name)) AS fullest FROM v GROUP BY p_brand""")
+def volume_totals(spark, sf_dir):
+    v = read(spark, sf_dir, "part").select("p_brand", F.concat("p_name", F.col("p_partkey").cast("string")).alias("name"), F.col("p_size").alias("used"), F.lit(60).alias("total"))
+    return rounded(derived.totals(v, ["p_brand"], "used", "total", "name"), "mean_use", "max_use")
+
+
+@query("SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS click, count(*) FILTER (WHERE event_type = 'error') AS error, count(*) FILTER (WHERE event_type = 'view') AS view, count(*) AS total FROM events GROUP BY user_id")
+def counts_by_kind(spark, sf_dir):
+    return derived.counts_by_kind(read(spark, sf_dir, "events"), ["user_id"], "event_type", ["click", "error", "view"])
+
+
+@query("""WITH l AS (SELECT event_type AS c, user_id % 20 AS k, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY ALL) SELECT c || '.' || k AS name, value FROM l UNION ALL SELECT c || '.metric_count', count(*)::DOUBLE FROM l GROUP BY c""")
+def component_merge(spark, sf_dir):
+    e = read(spark, sf_dir, "events").withColumn("key", (F.col("user_id") % 20).cast("string"))
+    return derived.merged_components(e, "event_type", ["ts", "event_id"])
+
+
+@query("SELECT o_orderpriority, count(*) AS attempts, round(avg((o_orderstatus <> 'F')::INT), 6) AS success_rate, round(avg((o_orderstatus = 'F')::INT), 6) AS failure_rate, round(sum(o_totalprice) / count(*), 4) AS mean_size FROM orders GROUP BY 1")
+def transaction_ratios(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").withColumn("ok", F.col("o_orderstatus") != "F")
+    return rounded(rounded(derived.ratios(o, ["o_orderpriority"], "ok", "o_totalprice"), "success_rate", "failure_rate"), "mean_size", digits=4)
+
+
+@query(f"""WITH l AS (SELECT event_type AS level, epoch_us(ts) AS us, length(props) AS bytes, CASE event_type WHEN 'error' THEN 480 WHEN 'click' THEN 24 WHEN 'view' THEN 120 ELSE 0 END AS h FROM events)
+SELECT level, count(*) FILTER (WHERE us >= {T0 + 29 * DAY} - h * {HOUR}) AS kept, count(*) FILTER (WHERE us < {T0 + 29 * DAY} - h * {HOUR}) AS expired, coalesce(sum(bytes) FILTER (WHERE us >= {T0 + 29 * DAY} - h * {HOUR}), 0)::BIGINT AS kept_bytes FROM l GROUP BY level""")
+def log_storage(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select(F.col("event_type").alias("level"), micros(F.col("ts")).alias("us"), F.length("props").alias("bytes"))
+    return derived.log_storage(e, {"error": 480, "click": 24, "view": 120}, T0 + 29 * DAY)
+
+
+@query("""WITH v AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type ELSE value::VARCHAR END AS t FROM events), d AS (SELECT event_id, coalesce(try_cast(t AS DOUBLE), 0) AS x FROM v) SELECT event_id, x AS as_double, trunc(x)::BIGINT AS as_long, printf('%.6f', x) AS as_text FROM d""")
+def variant_coercions(spark, sf_dir):
+    t = F.when(F.col("event_id") % 3 == 0, F.col("event_type")).otherwise(F.col("value").cast("string"))
+    return read(spark, sf_dir, "events").select("event_id", *[c.alias(n) for n, c in derived.coerced(t).items()])
+
+
+@query(f"""WITH {{m}}, b AS (SELECT name, 'size' AS kind, ((row_number() OVER (PARTITION BY name ORDER BY us, row_id) - 1) // 64)::VARCHAR AS batch FROM m UNION ALL SELECT name, 'time', (us // {6 * HOUR})::VARCHAR FROM m
+  UNION ALL SELECT name, 'priority', coalesce(sum((row_id % 16 = 15)::INT) OVER (PARTITION BY name ORDER BY us, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::VARCHAR FROM m), c AS (SELECT kind, name, batch, count(*) AS n FROM b GROUP BY ALL)
+SELECT kind, name, count(*) AS flushes, sum(n)::BIGINT AS rows, round(avg(n), 6) AS mean_rows, round(avg(n) / 64, 6) AS efficiency, count(*) FILTER (WHERE n >= 64) AS full FROM c GROUP BY kind, name""")
+def buffer_flushes(spark, sf_dir):
+    m, order = metrics(spark, sf_dir), ["us", "row_id"]
+    parts = {"size": buffers.by_size(m, "name", order, 64), "time": buffers.by_time(m, 6 * HOUR), "priority": buffers.by_priority(m.withColumn("p", F.col("row_id") % 16), "name", order, "p", 15)}
+    rows = [df.select(F.lit(k).alias("kind"), "name", F.col("batch").cast("string").alias("batch")) for k, df in parts.items()]
+    return rounded(buffers.statistics(storage.collected(*rows), ["kind", "name"], 64), "mean_rows", "efficiency")
+
+
+@query("""WITH {m}, a AS (SELECT name, row_id FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY us DESC, row_id DESC) AS p FROM m) WHERE p <= 50), b AS (SELECT name, row_id FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY us, row_id) AS p FROM m) WHERE p <= 50)
+SELECT 'drop_oldest' AS policy, * FROM a UNION ALL SELECT 'drop_newest', * FROM b""")
+def overflow_policies(spark, sf_dir):
+    m = metrics(spark, sf_dir)
+    kept = [buffers.kept(m, ["name"], ["us", "row_id"], 50, p).select(F.lit(p).alias("policy"), "name", "row_id") for p in ("drop_oldest", "drop_newest")]
+    return storage.collected(*kept)
+
+
+@query("WITH RECURSIVE r AS (SELECT 0 AS i UNION ALL SELECT i + 1 FROM r WHERE i < 99) SELECT 'ramp' AS name, (i * 1000000)::BIGINT AS us, i::DOUBLE AS value FROM r")
+def collector_source(spark, sf_dir):
+    return collectors.collect(spark, "tidemark.sources.collectors:ramp", 4, rows="100")
+
+
+@query(f"""WITH {{m}}, {ALERTS} SELECT id, '[' || upper(severity) || '] ' || name || ' is firing (value ' || printf('%.2f', value) || ')' AS text FROM a""")
+def alert_text(spark, sf_dir):
+    a = alerts(spark, sf_dir)
+    return a.select("id", E.alert_text(F.col("name"), F.col("severity"), F.col("state"), F.col("value")).alias("text"))
+
+
+@query(f"""WITH {{m}}, {ALERTS}, d AS (SELECT *, us - lag(us) OVER (PARTITION BY name, k ORDER BY us, id) AS gap FROM a) SELECT name, k, count(*) AS alerts, count(*) FILTER (WHERE gap IS NULL OR gap >= {DAY}) AS first_in_window FROM d GROUP BY ALL""")
+def time_window_dedup(spark, sf_dir):
+    a = T.absences(alerts(spark, sf_dir).withColumn("key", F.struct("name", F.col("labels")["k"].alias("k"))), "key", ["us", "id"], DAY - 1)
+    return a.groupBy("key.name", "key.k").agg(F.count("*").alias("alerts"), F.count_if(F.col("gap_us").isNull() | F.col("absent")).alias("first_in_window"))
+
+
 # --- streams --------------------------------------------------------------------------------------------------------
 
 
