@@ -52,11 +52,30 @@ def condition(tree: dict, column=lambda name: F.col(name)) -> Column:
     return text[op]() if op in text else compared(field, op, value)
 
 
+def time_slices(df: DataFrame, span_us: int, slices: int = 16) -> DataFrame:
+    """Adds ``_slice``, so that windows over ``span_us`` can be partitioned by it too, and one key fills many tasks.
+
+    A slice is ``slices`` spans long; rows in the last span of one also come, with ``_own`` false, into the next, so a
+    frame that looks back one span finds all its rows there. Rows that are not their own are dropped after the window.
+    """
+    width = span_us * slices
+    at = F.floor(F.col("us") / width)
+    late = F.col("us") >= (at + 1) * width - span_us
+    places = F.when(late, F.array(F.struct(at.alias("s"), F.lit(True).alias("o")), F.struct((at + 1).alias("s"), F.lit(False).alias("o")))).otherwise(F.array(F.struct(at.alias("s"), F.lit(True).alias("o"))))
+    return df.withColumn("_place", F.explode(places)).withColumns({"_slice": F.col("_place.s"), "_own": F.col("_place.o")}).drop("_place")
+
+
+def own_rows(df: DataFrame) -> DataFrame:
+    return df.where("_own").drop("_slice", "_own")
+
+
 def moving(df: DataFrame, by: str, span_us: int, value: str = "value") -> DataFrame:
-    """Count, sum, mean, extremes and rows a whole second over the time before each row, by event time."""
-    w = W.partitionBy(by).orderBy("us").rangeBetween(-span_us, 0)
+    """Count, sum, mean, extremes and rows a whole second over the time before each row, by event time, in time slices."""
+    w = W.partitionBy(by, "_slice").orderBy("us").rangeBetween(-span_us, 0)
+    df = time_slices(df, span_us)
     seconds = F.floor((F.max("us").over(w) - F.min("us").over(w)) / 1_000_000)
-    return df.withColumns({"m_count": F.count(value).over(w), "m_sum": F.sum(value).over(w), "m_mean": F.avg(value).over(w), "m_min": F.min(value).over(w), "m_max": F.max(value).over(w), "m_rate": guarded(F.count(value).over(w).cast("double"), seconds)})
+    out = df.withColumns({"m_count": F.count(value).over(w), "m_sum": F.sum(value).over(w), "m_mean": F.avg(value).over(w), "m_min": F.min(value).over(w), "m_max": F.max(value).over(w), "m_rate": guarded(F.count(value).over(w).cast("double"), seconds)})
+    return own_rows(out)
 
 
 def outliers(df: DataFrame, by: str, order: list[str], k: float = 3.0, more_than: int = 10) -> DataFrame:
@@ -87,15 +106,15 @@ def absences(df: DataFrame, by: str, order: list[str], longer_us: int) -> DataFr
 
 
 def slopes(df: DataFrame, by: str, window_us: int, threshold: float, direction: str = "either", least: int = 2) -> DataFrame:
-    """The least-squares slope over the last ``window_us``, as change in a window, and whether it exceeds a threshold."""
-    w = W.partitionBy(by).orderBy("us").rangeBetween(-window_us, 0)
-    # times relative to the row keep the sums small
+    """The least-squares slope over the last ``window_us``, as change in a window, and whether it exceeds a threshold; in time slices."""
+    w = W.partitionBy(by, "_slice").orderBy("us").rangeBetween(-window_us, 0)
+    df = time_slices(df, window_us)
     x, y = (F.col("us") / 1000.0), F.col("value")
     n = F.count(y).over(w)
     spread = F.var_pop(x).over(w)
     slope = F.when((n >= least) & (spread > 1e-10), F.covar_pop(x, y).over(w) / spread).otherwise(0.0) * (window_us / 1000.0)
     hit = {"either": F.abs(F.col("change")) > threshold, "increasing": F.col("change") > threshold, "decreasing": F.col("change") < -threshold}[direction]
-    return df.withColumn("change", slope).withColumn("fast", hit)
+    return own_rows(df.withColumn("change", slope).withColumn("fast", hit))
 
 
 def smoothed(df: DataFrame, by: str, order: list[str], alpha: float = 0.7, last: int = 64) -> DataFrame:
