@@ -11,6 +11,8 @@ from .common import checkpointed
 
 #: (verdict, host, path): the rules of the production query.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
+#: Up to this many hosts, with their few rules and two ranks each, are broadcast.
+BROADCAST_HOSTS = 50_000
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?\s*((?:https?:)?//[^/?#"'\s>]+)"""
 
@@ -53,6 +55,14 @@ def propagate(edges: DataFrame, seeds: DataFrame, source: str, to: str, damping:
     return rank
 
 
+def with_hosts(pages: DataFrame, hosts: DataFrame, how: str, salt: int = 64) -> DataFrame:
+    """Pages joined to one row a host: broadcast if the hosts are counted as few, else salted, so no host fills one task."""
+    if hosts.count() <= BROADCAST_HOSTS:
+        return pages.join(F.broadcast(hosts), "host", how)
+    salted = pages.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(salt)).cast("int"))
+    return salted.join(hosts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))), ["host", "salt"], how).drop("salt")
+
+
 def judge(
     df: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", damping: float = 0.85, rounds: int = 12, ratio: float = 1.0,
 ) -> DataFrame:
@@ -62,8 +72,8 @@ def judge(
     in code-point order). Without a rule the host decides: trust is personalised PageRank along links from hosts with
     allowed pages, distrust the same against links from hosts with blocked pages, both seeded by numbers of pages; a
     host is blocked if its distrust exceeds ``ratio`` times its trust, else allowed. Rules are joined to the distinct
-    hosts' suffixes, and the hosts' few rules and ranks to the pages, so rule lists may be long, and a hot host is one
-    row until that last join.
+    hosts' suffixes, so rule lists may be long, and the hosts' few rules and ranks to the pages by a broadcast of a
+    checked size or a salted join, so a hot host's pages stay spread.
 
     Null URLs and URLs without ``://`` have empty host and path, match no rule and are allowed. Null html has no links.
     Repeated rows are judged alike. Empty tables give empty results; other columns are ignored.
@@ -77,8 +87,9 @@ def judge(
     ends = F.explode(F.transform(F.sequence(F.lit(1), F.size(names)), lambda i: F.array_join(F.slice(names, i, F.size(names)), ".")))
     fits = hosts.where("host <> ''").select("host", ends.alias("end")).join(table, "end")
     lists = fits.groupBy("host").agg(F.array_sort(F.collect_list(F.struct((-F.col("length")).alias("length"), "rule", "start", "verdict"))).alias("rules"))
+    lists = checkpointed(lists)
     hit = F.try_element_at(F.filter("rules", lambda r: F.startswith(F.col("path"), r["start"])), F.lit(1))
-    ruled = pages.join(lists, "host").withColumn("hit", hit)
+    ruled = with_hosts(pages, lists, "inner").withColumn("hit", hit)
     counts = ruled.where("hit is not null").groupBy("host").agg(
         F.sum(F.when(F.col("hit.verdict") == "allow", 1.0).otherwise(0.0)).alias("good"), F.sum(F.when(F.col("hit.verdict") == "block", 1.0).otherwise(0.0)).alias("bad"))
     counts = checkpointed(counts)
@@ -87,9 +98,9 @@ def judge(
     trust = propagate(edges, counts.where("good > 0").select("host", F.col("good").alias("seed")), "src", "dst", damping, rounds)
     distrust = propagate(edges, counts.where("bad > 0").select("host", F.col("bad").alias("seed")), "dst", "src", damping, rounds)
     ranks = trust.withColumnRenamed("rank", "trust").join(distrust.withColumnRenamed("rank", "distrust"), "host", "full")
-    known = lists.join(ranks, "host", "full")
+    known = checkpointed(lists.join(ranks, "host", "full"))
     zero = F.lit(0.0)
-    out = pages.join(known, "host", "left").withColumns({"trust": F.coalesce("trust", zero), "distrust": F.coalesce("distrust", zero)})
+    out = with_hosts(pages, known, "left").withColumns({"trust": F.coalesce("trust", zero), "distrust": F.coalesce("distrust", zero)})
     out = out.withColumn("hit", hit)
     method = F.when(F.col("distrust") > ratio * F.col("trust"), "block").otherwise("allow")
     return out.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", method).alias("verdict"), "trust", "distrust")
