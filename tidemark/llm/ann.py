@@ -54,7 +54,7 @@ def traverse(first: np.ndarray, second: np.ndarray, counts: np.ndarray, wanted:
 
 def nearest_neighbours(
     df: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", centroids: int = 64,
-    probe: float = 0.6, floor: int = 5000, sample: int = 20_000, block: int = 8192, query_block: int = 2048,
+    probe: float = 0.6, floor: int = 5000, sample: int = 20_000, block: int | None = None, query_block: int = 2048,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row that ``queries`` selects, its ``k`` nearest other rows found.
 
@@ -62,8 +62,8 @@ def nearest_neighbours(
     smallest id hashes; every row is indexed under its pair of centres. A query walks the pairs by summed distance with
     a heap until they hold the fraction ``probe`` of all rows, and ``floor`` rows at least; then the entries of those
     cells are reranked by Euclidean distance of the original vectors in double precision. Cells lie in blocks of about
-    ``block`` entries (a larger cell fills several), queries in blocks of ``query_block``; each task compares two blocks
-    and returns ``k`` rows for each query. Of equal vectors only the ``k + 1`` with the smallest ids are entries: no more
+    ``block`` entries (a larger cell fills several; by default a 128th of the rows, 512 to 262,144), queries in blocks of
+    ``query_block``; two blocks are compared at a time, which gives ``k`` rows for each query. Of equal vectors only the ``k + 1`` with the smallest ids are entries: no more
     can be among the nearest, so nothing is lost.
 
     Vectors that are null, zero, hold null or non-finite components, or differ in length from the most common length
@@ -95,6 +95,7 @@ def nearest_neighbours(
     counts = np.zeros(len(parts[0][1]) * width, dtype=np.int64)
     for cell, n in entries.groupBy("cell").count().collect():  # at most centroids squared rows
         counts[cell] = n
+    block = block or int(min(262_144, max(512, counts.sum() // 128)))
     splits = np.maximum(1, -(-counts // block))
     whole = np.where(splits > 1, 0, counts)
     first = np.cumsum(whole) // block  # small cells share blocks

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import string
 from array import array
 
 import ahocorasick
@@ -14,16 +15,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .common import each
+
 #: Where a text may be cut without changing its tokens: white space ends every pre-token.
 BLANK = re.compile("[ \t\n\r\f\v]+")
 ODD_BLANK = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Chunks of these characters need no normaliser but lower(): they are composed and map one to one.
 PLAIN = re.compile("[\x21-\x7eÀ-ÖØ-öø-įı-ňŊ-ſ]+")
+MARKS = ".,;:!?"
 PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-z0-9ß-öø-ſ]+")
+#: Later than any merge.
+NEVER = 1 << 40
+#: Pairs of tokens whose compatibility a worker keeps.
+PAIRS = 250_000
 #: Added to the code of a word's last character, which the vocabulary marks with its suffix.
 LAST = 0x1000
-#: Chunks of text kept by a worker; beyond that it starts anew.
-KEPT = 400_000
+#: Chunks, and pre-tokens, that a worker keeps.
+KEPT = 200_000
 
 
 def _byte_letters() -> dict[int, int]:
@@ -47,10 +55,16 @@ class PreTokens:
             self.spec = json.load(f)
         added = sorted(((t["content"], t["id"]) for t in self.spec["added_tokens"]), key=lambda x: -len(x[0]))
         self.added = dict(added)
+        self.quick = all(set(t) - set(string.ascii_letters + MARKS) for t in self.added)
         self.special = re.compile("(" + "|".join(re.escape(t) for t, _ in added) + ")") if added else None
 
     def split(self, chunk: str) -> list[str | int]:
         """Byte-level pre-tokens; the strings of special tokens become their ids."""
+        if chunk.isascii() and self.quick:  # most chunks: letters, with or without a mark behind them
+            if chunk.isalpha():
+                return [chunk.lower()]
+            if chunk[-1] in MARKS and chunk[:-1].isalpha():
+                return [chunk[:-1].lower(), chunk[-1]]
         if self.special is None or not self.special.search(chunk):
             return self.words(chunk)
         out: list[str | int] = []
@@ -93,6 +107,10 @@ class PrefixEncoder:
             self.rank.setdefault((a, b), r)
             if self.formed[i] < 0:
                 self.left[i], self.right[i], self.formed[i], text[i] = a, b, r, text[a] + text[b]
+        self.after: dict[int, dict[int, int]] = {}
+        for (a, b), r in self.rank.items():
+            self.after.setdefault(a, {})[b] = r
+        self.ends, self.starts = [()] * size, [()] * size
         self.known: dict[int, bool] = {}
         self.mark = LAST if suffix else 0
         self.unknown = {c for c in map(chr, BYTE_LETTERS.values()) if c not in vocab or (suffix and c + suffix not in vocab)}
@@ -104,23 +122,27 @@ class PrefixEncoder:
                 self.automaton.add_word(t, (i, len(t)))
         self.automaton.make_automaton()
 
-    def compatible(self, a: int, b: int) -> bool:
+    def border(self, a: int, b: int) -> bool:
         """Whether the BPE encoding of the two tokens' joined strings is just these two tokens."""
-        ok, x, used_x = True, a, 1 << 40
-        while x >= 0 and ok:
-            y, used_y = b, 1 << 40
-            while y >= 0:
-                r = self.rank.get((x, y))
-                if r is not None and r < used_x and r <= used_y:  # equal ranks merge from the left
-                    ok = False
-                    break
-                y, used_y = self.left[y], self.formed[y]
-            x, used_x = self.right[x], self.formed[x]
-        if len(self.known) >= 500_000:
+        ends, starts = self.ends[a] or self.spine(a, self.right, self.ends), self.starts[b] or self.spine(b, self.left, self.starts)
+        ok = not any((r := merges.get(y, NEVER)) < used_x and r <= used_y for merges, used_x in ends for y, used_y in starts)  # equal ranks merge from the left
+        if len(self.known) >= PAIRS:
             self.known.clear()
         self.known[a << 32 | b] = ok
         return ok
 
+    def spine(self, token: int, side: list[int], kept: list) -> tuple:
+        """Tokens at one border of a token's merge tree, from itself inwards, each with the rank of the merge that uses it up."""
+        out, x, used = [], token, NEVER
+        while x >= 0:
+            if side is self.left:
+                out.append((x, used))
+            elif x in self.after:
+                out.append((self.after[x], used))
+            x, used = side[x], self.formed[x]
+        kept[token] = tuple(out)
+        return kept[token]
+
     def stands(self, i: int) -> bool:
         """Whether a token's own string encodes to it: nothing across the border of its two parts merges before them."""
         x, used_x = self.left[i], 1 << 40
@@ -149,7 +171,7 @@ class PrefixEncoder:
                 last[end], size[end] = token, length
             elif (before := last[end - length]) >= 0:
                 ok = known.get(before << 32 | token)
-                if self.compatible(before, token) if ok is None else ok:
+                if self.border(before, token) if ok is None else ok:
                     last[end], size[end] = token, length
         out = []
         while n:
@@ -158,15 +180,32 @@ class PrefixEncoder:
         return out[::-1]
 
 
-class Chunks(dict):
-    """Ids of chunks between white space, made when first asked for; starts anew when it has ``KEPT`` of them."""
+class Words(dict):
+    """Ids of pre-tokens, made when first asked for; starts anew when it has ``KEPT`` of them."""
 
     def __init__(self, encode):
         super().__init__()
         self.encode = encode
 
+    def __missing__(self, word: str) -> bytes:
+        ids = array("I", self.encode(word)).tobytes()
+        if len(word) <= 200:
+            if len(self) >= KEPT:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
+class Chunks(dict):
+    """Ids of chunks between white space, from those of their pre-tokens, which many chunks share; bounded alike."""
+
+    def __init__(self, pre: PreTokens, encode):
+        super().__init__()
+        self.pre, self.words = pre, Words(encode)
+
     def __missing__(self, chunk: str) -> bytes:
-        ids = self.encode(chunk)
+        words = self.words
+        ids = b"".join([words[w] if w.__class__ is str else array("I", [w]).tobytes() for w in self.pre.split(chunk) if w != ""])
         if len(chunk) <= 200:
             if len(self) >= KEPT:
                 self.clear()
@@ -196,7 +235,7 @@ class Codec:
     def __init__(self, path: str):
         self.pre = PreTokens(path)
         self.words = PrefixEncoder(self.pre.spec)
-        self.chunks = Chunks(self.chunk)
+        self.chunks = Chunks(self.pre, self.words.encode)
         names = {i: t for t, i in self.pre.spec["model"]["vocab"].items()} | {i: t for t, i in self.pre.added.items()}
         self.names = [names.get(i, "") for i in range(max(names) + 1)]
 
@@ -207,15 +246,6 @@ class Codec:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def chunk(self, text: str) -> bytes:
-        ids: list[int] = []
-        for w in self.pre.split(text):
-            if isinstance(w, int):
-                ids.append(w)
-            elif w:
-                ids += self.words.encode(w)
-        return array("I", ids).tobytes()
-
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         return self.chunks.text(text)
@@ -231,9 +261,16 @@ def bpe_encode(text: Column, path: str) -> Column:
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
         codec = Codec.of(path)
-        return _lists([codec.encode(t) if t else b"" for t in texts.to_pylist()])
+        flat, lengths = bytearray(), []
+        for t in each(texts):
+            ids = codec.encode(t) if t else b""
+            lengths.append(len(ids) // 4)
+            flat += ids
+        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(flat, dtype="<i4")))
 
-    return encode(text)
+    # else Spark would put the call into every expression that uses its result, and encode each text again for each
+    return encode.asNondeterministic()(text)
 
 
 def bpe_decode(ids: Column, path: str) -> Column:
@@ -250,12 +287,6 @@ def bpe_decode(ids: Column, path: str) -> Column:
     return decode(ids)
 
 
-def _lists(rows: list[bytes]) -> pa.Array:
-    offsets = np.zeros(len(rows) + 1, dtype=np.int32)
-    np.cumsum([len(r) // 4 for r in rows], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), dtype="<i4")))
-
-
 def encode_table(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
     """``df`` with its texts' ids and, if named, the decoded texts; columns of these names are replaced."""
     out = df.withColumn(ids_col, bpe_encode(F.col(text_col), path))

@@ -48,6 +48,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def each(texts: pa.Array):
+    """A column's texts one by one, so that not all of a batch are Python objects at once."""
+    return (t.as_py() for t in texts)
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that the table doesn't have, whatever the case of its letters."""
     taken = {c.lower() for c in df.columns}

@@ -50,10 +50,20 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = new
 
 
-def pick_pivots(vectors: DataFrame, dim: int, count: int) -> np.ndarray:
-    """Reference points: the unit vectors of the ``count`` ids with the smallest hashes, a bounded sample."""
-    rows = vectors.where(F.size("v") == dim).orderBy(F.xxhash64("id", F.lit(1)), "id").limit(count).select("v").collect()
-    return _unit(np.array([r[0] for r in rows], dtype=np.float64))
+def pick_pivots(vectors: DataFrame, dim: int, count: int, apart: float = 0.8) -> np.ndarray:
+    """Up to ``count`` reference points, no two with a cosine above ``apart``.
+
+    They are taken in order from the unit vectors of the ``4 * count`` ids with the smallest hashes, a bounded sample.
+    Without the distance, a large group of near copies would fill the pivots with points that its members can't order.
+    """
+    rows = vectors.where(F.size("v") == dim).orderBy(F.xxhash64("id", F.lit(1)), "c").limit(4 * count).select("v").collect()
+    unit = _unit(np.array([r[0] for r in rows], dtype=np.float64))
+    chosen = np.zeros((0, dim))
+    for at in range(0, len(unit), 256):
+        for u in unit[at : at + 256][(unit[at : at + 256] @ chosen.T).max(axis=1, initial=-1) <= apart]:
+            if len(chosen) < count and (chosen @ u).max(initial=-1) <= apart:
+                chosen = np.vstack([chosen, u])
+    return chosen
 
 
 def near_duplicates(

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import each, fresh
 
 NAMES = (
     "log_words", "upper", "lower", "digit", "wide", "blank", "comma", "stop", "bang", "question", "quote", "bracket", "symbol", "bar", "slash",
@@ -208,7 +208,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     @F.arrow_udf("array<double>")
     def described(texts: pa.Array) -> pa.Array:
-        return pa.array([features(t) for t in texts.to_pylist()], pa.list_(pa.float64()))
+        return pa.array([features(t) for t in each(texts)], pa.list_(pa.float64()))
 
     rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "k").select("k", "y", described("t").alias("x")).limit(4 * sample).collect()
     rows = sorted(rows, key=lambda r: (r["k"], r["x"]))
@@ -221,7 +221,7 @@ def score(text: Column, model: Additive) -> Column:
 
     @F.arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
-        x = np.array([features(t) for t in texts.to_pylist()]).reshape(-1, len(NAMES))
+        x = np.array([features(t) for t in each(texts)]).reshape(-1, len(NAMES))
         return pa.array(model.score(x))
 
     return scored(text)

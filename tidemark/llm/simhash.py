@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fresh
+from .common import checkpointed, each, fresh, partitions
 from .components import connected_components
 
 SHINGLE, SEED, LINK = 3, 42, 2
@@ -52,7 +52,7 @@ def simhash(text: Column) -> Column:
 
     @F.arrow_udf("long")
     def prints(texts: pa.Array) -> pa.Array:
-        return pa.array(np.array([fingerprint(t) for t in texts.to_pylist()], dtype=np.uint64).view(np.int64))
+        return pa.array(np.array([fingerprint(t) for t in each(texts)], dtype=np.uint64).view(np.int64))
 
     return prints(text)
 
@@ -133,7 +133,8 @@ def near_prints(prints: DataFrame, col: str) -> DataFrame:
                 row, anchor = anchors.near(part)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(part[row])], ["anchor", "b"])
 
-    one = prints.select(F.col(col).alias("p"))
+    # without a count of its own, the few bytes here would be read by few tasks, each making 61 rows of one
+    one = prints.select(F.col(col).alias("p")).repartition(partitions(prints.sparkSession), "p")
     left = one.mapInArrow(homes, "anchor long, a long")
     right = one.mapInArrow(visits, "anchor long, b long")
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= LINK)

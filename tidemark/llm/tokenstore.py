@@ -14,7 +14,6 @@ import json
 import struct
 import uuid
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Chunks, PreTokens
-from .common import filesystem, fresh, partitions, piece_of, range_cuts
+from .common import each, filesystem, fresh, partitions, piece_of, range_cuts
 
 MAGIC = b"TMTOKEN1"
 FOOTER = "<QQ8s"  # a format, as functions that use it are sent to workers
@@ -37,8 +36,8 @@ class LibraryCodec:
 
     def __init__(self, path: str):
         self.pre = PreTokens(path)
-        self.model = self.pre.library.model
-        self.chunks = Chunks(self.chunk)
+        model = self.pre.library.model
+        self.chunks = Chunks(self.pre, lambda word: [t.id for t in model.tokenize(word)])
 
     @classmethod
     def of(cls, path: str) -> "LibraryCodec":
@@ -46,15 +45,6 @@ class LibraryCodec:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def chunk(self, text: str) -> bytes:
-        ids: list[int] = []
-        for w in self.pre.split(text):
-            if isinstance(w, int):
-                ids.append(w)
-            elif w:
-                ids += [t.id for t in self.model.tokenize(w)]
-        return array("I", ids).tobytes()
-
 
 def _ids(text: str | None, path: str, end: bytes) -> bytes:
     return (LibraryCodec.of(path).chunks.text(text) if text else b"") + end
@@ -72,7 +62,7 @@ def train_dictionary(df: DataFrame, id_col: str, text_col: str, path: str, end_i
 
     @F.arrow_udf("binary")
     def serialized(texts: pa.Array) -> pa.Array:
-        return pa.array([np.frombuffer(_ids(t, path, tail), "<u4").astype(f"<u{width}").tobytes()[:16384] for t in texts.to_pylist()], pa.binary())
+        return pa.array([np.frombuffer(_ids(t, path, tail), "<u4").astype(f"<u{width}").tobytes()[:16384] for t in each(texts)], pa.binary())
 
     chosen = df.where(F.col(id_col).isin(keys)).select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
     samples = [bytes(r[1]) for r in chosen.select("k", serialized("t").alias("b")).orderBy("k", "b").limit(2 * documents).collect()]
@@ -110,7 +100,7 @@ def write_tokens(
     def pack(texts: pa.Array) -> pa.Array:
         packer = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(told.value) if told.value else None)
         counts, frames = [], []
-        for t in texts.to_pylist():
+        for t in each(texts):
             ids = np.frombuffer(_ids(t, path, end), "<u4")
             counts.append(len(ids))
             frames.append(packer.compress(ids.astype(f"<u{width}").tobytes()))
