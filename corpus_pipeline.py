@@ -17,7 +17,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their source's boilerplate lines (operator 6); ``n_chars`` follows the text where there is one."""
-    clean = linededup.drop_boilerplate(docs)
+    clean = linededup.drop_boilerplate(docs, ratio=linededup.SOURCE_RATIO)
     return clean.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), "n_chars")) if "n_chars" in clean.columns else clean
 
 

@@ -34,6 +34,14 @@ def test_stages_follow_each_other(spark):
         assert list(r.ids) == codec.pre.library.encode(texts[r.doc_id], add_special_tokens=False).ids and r.n_tokens == len(r.ids)
 
 
+def test_boilerplate_of_a_large_source_goes(spark):
+    notice = "All rights reserved."
+    rows = [(i, f"{notice}\nown line {i}\nshared {i // 2}" if i % 50 == 0 else f"own line {i}\nshared {i // 2}", "en", "s", 1) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, docs, SF).collect()}
+    assert got == {i: f"own line {i}\nshared {i // 2}" for i in range(400)}
+
+
 def test_run_gives_the_last_stage(spark):
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "source", "ids", "n_tokens"]
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "line_dedup", "simhash_near_dedup", "source_mix", "bpe_encoding"]

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .common import checkpointed, fresh
 
 RATIO, LEAST = 0.1, 3
+#: Where a source of many pages stands for a host: no line but one reaches a tenth of such a source.
+SOURCE_RATIO = 0.01
 #: Up to this many boilerplate lines (24 bytes each) are broadcast; beyond it the pages are shuffled by host.
 BROADCAST_LINES = 200_000
 

@@ -48,6 +48,12 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("text_md5"))
 
 
+def op6_source_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`op6_line_dedup` with the ratio that boilerplate reaches in a whole source, as in the pipeline."""
+    clean = linededup.drop_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), ratio=linededup.SOURCE_RATIO, counts=("n_lines", "n_dropped"))
+    return clean.select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("text_md5"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = simhash.with_components(table(spark, sf_dir, "documents"))
     return linked.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
@@ -70,7 +76,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_embedding_near_dedup, op2_bpe_round_trip, op3_quality_classifier, op4_source_mix, op5_warc, op6_line_dedup, op7_simhash, op8_url_filter,
+        op1_embedding_near_dedup, op2_bpe_round_trip, op3_quality_classifier, op4_source_mix, op5_warc, op6_line_dedup, op6_source_lines, op7_simhash, op8_url_filter,
         op9_nearest_neighbours, op10_token_files,
     )
 }
@@ -119,6 +125,8 @@ SELECT doc_id, len(lines)::BIGINT AS n_lines, (len(lines) - len(kept))::BIGINT A
 FROM k
 """
 
+OP6_SOURCE_SQL = OP6_SQL.replace("0.1 * total", f"{linededup.SOURCE_RATIO} * total")
+
 OP1_SQL = """
 WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
   AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
@@ -158,4 +166,4 @@ FROM j LEFT JOIN t{rounds} ON t{rounds}.host = j.host LEFT JOIN d{rounds} ON d{r
 """
 
 
-ORACLE_SQL = {"op1_embedding_near_dedup": OP1_SQL, "op4_source_mix": OP4_SQL, "op5_warc": OP5_SQL, "op6_line_dedup": OP6_SQL, "op8_url_filter": _op8_sql()}
+ORACLE_SQL = {"op1_embedding_near_dedup": OP1_SQL, "op4_source_mix": OP4_SQL, "op5_warc": OP5_SQL, "op6_line_dedup": OP6_SQL, "op6_source_lines": OP6_SOURCE_SQL, "op8_url_filter": _op8_sql()}
