@@ -75,6 +75,15 @@ def test_all_neighbours_when_all_cells_are_visited(spark, settings):
             assert np.allclose([r[2] for r in mine], [d for d, _ in near(rows, q)], rtol=0, atol=1e-12)
 
 
+@pytest.mark.parametrize("often", [2, 20])
+def test_repeated_rows_take_no_slots(spark, often):
+    rows = clouds()
+    more = rows * 2 if often == 2 else rows + rows[:1] * 19
+    got = ann.nearest_neighbours(vectors(spark, more), F.col("vec_id") % 50 == 0).collect()
+    for q in rows[::50]:
+        assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q[0]] == [v for _, v in near(rows, q)]
+
+
 def test_few_candidates(spark):
     got = ann.nearest_neighbours(vectors(spark, clouds()[:4]), F.col("vec_id") == 0).collect()
     assert sorted((r["rank"], r.vec_id) for r in got) == [(1, 1), (2, 2), (3, 3)]

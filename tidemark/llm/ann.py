@@ -77,6 +77,7 @@ def nearest_neighbours(
     if lengths is None:
         return spark.createDataFrame([], answer)
     good = good.where(F.size("v") == lengths["n"])
+    good = checkpointed(good.groupBy("id", "v").agg(F.max("q").alias("q")))  # the caps below count distinct rows
     fit = np.array([r[0] for r in good.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(sample).select("v").collect()], dtype=np.float64)
     half = (lengths["n"] + 1) // 2
     parts = [(slice(0, half), lloyd(fit[:, :half], centroids)), (slice(half, None), lloyd(fit[:, half:], centroids))]
