@@ -461,6 +461,11 @@ def similar_alerts(spark, sf_dir):
     return rounded(AL.similar_alerts(a, 10 * DAY), "similarity")
 
 
+@query(ORACLE_SQL["similar_alerts"].replace(" WHERE severity = 'critical'", ""))
+def similar_alerts_all(spark, sf_dir):
+    return rounded(AL.similar_alerts(alerts(spark, sf_dir).withColumnRenamed("fingerprint", "text"), 10 * DAY), "similarity")
+
+
 # --- health and traces ----------------------------------------------------------------------------------------------
 
 
