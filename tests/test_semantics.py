@@ -140,6 +140,28 @@ def test_adaptive_levels(spark):
     assert [r.level for r in folds.adaptive_levels(df, "name", alpha=1.0).orderBy("us").collect()] == ["low", "critical"]
 
 
+def test_adaptive_levels_carry_state_between_batches(spark):
+    rows = [(k, i, float(i * 37 % 101), float(i * 53 % 101)) for k in ("x", "y", None) for i in range(200)]
+    df = spark.createDataFrame(rows[::-1], "name string, us long, cpu double, memory double")
+    settings = {"margin": 5.0, "cooldown_us": 7}
+    want = sorted(tuple(map(str, r)) for r in folds.adaptive_levels(df, "name", **settings).collect())
+    alone = [r for k in ("x", "y") for r in folds.adaptive_levels(df.where(df.name == k), "name", **settings).collect()]
+    assert sorted(tuple(map(str, r)) for r in alone) == [r for r in want if r[0] != "None"]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        out = folds.adaptive_levels(df, "name", **settings)
+        assert sorted(tuple(map(str, r)) for r in out.collect()) == want and len({r[4] for r in want}) > 2
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_topological_order_is_numbered_in_ranges(spark):
+    out = graphs.topological(edges(spark, [(f"a{i:03}", f"b{i % 7}") for i in range(300)]))
+    assert [(r.node, r.place) for r in out.orderBy("place").collect()] == [(n, i + 1) for i, n in enumerate([f"b{i}" for i in range(7)] + [f"a{i:03}" for i in range(300)])]
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_degradation_and_bucket(spark):
     calls = spark.createDataFrame([("x", i, ok) for i, ok in enumerate([False] * 3 + [True, True])], "k string, us long, ok boolean")
     assert [r.level for r in folds.degradation(calls, "k", "us", "ok").orderBy("us").collect()] == [0, 0, 1, 0, 0]

@@ -1,14 +1,18 @@
 """State machines whose next state needs the one before: load levels with hysteresis, degradation, token buckets.
 
-Each is a pandas fold over one key's rows in order, so the rows of one key must fit into a task; keys are spread by Spark.
+Each is a fold over one key's rows in order; keys are spread by Spark. Load levels take sorted rows batch by batch and carry only the
+key's state; the others are pandas folds, so there the rows of one key must fit into a task.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
+from math import nan
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .triggers import LEVEL_BOUNDS, MEMORY_FLOORS, STRATEGIES
 
@@ -17,27 +21,34 @@ def adaptive_levels(df: DataFrame, by: str, us: str = "us", alpha: float = 0.7,
 
     Use is smoothed only after the first change of level, and then changes keep ``cooldown_us`` between them. With a
     margin, a rise needs a pressure that exceeds the next level's bound by it, a fall one that is below the level's own
-    bound by it. The first level is moderate.
+    bound by it. The first level is moderate. A key's rows are sorted by Spark, which spills, and never held at once.
     """
     names, bounds, floors, factor = list(LEVEL_BOUNDS), list(LEVEL_BOUNDS.values()), MEMORY_FLOORS, STRATEGIES[strategy]
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("us", kind="stable")
-        level, changed_at, cpu, memory, out = names.index("moderate"), None, 0.0, 0.0, []
-        for key, at, c, m in rows[["key", "us", "cpu", "memory"]].itertuples(index=False):
-            cpu, memory = (c, m) if changed_at is None else (alpha * c + (1 - alpha) * cpu, alpha * m + (1 - alpha) * memory)
-            load = max(cpu, next((least for above, least in floors if memory > above), 0.0)) * factor
-            new = max(bisect_right(bounds, load) - 1, 0)
-            held = margin is not None and (load < bounds[level + 1] + margin if new > level else load > bounds[level] - margin if new < level else False)
-            change = new != level and not held and (changed_at is None or at - changed_at >= cooldown_us)
-            if change:
-                level, changed_at = new, at
-            out.append((key, at, cpu, memory, names[level], change))
-        return pd.DataFrame(out, columns=["key", "us", "cpu", "memory", "level", "changed"])
-
-    rows = df.selectExpr(f"`{by}` AS key", f"`{us}` AS us", "CAST(cpu AS DOUBLE) AS cpu", "CAST(memory AS DOUBLE) AS memory")
+    def fold(batches):
+        last = object()
+        for b in batches:
+            out = []
+            for key, at, c, m in zip(*(column.to_pylist() for column in b.columns), strict=True):
+                if not (key == last or (key != key and last != last)):
+                    last, level, changed_at, cpu, memory = key, names.index("moderate"), None, 0.0, 0.0
+                c, m = (nan if x is None else x for x in (c, m))
+                cpu, memory = (c, m) if changed_at is None else (alpha * c + (1 - alpha) * cpu, alpha * m + (1 - alpha) * memory)
+                load = max(cpu, next((least for above, least in floors if memory > above), 0.0)) * factor
+                new = max(bisect_right(bounds, load) - 1, 0)
+                held = margin is not None and (load < bounds[level + 1] + margin if new > level else load > bounds[level] - margin if new < level else False)
+                change = new != level and not held and (changed_at is None or (nan if at is None else at) - changed_at >= cooldown_us)
+                if change:
+                    level, changed_at = new, nan if at is None else at
+                out.append((cpu, memory, names[level], change))
+            if out:
+                state = [pa.array(values, kind) for values, kind in zip(zip(*out, strict=True), (pa.float64(), pa.float64(), pa.string(), pa.bool_()), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *state], ["key", "us", "cpu", "memory", "level", "changed"])
+
+    rows = df.selectExpr(f"`{by}` AS key", f"CAST(`{us}` AS BIGINT) AS us", "CAST(cpu AS DOUBLE) AS cpu", "CAST(memory AS DOUBLE) AS memory")
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.groupBy("key").applyInPandas(fold, f"key {kind}, us long, cpu double, memory double, level string, changed boolean")
+    ordered = rows.repartition("key").sortWithinPartitions("key", F.asc_nulls_last("us"))
+    return ordered.mapInArrow(fold, f"key {kind}, us long, cpu double, memory double, level string, changed boolean")
 
 
 def degradation(df: DataFrame, by: str, us: str, ok: str, failures: int = 3, most: int = 3) -> DataFrame:

@@ -40,7 +40,8 @@ def would_cycle(edges: DataFrame, dependent: str, dependency: str) -> bool:
 def topological(edges: DataFrame) -> DataFrame:
     """``node, level``: the longest path below each node, and ``place`` in an order that puts dependencies first.
 
-    Nodes of a level are in order of their names. A cycle raises an error.
+    Nodes of a level are in order of their names. A cycle raises an error. Ranges of the order are numbered side by side,
+    each from the sizes of those before it.
     """
     nodes = edges.select(F.col("dependent").alias("node")).union(edges.select(F.col("dependency").alias("node"))).distinct()
     level = nodes.withColumn("level", F.lit(0))
@@ -52,7 +53,14 @@ def topological(edges: DataFrame) -> DataFrame:
         newest = newest.join(edges, F.col("node") == F.col("dependency")).select(F.col("dependent").alias("node")).distinct().checkpoint()
         level = level.union(newest.withColumn("level", F.lit(depth)))
     best = level.groupBy("node").agg(F.max("level").alias("level"))
-    return best.withColumn("place", F.row_number().over(W.orderBy("level", "node")))
+    ordered = best.orderBy("level", "node").withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    ordered = ordered.withColumns({"_range": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND((1 << 33) - 1)})
+    starts, before = [], 0
+    for r in ordered.groupBy("_range").count().orderBy("_range").collect():  # one row a partition
+        starts.append((r["_range"], before))
+        before += r["count"]
+    starts = ordered.sparkSession.createDataFrame(starts, "_range long, _start long")
+    return ordered.join(F.broadcast(starts), "_range").select("node", "level", (F.col("_start") + F.col("_at") + 1).cast("int").alias("place"))
 
 
 def status_rank(status: Column) -> Column:
