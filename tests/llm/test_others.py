@@ -195,6 +195,13 @@ def test_url_verdicts(spark, monkeypatch, few):
     assert urlfilter.judge(df.limit(0)).count() == 0
 
 
+def test_verdicts_reach_the_end_of_a_long_chain(spark):
+    rows = [(i, f"http://h{i}.net/", f"<a href='http://h{i + 1}.net/'>") for i in range(16)] + [(16, "http://h16.net/", "<a href='http://evil.com/'>"), (17, "http://evil.com/de/1", "")]
+    got = {r.page_id: r for r in urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(17):
+        assert got[i].verdict == "block" and got[i].distrust == pytest.approx(0.15 * 0.85 ** (17 - i))
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(i, i + 1) for i in range(400, 480)]

@@ -37,21 +37,30 @@ def host_edges(pages: DataFrame, host_col: str, html_col: str) -> DataFrame:
     return edges.where("src <> dst and dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, source: str, to: str, damping: float, rounds: int) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, source: str, to: str, damping: float, tolerance: float) -> DataFrame:
     """Personalised PageRank ``host, rank`` of seeds ``host, seed``: rank flows along ``source`` to ``to``.
 
     A host passes ``damping`` of its rank on, in proportion to link counts; rank of a host without such links ends
-    there. Hosts that nothing reaches are left out. A checkpoint ends every fourth round.
+    there. Hosts that nothing reaches are left out. Rounds go on until all hosts' ranks together change by at most ``tolerance``
+    of the seeds' sum in a round; a checkpoint ends every fourth one. As the change falls by ``damping`` a round at least, this ends.
     """
     total = edges.groupBy(F.col(source).alias("from")).agg(F.sum("links").alias("all"))
     flow = checkpointed(edges.join(total, edges[source] == total["from"]).select("from", F.col(to).alias("onto"), (F.col("links") / F.col("all") * damping).alias("part")))
     start = seeds.select("host", (F.col("seed") * (1 - damping)).alias("rank"))
     rank = start
-    for i in range(rounds):
+    least = tolerance * (seeds.agg(F.sum("seed")).first()[0] or 0.0)
+    before, i, moving = None, 0, not edges.isEmpty()
+    while moving:
         passed = flow.join(rank, flow["from"] == rank["host"]).select(F.col("onto").alias("host"), (F.col("part") * F.col("rank")).alias("rank"))
         rank = start.union(passed).groupBy("host").agg(F.sum("rank").alias("rank"))
-        if i % 4 == 3 or i == rounds - 1:
+        i += 1
+        if i % 4 == 3:
+            rank = before = checkpointed(rank)
+        elif i % 4 == 0:
             rank = checkpointed(rank)
+            old = before.select(F.col("host").alias("h"), F.col("rank").alias("old"))
+            change = F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))
+            moving = (rank.join(old, F.col("host") == F.col("h"), "full").agg(change).first()[0] or 0.0) > least
     return rank
 
 
@@ -64,7 +73,7 @@ def with_hosts(pages: DataFrame, hosts: DataFrame, how: str, salt: int = 64) ->
 
 
 def judge(
-    df: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", damping: float = 0.85, rounds: int = 12, ratio: float = 1.0,
+    df: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", damping: float = 0.85, tolerance: float = 1e-9, ratio: float = 1.0,
 ) -> DataFrame:
     """``page_id, host, path, rule, verdict, trust, distrust`` for each row.
 
@@ -94,9 +103,8 @@ def judge(
         F.sum(F.when(F.col("hit.verdict") == "allow", 1.0).otherwise(0.0)).alias("good"), F.sum(F.when(F.col("hit.verdict") == "block", 1.0).otherwise(0.0)).alias("bad"))
     counts = checkpointed(counts)
     edges = checkpointed(host_edges(df.select(host_of(url).alias("h"), F.col(html_col).alias("x")), "h", "x"))
-    rounds = rounds if not edges.isEmpty() else 0
-    trust = propagate(edges, counts.where("good > 0").select("host", F.col("good").alias("seed")), "src", "dst", damping, rounds)
-    distrust = propagate(edges, counts.where("bad > 0").select("host", F.col("bad").alias("seed")), "dst", "src", damping, rounds)
+    trust = propagate(edges, counts.where("good > 0").select("host", F.col("good").alias("seed")), "src", "dst", damping, tolerance)
+    distrust = propagate(edges, counts.where("bad > 0").select("host", F.col("bad").alias("seed")), "dst", "src", damping, tolerance)
     ranks = trust.withColumnRenamed("rank", "trust").join(distrust.withColumnRenamed("rank", "distrust"), "host", "full")
     known = checkpointed(lists.join(ranks, "host", "full"))
     zero = F.lit(0.0)
