@@ -100,6 +100,11 @@ def gap_filled_range(spark, sf_dir):
     return rounded(S.gap_filled(S.range_query(metrics(spark, sf_dir), T0, T0 + 3 * DAY, HOUR), T0, T0 + 3 * DAY, HOUR), "value")
 
 
+@query(ORACLE_SQL["gap_filled_range"].replace(str(T0 + 3 * DAY), str(T0 + 30 * DAY)))
+def gap_filled_range_month(spark, sf_dir):
+    return rounded(S.gap_filled(S.range_query(metrics(spark, sf_dir), T0, T0 + 30 * DAY, HOUR), T0, T0 + 30 * DAY, HOUR), "value")
+
+
 @query("WITH {m} SELECT name, count(*) AS points, min(us) AS first_us, max(us) AS last_us, arg_max(value, (us, row_id)) AS latest, 'k,user_id' AS label_keys FROM m GROUP BY name")
 def series_catalogue(spark, sf_dir):
     return S.catalogue(metrics(spark, sf_dir))
