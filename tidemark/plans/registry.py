@@ -319,6 +319,12 @@ def rate_of_change_trigger(spark, sf_dir):
     return df.where(F.abs(F.col("change") - 100) > 1e-3).select("name", "row_id", "fast")
 
 
+@query(ORACLE_SQL["rate_of_change_trigger"].replace("change > 100 AS fast FROM c WHERE abs(change - 100) > 1e-3", "round(change, 6) > 100 AS fast FROM c"))
+def rate_of_change_trigger_all(spark, sf_dir):
+    df = T.slopes(metrics(spark, sf_dir), "name", 6 * HOUR, 100.0, "increasing")
+    return df.select("name", "row_id", (F.round("change", 6) > 100).alias("fast"))
+
+
 @query("""WITH {m}, l AS (SELECT name, row_id, list(value) OVER (PARTITION BY name ORDER BY us, row_id ROWS BETWEEN 63 PRECEDING AND CURRENT ROW) AS v FROM m)
 SELECT name, row_id, round(list_reduce(v, lambda a, x: 0.7::DOUBLE * x + (1 - 0.7::DOUBLE) * a), 6) AS smoothed FROM l""")
 def smoothing(spark, sf_dir):
