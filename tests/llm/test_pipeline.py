@@ -31,7 +31,7 @@ def test_stages_follow_each_other(spark):
     texts = {r.doc_id: r.text for r in mixed.collect()}
     codec = bpe.Codec.of(queries.tokenizer_path())
     for r in tokens.collect():
-        assert list(r.ids) == codec.pre.library.encode(texts[r.doc_id], add_special_tokens=False).ids and r.n_tokens == len(r.ids)
+        assert list(r.ids) == codec.vocabulary.library.encode(texts[r.doc_id], add_special_tokens=False).ids and r.n_tokens == len(r.ids)
 
 
 def test_boilerplate_of_a_large_source_goes(spark):

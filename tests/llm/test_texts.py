@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -39,7 +40,7 @@ def ids_of(library, text):
 def test_prefix_encoder_equals_the_merge_loop(text):
     codec = bpe.Codec.of(PATH)
     text = text.encode("utf-8", "ignore").decode()
-    assert np.frombuffer(codec.encode(text), "<u4").tolist() == codec.pre.library.encode(text, add_special_tokens=False).ids
+    assert codec.encode(text).tolist() == codec.vocabulary.library.encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
@@ -238,3 +239,57 @@ def test_mixed_documents(spark):
     got = mixing.mix_documents(odd(spark))
     counts = Counter(r.doc_id for r in got.select("doc_id").collect())
     assert got.columns == odd(spark).columns and all(counts[d] == n for d, n in plan.items())
+
+
+@given(st.lists(st.text(max_size=30) | st.text("aehinst '\x1c<|>/wßİΣH̱é.,!", max_size=30), max_size=8))
+@settings(max_examples=300, deadline=None)
+def test_library_pieces_equal_whole_texts(texts):
+    codec = tokenstore.LibraryCodec.of(PATH)
+    texts = [t.encode("utf-8", "ignore").decode() for t in texts] + ["a <|endoftext|>B <|EndOfText|> c.D'S"]
+    want = [codec.vocabulary.library.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    assert [ids.tolist() for ids in tokenstore._documents(pa.array(texts), PATH, 2)] == want
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_other_vocabularies_are_not_cut(name):
+    path = queries.tokenizer_path(name)
+    codec, other = bpe.Codec.of(path), tokenstore.LibraryCodec.of(path)
+    texts = ["", "Hello  World's\n\nnew, <|endoftext|> Ünï 123", "x" * 3000]
+    for t, (n, ids, text) in zip(texts, zip(*codec.digests(pa.array(texts)), strict=True), strict=True):
+        want = codec.vocabulary.library.encode(t, add_special_tokens=False).ids
+        assert codec.encode(t).tolist() == want and np.frombuffer(other.whole(t), "<u4").tolist() == want and n == len(want)
+        assert ids == hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest()
+        assert text == hashlib.sha256(codec.vocabulary.library.decode(want, skip_special_tokens=False).encode()).hexdigest()
+    assert codec.vocabulary.cuts == (name == "word_bpe_49k.json")
+
+
+def test_long_texts_with_and_without_blanks():
+    codec, other = bpe.Codec.of(PATH), tokenstore.LibraryCodec.of(PATH)
+    unbroken = "abcdefghij" * 500_000
+    want = codec.encode("abcdefghij" * 50)
+    (n,), _, _ = codec.digests(pa.array([unbroken]))
+    ids = codec.encode(unbroken)
+    assert n == len(ids) and ids[:40].tolist() == want[:40].tolist() and "".join(codec.vocabulary.names[i] for i in ids).removesuffix("</w>") == unbroken
+    words = "Some words, Über all. " * 250_000
+    (n,), (sha,), _ = codec.digests(pa.array([words]))
+    ids = np.concatenate([i for _, i in other.pieces.slices(pa.array([words]))])
+    assert n == len(ids) and sha == hashlib.sha256(" ".join(map(str, ids.tolist())).encode()).hexdigest() and ids.tolist() == other.vocabulary.library.encode(words[:22], add_special_tokens=False).ids * 250_000
+
+
+def test_files_roll_and_spread_samples(spark, library):
+    folder = shared_dir(spark, "t")
+    manifest = tokenstore.write_tokens(odd(spark), folder, PATH, shards=2, max_file_bytes=1)
+    assert len(manifest["files"]) == len(ODD) and tokenstore.read_tokens(spark, folder).count() == len(ODD)
+    data = np.arange(100_000, dtype="<u2").tobytes()
+    assert tokenstore._spread(data[:9]) == data[:9] and len(tokenstore._spread(data)) == 16384 and tokenstore._spread(data)[-2:] == data[-2:]
+
+
+def test_token_query(spark, library):
+    start = 0
+    got = queries.op10_token_files(spark, SF).orderBy("doc_id").collect()
+    docs = pd.read_parquet(f"{SF}/documents.parquet").sort_values("doc_id")
+    assert len(got) == len(docs)
+    for r, d in zip(got, docs.itertuples(), strict=True):
+        ids = [*ids_of(library, d.text), 2]
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (d.doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)

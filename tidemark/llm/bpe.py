@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import json
+import hashlib
 import re
-import string
 from array import array
 
 import ahocorasick
@@ -13,25 +12,20 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
-from .common import each
+from .pieces import Bounded, Pieces, Vocabulary
 
-#: Where a text may be cut without changing its tokens: white space ends every pre-token.
-BLANK = re.compile("[ \t\n\r\f\v]+")
-ODD_BLANK = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-#: Chunks of these characters need no normaliser but lower(): they are composed and map one to one.
+#: Pieces of these characters need no normaliser but lower(): they are composed and map one to one.
 PLAIN = re.compile("[\x21-\x7eÀ-ÖØ-öø-įı-ňŊ-ſ]+")
-MARKS = ".,;:!?"
-PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-z0-9ß-öø-ſ]+")
+WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-z0-9ß-öø-ſ]+")
 #: Later than any merge.
 NEVER = 1 << 40
 #: Pairs of tokens whose compatibility a worker keeps.
 PAIRS = 250_000
 #: Added to the code of a word's last character, which the vocabulary marks with its suffix.
 LAST = 0x1000
-#: Chunks, and pre-tokens, that a worker keeps.
-KEPT = 200_000
+#: Ids, or tokens, that a digest turns into text at once.
+SLICE = 1 << 16
 
 
 def _byte_letters() -> dict[int, int]:
@@ -44,41 +38,6 @@ def _byte_letters() -> dict[int, int]:
 BYTE_LETTERS = _byte_letters()
 
 
-class PreTokens:
-    """Pre-tokens of a piece of text, as the vocabulary file's normaliser and splitter give them."""
-
-    def __init__(self, path: str):
-        self.library = Tokenizer.from_file(path)
-        self.library.no_padding()
-        self.library.no_truncation()
-        with open(path, encoding="utf-8") as f:
-            self.spec = json.load(f)
-        added = sorted(((t["content"], t["id"]) for t in self.spec["added_tokens"]), key=lambda x: -len(x[0]))
-        self.added = dict(added)
-        self.quick = all(set(t) - set(string.ascii_letters + MARKS) for t in self.added)
-        self.special = re.compile("(" + "|".join(re.escape(t) for t, _ in added) + ")") if added else None
-
-    def split(self, chunk: str) -> list[str | int]:
-        """Byte-level pre-tokens; the strings of special tokens become their ids."""
-        if chunk.isascii() and self.quick:  # most chunks: letters, with or without a mark behind them
-            if chunk.isalpha():
-                return [chunk.lower()]
-            if chunk[-1] in MARKS and chunk[:-1].isalpha():
-                return [chunk[:-1].lower(), chunk[-1]]
-        if self.special is None or not self.special.search(chunk):
-            return self.words(chunk)
-        out: list[str | int] = []
-        for part in self.special.split(chunk):
-            out += [self.added[part]] if part in self.added else self.words(part)
-        return out
-
-    def words(self, text: str) -> list[str]:
-        if PLAIN.fullmatch(text):
-            found = PIECES.findall(text.lower())
-            return found if text.isascii() else [w.encode().decode("latin-1").translate(BYTE_LETTERS) for w in found]
-        return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
-
-
 class PrefixEncoder:
     """Exact BPE without a merge loop.
 
@@ -161,7 +120,7 @@ class PrefixEncoder:
         if self.mark:
             word = word[:-1] + chr(ord(word[-1]) + self.mark)
         n = len(word)
-        last, size = [-1] * (n + 1), [0] * (n + 1)
+        last, size = (array("i", [k]) * (n + 1) if n > 1000 else [k] * (n + 1) for k in (-1, 0))
         known = self.known
         for end, (token, length) in self.automaton.iter(word):  # ends ascend; longest first at each end
             end += 1
@@ -180,64 +139,16 @@ class PrefixEncoder:
         return out[::-1]
 
 
-class Words(dict):
-    """Ids of pre-tokens, made when first asked for; starts anew when it has ``KEPT`` of them."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, word: str) -> bytes:
-        ids = array("I", self.encode(word)).tobytes()
-        if len(word) <= 200:
-            if len(self) >= KEPT:
-                self.clear()
-            self[word] = ids
-        return ids
-
-
-class Chunks(dict):
-    """Ids of chunks between white space, from those of their pre-tokens, which many chunks share; bounded alike."""
-
-    def __init__(self, pre: PreTokens, encode):
-        super().__init__()
-        self.pre, self.words = pre, Words(encode)
-
-    def __missing__(self, chunk: str) -> bytes:
-        words = self.words
-        ids = b"".join([words[w] if w.__class__ is str else array("I", [w]).tobytes() for w in self.pre.split(chunk) if w != ""])
-        if len(chunk) <= 200:
-            if len(self) >= KEPT:
-                self.clear()
-            self[chunk] = ids
-        return ids
-
-    def text(self, text: str) -> bytes:
-        """Ids of a whole text; works in slices of about a million characters."""
-        out, at = [], 0
-        while at < len(text):
-            end = at + 1_000_000
-            cut = BLANK.search(text, end) if end < len(text) else None
-            end = cut.end() if cut else len(text)
-            piece = text[at:end] if at or end < len(text) else text
-            # str.split() is faster, but splits at more characters than BLANK
-            chunks = filter(None, BLANK.split(piece)) if ODD_BLANK.search(piece) else piece.split()
-            out.append(b"".join(map(self.__getitem__, chunks)))
-            at = end
-        return b"".join(out)
-
-
 class Codec:
-    """Encodes and decodes whole texts; equal chunks between white space are encoded once while they are kept."""
+    """Encodes and decodes whole texts; equal pieces are encoded once while they are kept."""
 
     _made: dict[str, "Codec"] = {}
 
     def __init__(self, path: str):
-        self.pre = PreTokens(path)
-        self.words = PrefixEncoder(self.pre.spec)
-        self.chunks = Chunks(self.pre, self.words.encode)
-        names = {i: t for t, i in self.pre.spec["model"]["vocab"].items()} | {i: t for t, i in self.pre.added.items()}
-        self.names = [names.get(i, "") for i in range(max(names) + 1)]
+        self.vocabulary = Vocabulary(path)
+        self.coder = PrefixEncoder(self.vocabulary.spec)
+        self.known = Bounded()
+        self.pieces = Pieces(self.vocabulary, lambda pieces: [self.plain(p) for p in pieces], self.whole)
 
     @classmethod
     def of(cls, path: str) -> "Codec":
@@ -246,13 +157,61 @@ class Codec:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        return self.chunks.text(text)
+    def pre_tokens(self, text: str) -> list[str]:
+        """Byte-level pre-tokens of a text without special tokens."""
+        v = self.vocabulary
+        if v.cuts and PLAIN.fullmatch(text):
+            found = WORDS.findall(text.lower())
+            return found if text.isascii() else [w.encode().decode("latin-1").translate(BYTE_LETTERS) for w in found]
+        if v.library.normalizer is not None:
+            text = v.library.normalizer.normalize_str(text)
+        return [w for w, _ in v.library.pre_tokenizer.pre_tokenize_str(text)] if text else []
+
+    def word(self, word: str) -> bytes:
+        ids = self.known.get(word)
+        if ids is None:
+            ids = array("I", self.coder.encode(word)).tobytes()
+            if len(word) < 8:  # longer ones seldom come in more than one piece
+                self.known.keep({word: ids})
+        return ids
 
-    def decode(self, ids: list[int]) -> str:
-        """The file names no decoder, so tokens are joined by one space, as the library does."""
-        return " ".join(map(self.names.__getitem__, ids))
+    def plain(self, text: str) -> bytes:
+        return b"".join(map(self.word, self.pre_tokens(text)))
+
+    def whole(self, text: str) -> bytes:
+        v = self.vocabulary
+        parts = v.special.split(text) if v.special else [text]
+        return b"".join(array("I", [v.added[p]]).tobytes() if p in v.added else self.plain(p) for p in parts if p)
+
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of one text."""
+        return np.concatenate([ids for _, ids in self.pieces.slices(pa.array([text]))])
+
+    def decode(self, ids: np.ndarray, first: bool = True) -> str:
+        """The text of ids; a file without a decoder joins tokens by one space, so pieces but the first begin with one."""
+        if self.vocabulary.spec["decoder"] is not None:
+            return self.vocabulary.library.decode(ids.tolist(), skip_special_tokens=False)
+        return ("" if first or not len(ids) else " ") + " ".join(map(self.vocabulary.names.__getitem__, ids.tolist()))
+
+    def digests(self, texts: pa.Array) -> tuple[list[int], list[str], list[str]]:
+        """Of each text: the number of its ids, and the SHA-256 of the ids as decimals and of the decoded text, both a slice at a time."""
+        counts, coded, decoded = ([] for _ in range(3))
+        pending: list[np.ndarray] = []  # a decoder needs all ids of a text
+        for row, ids in self.pieces.slices(texts):
+            if row == len(counts):
+                counts.append(0)
+                coded.append(hashlib.sha256())
+                decoded.append(hashlib.sha256())
+            if self.vocabulary.spec["decoder"] is not None:
+                pending = [*pending, ids] if counts[row] else [ids]
+                decoded[row] = hashlib.sha256(self.decode(np.concatenate(pending)).encode())
+            for s in range(0, len(ids), SLICE):
+                part, first = ids[s : s + SLICE], not counts[row]
+                coded[row].update((("" if first else " ") + " ".join(map(str, part.tolist()))).encode())
+                if self.vocabulary.spec["decoder"] is None:
+                    decoded[row].update(self.decode(part, first).encode())
+                counts[row] += len(part)
+        return counts, [h.hexdigest() for h in coded], [h.hexdigest() for h in decoded]
 
 
 def bpe_encode(text: Column, path: str) -> Column:
@@ -260,14 +219,12 @@ def bpe_encode(text: Column, path: str) -> Column:
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        codec = Codec.of(path)
-        flat, lengths = bytearray(), []
-        for t in each(texts):
-            ids = codec.encode(t) if t else b""
-            lengths.append(len(ids) // 4)
-            flat += ids
+        lengths, parts = np.zeros(len(texts), np.int64), [np.zeros(0, "<u4")]
+        for row, ids in Codec.of(path).pieces.slices(texts):
+            lengths[row] += len(ids)
+            parts.append(ids)
         offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(flat, dtype="<i4")))
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts).view("<i4")))
 
     # else Spark would put the call into every expression that uses its result, and encode each text again for each
     return encode.asNondeterministic()(text)
@@ -282,12 +239,32 @@ def bpe_decode(ids: Column, path: str) -> Column:
         flat = lists.flatten().to_numpy(zero_copy_only=False)
         lengths = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
         ends = np.cumsum(lengths)
-        return pa.array([codec.decode(flat[e - n : e].tolist()) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)], pa.string())
+        return pa.array([codec.decode(flat[e - n : e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)], pa.string())
 
     return decode(ids)
 
 
+def bpe_digests(text: Column, path: str) -> Column:
+    """STRUCT<n_tokens, ids_sha256, decoded_sha256> of a text encoded and decoded again, of which only digests leave the worker.
+
+    A null or empty text has no ids and the digests of the empty string.
+    """
+
+    @F.arrow_udf("struct<n_tokens: long, ids_sha256: string, decoded_sha256: string>")
+    def digest(texts: pa.Array) -> pa.Array:
+        counts, coded, decoded = Codec.of(path).digests(texts)
+        return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return digest.asNondeterministic()(text)
+
+
 def encode_table(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
-    """``df`` with its texts' ids and, if named, the decoded texts; columns of these names are replaced."""
+    """``df`` with its texts' ids and, if named, the decoded texts; columns of these names are replaced.
+
+    Null and empty texts have no ids and decode to the empty text; texts are worked on in slices of about two million
+    characters that end at blanks, and a longer text without blanks as one. Repeated rows stay, an empty table gives
+    an empty one. The vocabulary's own normaliser and splitter are used; only if they are the known ones are texts cut
+    into pieces first.
+    """
     out = df.withColumn(ids_col, bpe_encode(F.col(text_col), path))
     return out if decoded_col is None else out.withColumn(decoded_col, bpe_decode(F.col(ids_col), path))

@@ -24,8 +24,7 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.encode_table(docs, tokenizer_path(), decoded_col="decoded")
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return docs.select("doc_id", bpe.bpe_digests(F.col("text"), tokenizer_path()).alias("d")).select("doc_id", "d.*")
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
