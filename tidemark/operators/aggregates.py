@@ -121,3 +121,36 @@ def metric_query(
     if order_by:
         df = df.orderBy(*order_by)
     return df.limit(limit) if limit is not None else df
+
+
+def effective_sample_rate(df: DataFrame, by: list[str], kept: str) -> DataFrame:
+    """The share of samples that were collected rather than dropped; 1.0 where there are none."""
+    n = F.count(kept)
+    return df.groupBy(*by).agg(F.when(n > 0, F.count_if(F.col(kept)) / n).otherwise(1.0).alias("sample_rate"))
+
+
+def operation_metrics(df: DataFrame, by: str, duration: str, ok: str, order: list[str], samples: int = 10_000) -> DataFrame:
+    """Calls and errors of all rows; extremes, mean, median, p95, p99 and total of each operation's newest ``samples``.
+
+    The newest rows are cut before they are shuffled, so percentiles are taken of a bounded number of values.
+    """
+    from pyspark.sql import Window as W
+
+    counts = df.groupBy(by).agg(F.count("*").alias("calls"), F.count_if(~F.col(ok)).alias("errors"))
+    newest = df.withColumn("_r", F.row_number().over(W.partitionBy(by).orderBy(*[F.desc(c) for c in order]))).where(F.col("_r") <= samples)
+    d = F.col(duration)
+    q = F.percentile(d, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
+    stats = newest.groupBy(by).agg(F.min(d).alias("min_value"), F.max(d).alias("max_value"), F.avg(d).alias("mean"), q[0].alias("median"), q[1].alias("p95"), q[2].alias("p99"), F.sum(d).alias("total"))
+    return counts.join(stats, by)
+
+
+def by_type(df: DataFrame, kind: Column, include: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> DataFrame:
+    """Metrics of the included types (all if none is named) without the excluded ones."""
+    keep = kind.isin(*include) if include else F.lit(True)
+    return df.where(keep & ~kind.isin(*exclude) if exclude else keep)
+
+
+def column_summaries(df: DataFrame, by: list[str], columns: dict[str, str]) -> DataFrame:
+    """:func:`summary` of several columns of a wide sample, each under its name."""
+    cells = F.array(*[F.struct(F.lit(n).alias("column"), F.col(c).cast("double").alias("value")) for c, n in columns.items()])
+    return summary(df.select(*by, F.inline(cells)), [*by, "column"])

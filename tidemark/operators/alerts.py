@@ -154,3 +154,98 @@ def similar_alerts(alerts: DataFrame, window_us: int, least: float = 0.85) -> Da
     near = (F.col("t") >= F.col("s")) & (F.col("t") - F.col("s") <= window_us) & ((F.col("t") > F.col("s")) | (F.col("b") > F.col("a")))
     score = 1 - F.levenshtein("x", "y") / F.greatest(F.length("x"), F.length("y"), F.lit(1))
     return a.join(b, ["name", "w"]).where(near).withColumn("similarity", score).where(F.col("similarity") >= least).select("a", "b", "similarity")
+
+
+def active(states: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """Keys whose newest state is pending or firing, with that state, its time and value."""
+    newest = states.groupBy(*by).agg(F.max_by(F.struct("state", "us", "value"), F.struct(*order)).alias("_newest"))
+    return newest.select(*by, "_newest.*").where(F.col("state").isin("pending", "firing"))
+
+
+def resolved_by_hand(active_alerts: DataFrame, keys: DataFrame) -> DataFrame:
+    """Active alerts, those that ``keys`` names as resolved; the keys are entered by hand, so Spark may broadcast them."""
+    marked = keys.select(*keys.columns, F.lit(True).alias("_hand"))
+    return active_alerts.join(marked, keys.columns, "left").withColumn("state", F.when(F.col("_hand"), "resolved").otherwise(F.col("state"))).drop("_hand")
+
+
+def remembered(states: DataFrame, by: list[str], order: list[str], as_of_us: int, timeout_us: int) -> DataFrame:
+    """Each key's newest state, without those resolved for longer than the timeout."""
+    newest = states.groupBy(*by).agg(F.max_by(F.struct("state", "us"), F.struct(*order)).alias("_newest")).select(*by, "_newest.*")
+    return newest.where((F.col("state") != "resolved") | (F.lit(as_of_us) - F.col("us") <= timeout_us))
+
+
+def running(silences: DataFrame, as_of_us: int) -> DataFrame:
+    return silences.where((F.col("starts_us") <= as_of_us) & (F.col("ends_us") > as_of_us))
+
+
+def notifications(states: DataFrame, by: list[str], order: list[str], repeat_us: int) -> DataFrame:
+    """Evaluations that notify: the start of firing, firing again ``repeat_us`` or more after the last, and the end.
+
+    ``states`` are rows that no silence covers; a silenced evaluation sends nothing and starts no interval.
+    """
+    w = W.partitionBy(*by).orderBy(*order)
+    before = F.coalesce(F.lag("state").over(w), F.lit("inactive"))
+    rows = states.select(*by, *order, "state", before.alias("_before"))
+    starts = ((F.col("state") == "firing") & (F.col("_before") != "firing")).cast("int")
+    rows = rows.withColumn("_run", F.sum(starts).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    firing = cooled(rows.where("state = 'firing'"), [*by, "_run"], repeat_us, columns)
+    ended = rows.where("state = 'resolved' AND _before = 'firing'")
+    return firing.unionByName(ended).drop("_before", "_run")
+
+
+def group_flushes(alerts: DataFrame, by: list[str], wait_us: int, interval_us: int) -> DataFrame:
+    """``by, us, id, size``: the alerts on whose arrival a group is sent, with its distinct alerts so far.
+
+    A group is sent first when ``wait_us`` have passed since its first alert, then ``interval_us`` or more after the
+    last time. Sizes are running counts of first sightings, in event time.
+    """
+    w = W.partitionBy(*by).orderBy("us", "id").rowsBetween(W.unboundedPreceding, 0)
+    new = (F.row_number().over(W.partitionBy(*by, "fingerprint").orderBy("us", "id")) == 1).cast("int")
+    rows = alerts.select(*by, "us", "id", "fingerprint").withColumn("_new", new)
+    rows = rows.select(*by, "us", "id", F.sum("_new").over(w).alias("size"), F.min("us").over(w).alias("_first"))
+    ready = rows.where(F.col("us") - F.col("_first") >= wait_us).drop("_first")
+    return cooled(ready, by, interval_us, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ready.schema))
+
+
+def severity_summary(alerts: DataFrame) -> DataFrame:
+    """Alerts of each severity, and the newest of them."""
+    return alerts.groupBy("severity").agg(F.count("*").alias("alerts"), F.max("us").alias("last_us"), F.max_by("id", F.struct("us", "id")).alias("last_id"))
+
+
+def silenced_by_pattern(alerts: DataFrame, silences: list[tuple[str, bool, int, int]], field: str = "fingerprint", keep: bool = False) -> DataFrame:
+    """:func:`silenced` by texts ``(pattern, is_regex, starts_us, ends_us)``: part of the field, or a regular expression found in it.
+
+    The list becomes one condition, so nothing is joined.
+    """
+    cover = F.lit(False)
+    for pattern, regex, starts, ends in silences:
+        hit = F.col(field).rlike(pattern) if regex else F.contains(F.col(field), F.lit(pattern))
+        cover = cover | (hit & (F.col("us") >= starts) & (F.col("us") < ends))
+    cover = F.coalesce(cover, F.lit(False))
+    return alerts.where(cover if keep else ~cover)
+
+
+def label_similarity(a: Column, b: Column) -> Column:
+    """Jaccard index of two label maps' pairs; 1 for two empty ones."""
+    x, y = (F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"])) for m in (a, b))
+    union = F.size(F.array_union(x, y))
+    return F.when(union > 0, F.size(F.array_intersect(x, y)) / union).otherwise(1.0)
+
+
+def time_similarity(a: Column, b: Column, window_us: int) -> Column:
+    """1 for equal times, falling to 0 at the window's width."""
+    return F.greatest(1 - F.abs(a - b) / window_us, F.lit(0.0))
+
+
+def text_similarity(a: Column, b: Column) -> Column:
+    return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
+
+
+def common_labels(alerts: DataFrame, by: list[str]) -> DataFrame:
+    """The label pairs that all alerts of a group have, as sorted ``k=v`` texts."""
+    sizes = alerts.groupBy(*by).agg(F.count("*").alias("_size"))
+    pairs = alerts.select(*by, F.explode(F.map_entries("labels")).alias("e")).groupBy(*by, "e").agg(F.count("*").alias("_n"))
+    held = pairs.join(sizes, by).where("_n = _size").select(*by, F.concat("e.key", F.lit("="), "e.value").alias("_pair"))
+    lists = held.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_list("_pair")), ",").alias("common"))
+    return sizes.join(lists, by, "left").select(*by, F.col("_size").alias("size"), F.coalesce("common", F.lit("")).alias("common"))

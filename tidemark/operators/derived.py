@@ -30,12 +30,18 @@ def findings(long: DataFrame, bounds: dict[str, tuple[float, float]] | None = No
 
 
 def pool_issues(df: DataFrame) -> DataFrame:
-    """Adds ``issues``, in order, and ``health`` of thread pools from their ``saturation``, ``utilisation``, ``failures`` and ``wait_ms``."""
-    def issue(c: str, warning: float, critical: float) -> Column:
-        return F.when(F.col(c) >= critical, f"{c}:critical").when(F.col(c) >= warning, f"{c}:warning")
-
-    idle = F.when(F.col("utilisation") < 0.2, "utilisation:low")
-    issues = F.array_compact(F.array(issue("saturation", 0.7, 0.9), F.coalesce(issue("utilisation", 2.0, 0.9), idle), issue("failures", 0.05, 0.1), issue("wait_ms", 1000, 5000)))
+    """Adds ``issues``, in order, and ``health`` of thread pools from their ``saturation``, ``utilisation``, ``failures`` and ``wait_ms``.
+
+    A column ``rejections`` counts too if there is one.
+    """
+    def issue(c: str, warning: float | None, critical: float) -> Column:
+        out = F.when(F.col(c) >= critical, f"{c}:critical")
+        return out if warning is None else out.when(F.col(c) >= warning, f"{c}:warning")
+
+    found = [issue("saturation", 0.7, 0.9), issue("utilisation", None, 0.9).when(F.col("utilisation") < 0.2, "utilisation:low"), issue("failures", 0.05, 0.1)]
+    if "rejections" in df.columns:
+        found.append(issue("rejections", 0.01, 0.05))
+    issues = F.array_compact(F.array(*found, issue("wait_ms", 1000, 5000)))
     worst = F.when(F.exists("issues", lambda i: F.endswith(i, F.lit("critical"))), "unhealthy").when(F.size("issues") > 0, "degraded").otherwise("healthy")
     return df.withColumn("issues", issues).withColumn("health", worst)
 

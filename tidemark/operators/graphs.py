@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 STATUS = ("healthy", "degraded", "unhealthy")
 
 
-def reachable(edges: DataFrame, source: str, target: str, most: int = 1000) -> DataFrame:
+def reachable(edges: DataFrame, source: str, target: str) -> DataFrame:
     """``start, reached, depth`` for all pairs along edges, with the smallest depth, by a recursive query with set semantics.
 
     Each round joins the newest pairs to the edges and keeps those that are new; it ends when none is, cycles included.
@@ -17,13 +19,12 @@ def reachable(edges: DataFrame, source: str, target: str, most: int = 1000) -> D
     step = edges.select(F.col(source).alias("start"), F.col(target).alias("reached")).distinct()
     found = step.withColumn("depth", F.lit(1))
     newest = found
-    for depth in range(2, most):
+    for depth in itertools.count(2):
         joined = newest.select("start", F.col("reached").alias("via")).join(step.select(F.col("start").alias("via"), "reached"), "via")
         newest = joined.select("start", "reached").distinct().join(found, ["start", "reached"], "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
         if newest.isEmpty():
             return found
         found = found.union(newest)
-    raise ValueError(f"paths are longer than {most}")
 
 
 def failure_impact(edges: DataFrame) -> DataFrame:
@@ -85,19 +86,38 @@ def fleet_healthy(services: DataFrame) -> DataFrame:
     return services.agg(F.coalesce(F.avg((F.col("level") == "normal").cast("int")) > 0.5, F.lit(True)).alias("healthy"))
 
 
-def trace_tree(spans: DataFrame, most: int = 1000) -> DataFrame:
-    """``trace_id, span_id, depth`` from root spans (without a parent in the trace) down, by one join a level."""
-    keys = spans.select("trace_id", "span_id", "parent_span_id")
-    parents = keys.select("trace_id", F.col("span_id").alias("parent_span_id"))
-    newest = keys.join(parents, ["trace_id", "parent_span_id"], "left_anti").select("trace_id", "span_id", F.lit(0).alias("depth"))
-    found = newest
-    for depth in range(1, most):
-        up = newest.select("trace_id", F.col("span_id").alias("parent_span_id"))
-        newest = keys.join(up, ["trace_id", "parent_span_id"]).select("trace_id", "span_id", F.lit(depth).alias("depth")).checkpoint()
-        if newest.isEmpty():
-            return found
-        found = found.union(newest)
-    raise ValueError(f"traces are deeper than {most}")
+def trace_tree(spans: DataFrame) -> DataFrame:
+    """``trace_id, span_id, depth`` from root spans (without a parent in the trace) down.
+
+    Pointer doubling: each round joins every span to the one its pointer names and doubles the pointer's reach, so a
+    trace of depth d takes log2(d) rounds. A span comes once for each way to a root, so repeated span ids multiply; spans
+    on a circle of parents, or below one, have no root and are left out.
+    """
+    known = spans.select("trace_id", F.col("span_id").alias("up")).distinct().withColumn("_there", F.lit(True))
+    state = spans.select("trace_id", "span_id", F.col("parent_span_id").alias("up")).join(known, ["trace_id", "up"], "left")
+    state = state.select("trace_id", "span_id", F.when(F.col("_there"), F.col("up")).alias("up"), F.when(F.col("_there"), 1).otherwise(0).alias("depth")).checkpoint()
+    waiting = F.count_distinct(F.when(F.col("up").isNotNull(), F.struct("trace_id", "span_id")))
+    before = state.agg(waiting).first()[0]
+    while before:
+        far = state.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"))
+        state = state.join(far, ["trace_id", "up"], "left").select("trace_id", "span_id", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth")).checkpoint()
+        left = state.agg(waiting).first()[0]
+        if left == before:  # depths have no gaps, so what no round resolves is a circle
+            break
+        before = left
+    return state.where("up IS NULL").select("trace_id", "span_id", "depth")
+
+
+def capped_spans(spans: DataFrame, order: list[str], most_spans: int = 1000, most_traces: int = 10_000) -> DataFrame:
+    """What a bounded store of traces holds: the traces that began last, and each one's first spans."""
+    starts = spans.groupBy("trace_id").agg(F.min("start_us").alias("_start")).orderBy(F.desc("_start"), F.desc("trace_id")).limit(most_traces).select("trace_id")
+    kept = spans.join(F.broadcast(starts), "trace_id", "left_semi")  # ``most_traces`` rows
+    return kept.withColumn("_r", F.row_number().over(W.partitionBy("trace_id").orderBy(*order))).where(F.col("_r") <= most_spans).drop("_r")
+
+
+def trace(spans: DataFrame, trace_id) -> DataFrame:
+    """One trace's spans; the filter reaches the scan."""
+    return spans.where(F.col("trace_id") == trace_id)
 
 
 def trace_summary(spans: DataFrame) -> DataFrame:

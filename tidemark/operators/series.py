@@ -126,3 +126,61 @@ def load_frame(events: DataFrame) -> DataFrame:
     """``metrics`` rows of the ``events`` table: name, us, value, tags, row_id, and a weight of one sample."""
     tags = F.map_from_arrays(F.array(F.lit("k"), F.lit("user_id")), F.array(F.coalesce(F.get_json_object("props", "$.k"), F.lit("")), F.col("user_id").cast("string")))
     return events.select(F.col("event_type").alias("name"), micros(F.col("ts")).alias("us"), "value", tags.alias("tags"), F.col("event_id").alias("row_id"), F.lit(1).alias("n"))
+
+
+def with_previous(df: DataFrame, by: str, order: list[str], columns: list[str], slice_us: int) -> DataFrame:
+    """Adds ``previous``: a struct of ``columns`` of the key's row before; ``order`` begins with ``us``.
+
+    Rows are windowed in time slices, so that one key fills many tasks; a slice's first row gets the last row of the
+    slice before from one row a slice. ``slice_us`` is the width, about a task's worth of one key.
+    """
+    order_by, cell = F.struct(*order), F.struct(*columns)
+    rows = df.withColumn("_slice", F.floor(F.col("us") / slice_us))
+    ends = rows.groupBy(by, "_slice").agg(F.max_by(cell, order_by).alias("_last"))
+    carried = ends.select(F.col(by).alias("_key"), F.col("_slice").alias("_at"), F.lag("_last").over(W.partitionBy(by).orderBy("_slice")).alias("_carry"))
+    rows = rows.join(carried, F.col(by).eqNullSafe(F.col("_key")) & (F.col("_slice") == F.col("_at")))
+    inner = F.lag(cell).over(W.partitionBy(by, "_slice").orderBy(*order))
+    return rows.withColumn("previous", F.coalesce(inner, "_carry")).drop("_slice", "_key", "_at", "_carry")
+
+
+def container_cpu(series: DataFrame, by: str, order: list[str], slice_us: int) -> DataFrame:
+    """Per cent of one CPU that a container's running counter ``cpu_ns`` used since its row before; null without time between."""
+    rows = with_previous(series, by, order, ["us", "cpu_ns"], slice_us)
+    elapsed = (F.col("us") - F.col("previous.us")) * 1000
+    return rows.withColumn("cpu_percent", F.when(elapsed > 0, 100.0 * (F.col("cpu_ns") - F.col("previous.cpu_ns")) / elapsed)).drop("previous")
+
+
+def sampled(df: DataFrame, key: Column, rate: float) -> DataFrame:
+    """Rows kept with a probability, decided by the key's MD5, so that reruns and other engines keep the same ones."""
+    return df.where(F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long") < int(rate * (1 << 32)))
+
+
+def smoothed_all(df: DataFrame, by: str, order: list[str], alpha: float, slice_us: int) -> DataFrame:
+    """Exponential smoothing of each key from its first row on, whatever ``alpha``; ``order`` begins with ``us``.
+
+    A step maps s to alpha x + (1 - alpha) s, and steps compose: a time slice is a factor and a sum, one fold of its
+    ordered values. From one row a slice each slice gets the value before it, and is then folded by itself.
+    """
+    import pandas as pd
+
+    rows = df.withColumn("_slice", F.floor(F.col("us") / slice_us))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col("value").cast("double").alias("x")))), lambda e: e["x"])
+    slices = rows.groupBy(by, "_slice").agg(ordered.alias("x"), F.count("*").alias("n"))
+    fold = F.aggregate("x", F.lit(0.0), lambda s, x: alpha * x + (1 - alpha) * s)
+    slices = slices.select(by, "_slice", F.struct(F.pow(F.lit(1 - alpha), F.col("n")).alias("factor"), fold.alias("sum"), F.element_at("x", 1).alias("first")).alias("map"))
+    before = F.collect_list("map").over(W.partitionBy(by).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1))
+    seed = F.aggregate("before", F.element_at("before", 1)["first"], lambda s, m: m["factor"] * s + m["sum"])
+    seeds = slices.select(F.col(by).alias("_key"), F.col("_slice").alias("_at"), before.alias("before")).select("_key", "_at", F.when(F.size("before") > 0, seed).alias("_seed"))
+    rows = rows.join(seeds, F.col(by).eqNullSafe(F.col("_key")) & (F.col("_slice") == F.col("_at"))).drop("_key", "_at")
+
+    def walk(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(order, kind="stable")
+        s, out = part["_seed"].iloc[0], []
+        for x in part["value"].astype(float):
+            s = x if s != s or s is None else alpha * x + (1 - alpha) * s
+            out.append(s)
+        return part.assign(smoothed=out)[[by, *order, "smoothed"]]
+
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (by, *order)) + ", smoothed double"
+    return rows.select(by, "_slice", *order, "value", "_seed").groupBy(by, "_slice").applyInPandas(walk, schema)

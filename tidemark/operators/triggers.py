@@ -166,3 +166,11 @@ def scaling(df: DataFrame, by: str, order: list[str], up: float, down: float, st
 
 def threshold_state(value: Column, warning: float, critical: float) -> Column:
     return F.when(value >= critical, 2).when(value >= warning, 1).otherwise(0)
+
+
+def log_anomalies(periods: DataFrame, by: str, order: str, before: int = 24, error_spike: float = 3.0, latency_spike: float = 2.0, z: float = 3.0) -> DataFrame:
+    """Flags of periods ``volume, error_rate, latency`` against the periods before: error and latency spikes, and volumes ``z`` deviations off."""
+    w = W.partitionBy(by).orderBy(order).rowsBetween(-before, -1)
+    errors, latency, volume, sd = F.avg("error_rate").over(w), F.avg("latency").over(w), F.avg("volume").over(w), F.stddev_samp("volume").over(w)
+    flag = {"error_spike": F.col("error_rate") > error_spike * errors, "slow": F.col("latency") > latency_spike * latency, "odd_volume": (sd > 1e-10) & (F.abs(F.col("volume") - volume) > z * sd)}
+    return periods.withColumns({n: F.coalesce(c, F.lit(False)) for n, c in flag.items()})

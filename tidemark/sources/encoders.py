@@ -62,6 +62,39 @@ def jaeger_span(s: dict[str, Column]) -> Column:
         s["name"].alias("operationName"), s["start_us"].alias("startTime"), s["duration_us"].alias("duration"), tags.alias("tags")))
 
 
+#: OTLP's numbers of span kinds and status codes (fixed values).
+OTLP_KINDS = {"internal": 1, "server": 2, "client": 3, "producer": 4, "consumer": 5}
+OTLP_STATUS = {"ok": 1, "error": 2}
+
+
+def otlp_span(s: dict[str, Column]) -> Column:
+    """OTLP JSON of a span: ``trace_id, span_id, parent_id`` in hexadecimal, ``name, start_us, end_us, tags``, ``service``.
+
+    Kind and status come from control tags, the other tags are attributes in order of their keys.
+    """
+    kind, status, rest = otel_span(s["tags"])
+    number = lambda column, codes: F.element_at(F.create_map(*[F.lit(x) for kv in codes.items() for x in kv]), column)
+    attributes = F.transform(sorted_pairs(F.map_concat(rest, F.create_map(F.lit("service.name"), s["service"]))), lambda e: F.struct(e["key"].alias("key"), F.struct(e["value"].alias("stringValue")).alias("value")))
+    return F.to_json(F.struct(
+        s["trace_id"].alias("traceId"), s["span_id"].alias("spanId"), s["parent_id"].alias("parentSpanId"), s["name"].alias("name"), number(kind, OTLP_KINDS).alias("kind"),
+        (s["start_us"] * 1000).cast("string").alias("startTimeUnixNano"), (s["end_us"] * 1000).cast("string").alias("endTimeUnixNano"), attributes.alias("attributes"), F.struct(number(status, OTLP_STATUS).alias("code")).alias("status")))
+
+
+def exported(df: DataFrame, form: str) -> DataFrame:
+    """Rows ``name, value, tags, us`` as ``text`` in one of ``FORMATS``."""
+    if form not in FORMATS:
+        raise ValueError(f"no such format: {form}; there are {', '.join(FORMATS)}")
+    return df.select(FORMATS[form](F.col("name"), F.col("value"), F.col("tags"), F.col("us")).alias("text"))
+
+
+FORMATS = {
+    "prometheus": lambda name, value, tags, us: prometheus_text(name, value, tags, F.floor(us / 1000), inferred_type(name)),
+    "statsd": lambda name, value, tags, us: statsd_line(name, value, inferred_type(name, timers=True), tags=tags),
+    "influx": lambda name, value, tags, us: influx_line(name, value, tags, us),
+    "otlp": lambda name, value, tags, us: otlp_metric(name, value, tags, us, inferred_type(name) == "counter"),
+}
+
+
 CONTROL_TAGS = ("span.kind", "error", "error.message")
 
 
