@@ -12,7 +12,7 @@ from tidemark.llm import ann, embed_dedup, queries, urlfilter, warc
 from tidemark.llm.common import range_cuts, shared_dir
 from tidemark.llm.components import connected_components
 
-from .helpers import roots
+from .helpers import SF, duck, roots
 
 VECTORS = "vec_id long, embedding array<float>, label int, c string, l string, links int, cell int"
 
@@ -64,7 +64,7 @@ def near(rows, q, k=10):
     return d[:k]
 
 
-@pytest.mark.parametrize("settings", [{}, {"block": 20, "query_block": 3, "centroids": 4}])
+@pytest.mark.parametrize("settings", [{"probe": 1.0}, {"probe": 1.0, "block": 20, "query_block": 3, "centroids": 4}, {"recall": 1.0}])
 def test_all_neighbours_when_all_cells_are_visited(spark, settings):
     rows = clouds() + ODD
     got = ann.nearest_neighbours(vectors(spark, rows), F.col("vec_id") % 50 == 0, **settings).collect()
@@ -79,7 +79,7 @@ def test_all_neighbours_when_all_cells_are_visited(spark, settings):
 def test_repeated_rows_take_no_slots(spark, often):
     rows = clouds()
     more = rows * 2 if often == 2 else rows + rows[:1] * 19
-    got = ann.nearest_neighbours(vectors(spark, more), F.col("vec_id") % 50 == 0).collect()
+    got = ann.nearest_neighbours(vectors(spark, more), F.col("vec_id") % 50 == 0, probe=1.0).collect()
     for q in rows[::50]:
         assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q[0]] == [v for _, v in near(rows, q)]
 
@@ -89,13 +89,46 @@ def test_few_candidates(spark):
     assert sorted((r["rank"], r.vec_id) for r in got) == [(1, 1), (2, 2), (3, 3)]
 
 
-def test_recall_with_partial_visits(spark):
-    rows = clouds(2000, seed=9)
-    got = ann.nearest_neighbours(vectors(spark, rows), F.col("vec_id") % 50 == 0, floor=1, centroids=16).collect()
+@pytest.mark.parametrize("settings", [{}, {"tried": 8, "block": 64, "query_block": 7}])
+def test_recall_with_partial_visits(spark, settings):
+    rows = clouds(4000, seed=9)
+    got = ann.nearest_neighbours(vectors(spark, rows), F.col("vec_id") % 50 == 0, centroids=16, **settings).collect()
     hits = sum(len({r.vec_id for r in got if r.query_id == q[0]} & {v for _, v in near(rows, q)}) for q in rows[::50])
     assert hits / (10 * len(rows[::50])) >= 0.9
 
 
+def test_few_cells_are_visited_where_rows_cluster():
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(64, 16))
+    x = np.repeat(centres, 50, axis=0) + rng.normal(size=(3200, 16)) * 0.01
+    parts = [(slice(0, 8), ann.lloyd(x[:, :8], 32)), (slice(8, None), ann.lloyd(x[:, 8:], 32))]
+    cell = ann.nearest_centre(x[:, :8], parts[0][1]) * 32 + ann.nearest_centre(x[:, 8:], parts[1][1])
+    counts = np.bincount(cell, minlength=1024)
+    d = [ann.centre_distances(x[:1, s], c)[0] for s, c in parts]
+    asked = ann.needed(*d, counts, cell[:10].tolist())
+    assert max(asked) < 320
+    for n, c in zip(asked, cell[:10].tolist(), strict=True):
+        assert c in ann.traverse(*d, counts, n) and (n == 1 or c not in ann.traverse(*d, counts, n - 1))
+
+
+def test_neighbour_query_against_brute_force(spark):
+    folder = SF.replace("0.001", "0.01")
+    table = spark.read.parquet(f"{folder}/embeddings.parquet").orderBy("vec_id").collect()
+    ids, x = np.array([r.vec_id for r in table]), np.array([r.embedding for r in table], dtype=float)
+    got = {}
+    for r in queries.op9_nearest_neighbours(spark, folder).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    hits = 0
+    for i in np.flatnonzero(ids % 100 == 0):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        order = [j for j in np.lexsort((ids, d)) if j != i][:10]
+        mine = sorted(got.pop(int(ids[i])))
+        assert [r for r, _, _ in mine] == list(range(1, 11)) and all(abs(s - d[np.flatnonzero(ids == v)[0]]) < 1e-12 for _, v, s in mine)
+        assert [(s, v) for _, v, s in mine] == sorted((s, v) for _, v, s in mine)
+        hits += len({v for _, v, _ in mine} & set(ids[order].tolist()))
+    assert not got and hits >= 0.9 * 10 * len(np.flatnonzero(ids % 100 == 0))
+
+
 def test_heap_walks_in_order():
     a, b = np.array([3.0, 1.0, 2.0]), np.array([0.5, 0.1])
     assert ann.traverse(a, b, np.ones(6, int), 6) == sorted(range(6), key=lambda c: a[c // 2] + b[c % 2])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -52,19 +53,62 @@ def traverse(first: np.ndarray, second: np.ndarray, counts: np.ndarray, wanted:
     return cells
 
 
+def needed(first: np.ndarray, second: np.ndarray, counts: np.ndarray, wanted: list[int]) -> list[int]:
+    """For each cell of ``wanted``, the entries that a walk must ask for to reach it."""
+    walk = traverse(first, second, counts, int(counts.sum()))
+    before = np.zeros(len(counts), dtype=np.int64)
+    before[walk] = np.cumsum(counts[walk]) - counts[walk]
+    return (before[wanted] + 1).tolist()
+
+
+def nearest_rows(q: np.ndarray, q_id: np.ndarray, e: np.ndarray, e_id: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``query row, entry row, distance`` of candidates that include each query's ``k`` nearest entries of other ids."""
+    found = [[], [], []]
+    square, step = (e * e).sum(1), max(1, (1 << 22) // max(1, len(e)))
+    for s in range(0, len(q), step):
+        part = q[s : s + step]
+        rough = square[None, :] - 2 * part @ e.T
+        rough[e_id[None, :] == q_id[s : s + step, None]] = np.inf
+        if len(e) > k:
+            limit = np.partition(rough, k - 1, axis=1)[:, k - 1]
+            limit = limit + 1e-9 * (1 + np.abs(limit) + (part * part).sum(1))
+        else:
+            limit = np.full(len(part), np.finfo(float).max)
+        i, j = np.nonzero((rough <= limit[:, None]) & (rough < np.inf))
+        for out, x in zip(found, (i + s, j, np.sqrt(((e[j] - part[i]) ** 2).sum(1))), strict=True):
+            out.append(x)
+    i, j, d = (np.concatenate(f) if f else np.zeros(0, t) for f, t in zip(found, (int, int, float), strict=True))
+    return i, j, d
+
+
+def best_rows(i: np.ndarray, ids: np.ndarray, d: np.ndarray, k: int) -> np.ndarray:
+    """Positions of each query's ``k`` nearest, ties to smaller ids."""
+    order = np.lexsort((ids, d, i))
+    own = i[order]
+    start = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, int)
+    place = np.arange(len(own)) - np.repeat(start, np.diff(np.append(start, len(own))))
+    return order[place < k]
+
+
 def nearest_neighbours(
-    df: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", centroids: int = 64,
-    probe: float = 0.6, floor: int = 5000, sample: int = 20_000, block: int | None = None, query_block: int = 2048,
+    df: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", centroids: int | None = None,
+    recall: float = 0.95, probe: float | None = None, sample: int = 20_000, tried: int = 128, block: int | None = None, query_block: int = 16_384,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row that ``queries`` selects, its ``k`` nearest other rows found.
 
-    Each half of the vectors is quantised by ``centroids`` centres fitted on at most ``sample`` vectors with the
-    smallest id hashes; every row is indexed under its pair of centres. A query walks the pairs by summed distance with
-    a heap until they hold the fraction ``probe`` of all rows, and ``floor`` rows at least; then the entries of those
-    cells are reranked by Euclidean distance of the original vectors in double precision. Cells lie in blocks of about
-    ``block`` entries (a larger cell fills several; by default a 128th of the rows, 512 to 262,144), queries in blocks of
-    ``query_block``; two blocks are compared at a time, which gives ``k`` rows for each query. Of equal vectors only the ``k + 1`` with the smallest ids are entries: no more
-    can be among the nearest, so nothing is lost.
+    Each half of the vectors is quantised by ``centroids`` centres (default: the power of two nearest to the fourth root
+    of the rows, 64 to 256) fitted on at most ``sample`` vectors with the smallest id hashes; every row is indexed under
+    its pair of centres. A query walks the pairs by summed distance with a heap until they hold a number of entries;
+    then the entries of those cells are reranked by Euclidean distance of the original vectors in double precision.
+
+    That number is measured, at every size alike: for the ``tried`` queries with the smallest id hashes the true
+    neighbours are found among all rows, and it is the least that reaches the fraction ``recall`` of them. ``probe``, a
+    fraction of all entries, takes its place if given.
+
+    Cells lie in blocks of about ``block`` entries (a larger cell fills several; by default a 128th of the rows, 512 to
+    262,144). Queries are dealt by their nearest cells into blocks of ``query_block``, and a block of entries goes only
+    to the blocks of queries that visit it; two blocks are compared at a time, which gives ``k`` rows for each query. Of
+    equal vectors only the ``k + 1`` with the smallest ids are entries: no more can be among the nearest.
 
     Vectors that are null, zero, hold null or non-finite components, or differ in length from the most common length
     take no part, nor do rows with null ids. Ties go to the smaller id; rows with a query's own id are not its
@@ -78,7 +122,12 @@ def nearest_neighbours(
         return spark.createDataFrame([], answer)
     good = good.where(F.size("v") == lengths["n"])
     good = checkpointed(good.groupBy("id", "v").agg(F.max("q").alias("q")))  # the caps below count distinct rows
-    fit = np.array([r[0] for r in good.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(sample).select("v").collect()], dtype=np.float64)
+    smallest = good.select("id", "v", "q").orderBy(F.xxhash64("id"), "id")
+    fit = np.array([r[0] for r in smallest.limit(sample).select("v").collect()], dtype=np.float64)
+    probes = smallest.where("q").limit(tried).select("id", "v").collect()  # a bounded number of queries
+    if not probes:
+        return spark.createDataFrame([], answer)
+    centroids = centroids or min(256, max(64, 1 << round(math.log2(max(1, lengths["count"])) / 4)))
     half = (lengths["n"] + 1) // 2
     parts = [(slice(0, half), lloyd(fit[:, :half], centroids)), (slice(half, None), lloyd(fit[:, half:], centroids))]
     width = len(parts[1][1])
@@ -96,14 +145,28 @@ def nearest_neighbours(
     counts = np.zeros(len(parts[0][1]) * width, dtype=np.int64)
     for cell, n in entries.groupBy("cell").count().collect():  # at most centroids squared rows
         counts[cell] = n
+    if probe is None:
+        wanted = _measured(entries, probes, parts, counts, k, recall)
+    else:
+        wanted = int(np.ceil(probe * counts.sum()))
     block = block or int(min(262_144, max(512, counts.sum() // 128)))
     splits = np.maximum(1, -(-counts // block))
     whole = np.where(splits > 1, 0, counts)
     first = np.cumsum(whole) // block  # small cells share blocks
     base = first[-1] + 1 + np.concatenate([[0], np.cumsum(np.where(splits > 1, splits, 0))[:-1]])
-    wanted = max(floor, int(np.ceil(probe * counts.sum())))
-    n_queries = good.where("q").count()
-    blocks_of_queries = -(-n_queries // query_block) or 1
+    asked = good.where("q").select("id", "v")
+    near = checkpointed(asked.mapInArrow(index, f"id long, v {kind}, cell int"))
+    held = np.zeros(len(counts), dtype=np.int64)
+    for cell, n in near.groupBy("cell").count().collect():
+        held[cell] = n
+    q_splits = np.maximum(1, -(-held // query_block))
+    q_first = np.cumsum(np.where(q_splits > 1, 0, held)) // query_block
+    q_base = q_first[-1] + 1 + np.concatenate([[0], np.cumsum(np.where(q_splits > 1, q_splits, 0))[:-1]])
+
+    def dealt(ids: np.ndarray, cell: np.ndarray, splits, base, first) -> np.ndarray:
+        """The block of each row: its cell's, or by its id one of those that a large cell fills."""
+        mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+        return np.where(splits[cell] > 1, base[cell] + (mixed % splits[cell].astype(np.uint64)).astype(np.int64), first[cell])
 
     def visit(batches):
         for b in batches:
@@ -111,6 +174,7 @@ def nearest_neighbours(
                 continue
             x = matrix(b.column("v"))
             d = [centre_distances(x[:, s], c) for s, c in parts]
+            mine = dealt(np.asarray(b.column("id")), np.asarray(b.column("cell")), q_splits, q_base, q_first)
             rows, at, cells = [], [], []
             for i in range(len(x)):
                 seen = np.array(traverse(d[0][i], d[1][i], counts, wanted))
@@ -126,36 +190,70 @@ def nearest_neighbours(
                 rows += [i] * (len(cut) + 1)
             offsets = np.concatenate([[0], np.cumsum([len(c) for c in cells])]).astype(np.int32)
             taken = pa.array(rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column("id").take(taken), b.column("v").take(taken), pa.array(at, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(cells)))], ["id", "v", "eb", "cells"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("id").take(taken), b.column("v").take(taken), pa.array(at, pa.int64()), pa.array(mine).take(taken), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(cells)))],
+                ["id", "v", "eb", "qb", "cells"],
+            )
 
-    by_cell = F.array(*map(F.lit, np.where(splits > 1, base, first).tolist()))
-    how_many = F.array(*map(F.lit, splits.tolist()))
-    placed = entries.withColumn("s", F.element_at(how_many, F.col("cell") + 1)).withColumn("eb", F.element_at(by_cell, F.col("cell") + 1) + F.pmod(F.xxhash64("id"), F.col("s")))
-    placed = placed.select("id", "v", "cell", F.col("eb").cast("long").alias("eb"), F.explode(F.sequence(F.lit(0), F.lit(blocks_of_queries - 1))).alias("qb"))
-    asked = good.where("q").select("id", "v").repartition(F.xxhash64("id")).mapInArrow(visit, f"id long, v {kind}, eb long, cells array<int>")
-    asked = asked.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(blocks_of_queries)).cast("int"))
+    def place(batches):
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(dealt(np.asarray(b.column("id")), np.asarray(b.column("cell")), splits, base, first))], ["id", "v", "cell", "eb"])
+
+    visits = checkpointed(near.repartition(F.xxhash64("id")).mapInArrow(visit, f"id long, v {kind}, eb long, qb long, cells array<int>"))
+    placed = entries.mapInArrow(place, f"id long, v {kind}, cell int, eb long")
+    visited = visits.select(F.col("eb").alias("at"), F.col("qb").alias("by")).distinct()
+    placed = placed.join(visited, F.col("eb") == F.col("at")).select("id", "v", "cell", "at", "by")
 
     def rerank(ask: pa.Table, have: pa.Table) -> pa.Table:
         q, e = matrix(ask.column("v")), matrix(have.column("v"))
-        out = {"query_id": [], "vec_id": [], "score": []}
+        i = j = np.zeros(0, dtype=np.int64)
+        d, q_id, e_id = np.zeros(0), np.asarray(ask.column("id")), np.asarray(have.column("id"))
         if len(q) and len(e):
-            q_id, e_id, cell = np.asarray(ask.column("id")), np.asarray(have.column("id")), np.asarray(have.column("cell"))
-            lists = ask.column("cells").to_pylist()
-            square = (e * e).sum(1)
-            for i in range(len(q)):
-                near = np.flatnonzero(np.isin(cell, lists[i]) & (e_id != q_id[i]))
-                if len(near) > k:
-                    rough = square[near] - 2 * (e[near] @ q[i])
-                    limit = np.partition(rough, k - 1)[k - 1]
-                    near = near[rough <= limit + 1e-9 * (1 + abs(limit) + (q[i] * q[i]).sum())]
-                d = np.sqrt(((e[near] - q[i]) ** 2).sum(1))
-                best = np.lexsort((e_id[near], d))[:k]
-                out["query_id"].append(np.full(len(best), q_id[i]))
-                out["vec_id"].append(e_id[near][best])
-                out["score"].append(d[best])
-        return pa.table({c: pa.array(np.concatenate(v) if v else [], pa.float64() if c == "score" else pa.int64()) for c, v in out.items()})
-
-    found = asked.groupBy("eb", "qb").cogroup(placed.groupBy("eb", "qb")).applyInArrow(rerank, "query_id long, vec_id long, score double")
+            cell, lists = np.asarray(have.column("cell")), ask.column("cells").combine_chunks()
+            by_cell = np.argsort(cell, kind="stable")
+            ends = np.flatnonzero(np.diff(cell[by_cell], append=-1)) + 1
+            ask_cell, ask_row = np.asarray(lists.flatten()), np.repeat(np.arange(len(q)), np.asarray(lists.value_lengths()))
+            found = []
+            for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                rows = by_cell[a:b]
+                some = ask_row[ask_cell == cell[rows[0]]]
+                if len(some):
+                    x, y, z = nearest_rows(q[some], q_id[some], e[rows], e_id[rows], k)
+                    found.append((some[x], rows[y], z))
+            if found:
+                i, j, d = (np.concatenate(f) for f in zip(*found, strict=True))
+                kept = best_rows(i, e_id[j], d, k)
+                i, j, d = i[kept], j[kept], d[kept]
+        return pa.table({"query_id": pa.array(q_id[i], pa.int64()), "vec_id": pa.array(e_id[j], pa.int64()), "score": pa.array(d, pa.float64())})
+
+    found = visits.groupBy("eb", "qb").cogroup(placed.groupBy("at", "by")).applyInArrow(rerank, "query_id long, vec_id long, score double")
     found = found.distinct()
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _measured(entries: DataFrame, probes: list, parts: list, counts: np.ndarray, k: int, recall: float) -> int:
+    """The least number of entries to ask for that reaches ``recall`` of the true neighbours of the queries ``probes``."""
+    q_id, q = np.array([r[0] for r in probes]), np.array([r[1] for r in probes], dtype=np.float64)
+
+    def nearest(batches):
+        best = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            i, j, d = nearest_rows(q, q_id, matrix(b.column("v")), ids := np.asarray(b.column("id")), k)
+            new = [i, ids[j], d, np.asarray(b.column("cell"))[j]]
+            best = new if best is None else [np.concatenate(x) for x in zip(best, new, strict=True)]
+            kept = best_rows(best[0], best[1], best[2], k)
+            best = [x[kept] for x in best]
+        if best is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (best[0].astype(np.int32), best[1], best[2], best[3].astype(np.int32))], ["q", "id", "d", "cell"])
+
+    found = entries.mapInArrow(nearest, "q int, id long, d double, cell int").withColumn("r", F.row_number().over(W.partitionBy("q").orderBy("d", "id"))).where(F.col("r") <= k)
+    cells: dict[int, list[int]] = {}
+    for i, cell in found.select("q", "cell").collect():  # k rows a query at most
+        cells.setdefault(i, []).append(cell)
+    d = [centre_distances(q[:, s], c) for s, c in parts]
+    asked = sorted(n for i, c in cells.items() for n in needed(d[0][i], d[1][i], counts, c))
+    return asked[max(0, math.ceil(recall * len(asked)) - 1)] if asked else 1
