@@ -55,7 +55,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     order inside a source is a running sum in two steps: over the sums of many buckets of the MD5, and inside a bucket,
     so a hot source is spread over all tasks.
 
-    Null texts have size 0, null sources form one source, repeated rows count each, null ids come first in their bucket.
+    Null texts have size 0, null sources form one source, repeated rows count each, rows with null ids come first, by size.
     Ties of id and size are between equal rows. Empty tables give empty results; other columns are ignored.
     """
     digest = F.coalesce(F.md5(F.col(id_col).cast("string")), F.lit(""))
@@ -64,17 +64,18 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     ))
     buckets = 16 ** 3
     bucket = F.coalesce(F.conv(F.substring("turn", 1, 3), 16, 10).cast("int"), F.lit(0))
-    rows = rows.withColumn("bucket", bucket)
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("s"))
-    bases = sums.select("source", "bucket", (F.sum("s").over(W.partitionBy("source").orderBy("bucket")) - F.col("s")).alias("base"))
+    # rows without an id share one turn, in which they stand by size
+    rows = rows.withColumns({"bucket": bucket, "sub": F.when(F.col("doc_id").isNull(), F.col("size")).otherwise(-1)})
+    sums = rows.groupBy("source", "bucket", "sub").agg(F.sum("size").alias("s"))
+    bases = sums.select("source", "bucket", "sub", (F.sum("s").over(W.partitionBy("source").orderBy(F.desc(F.col("sub") >= 0), "bucket", "sub")) - F.col("s")).alias("base"))
     goals = targets(sums.groupBy("source").agg(F.sum("s").alias("source_size")), share, cap)
     order = W.orderBy(F.col("source").asc_nulls_last())
     turn = (F.row_number().over(order) - 1) % len(SCHEDULE) + 1
     goals = goals.select("*", *[F.element_at(F.array(*[F.lit(s[i]) for s in SCHEDULE]), turn).alias(n) for i, n in enumerate(("w0", "w1"))])
-    known = bases.join(goals.withColumnRenamed("source", "g"), F.col("source").eqNullSafe(F.col("g"))).drop("g").withColumnsRenamed({"source": "s", "bucket": "b"})
-    inner = W.partitionBy("source", "bucket").orderBy("turn", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    known = bases.join(goals.withColumnRenamed("source", "g"), F.col("source").eqNullSafe(F.col("g"))).drop("g").withColumnsRenamed({"source": "s", "bucket": "b", "sub": "e"})
+    inner = W.partitionBy("source", "bucket", "sub").orderBy("turn", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     placed = rows.withColumn("inner", F.coalesce(F.sum("size").over(inner), F.lit(0)))
-    placed = placed.join(known, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+    placed = placed.join(known, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")) & (F.col("sub") == F.col("e")))
     start, goal, size, whole = F.col("base") + F.col("inner"), F.floor("target"), F.col("size"), F.col("source_size")
     zero = F.lit(0).cast("long")
 
@@ -89,6 +90,12 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     )
 
 
+def in_order(df: DataFrame, at: str = "position", id_col: str = "doc_id") -> DataFrame:
+    """Range-sorted by training time, rows without one last; the id keeps those of equal times apart."""
+    key = (F.col(at).asc_nulls_last(), F.col(id_col))
+    return df.repartitionByRange(partitions(df.sparkSession), *key).sortWithinPartitions(*key)
+
+
 def mix_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``df`` as the mix takes them, whole, range-sorted by training time; a row comes 0, 1 or 2 times.
 
@@ -98,5 +105,4 @@ def mix_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     plan = mix(df, id_col, text_col, source_col).where("copies > 0")
     times = plan.groupBy(F.col("doc_id").alias(name)).agg(F.array_compact(F.array(F.min("position"), F.min("position_2"))).alias(times_))
     taken = df.join(times, F.col(id_col).eqNullSafe(F.col(name))).withColumn(at, F.explode(times_))
-    ordered = taken.repartitionByRange(partitions(df.sparkSession), at, id_col).sortWithinPartitions(at, id_col)
-    return ordered.select(*[F.col(f"`{c}`") for c in df.columns])
+    return in_order(taken, at, id_col).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -32,7 +32,7 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.in_order(mixing.mix(table(spark, sf_dir, "documents")))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
