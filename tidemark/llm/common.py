@@ -16,17 +16,30 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the one given to ``setCheckpointDir``.
 
-    A temporary one is set only where the session names none, as in local tests.
+    Where the session names none, a local session gets a temporary one, as in tests; a cluster has to name one.
     """
     context = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or getattr(context, "_tidemark_root", None)
+    known = context._jsc.sc().getCheckpointDir()
+    root = spark.conf.get("spark.checkpoint.dir", None) or getattr(context, "_tidemark_root", None) or (known.get() if known.isDefined() else None)
     if not root:
-        root = context._tidemark_root = tempfile.mkdtemp(prefix="tidemark-")
-    if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="tidemark-")
+    context._tidemark_root = root
+    if known.isEmpty():
         context.setCheckpointDir(root)
-    return root.rstrip("/")
+    return qualified(spark, root.rstrip("/"))
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path without a scheme with that of the cluster's default file system, unless that is local."""
+    if ":" in path.split("/")[0]:
+        return path
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    return path if full.startswith("file:") else full
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -40,7 +53,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def unsized(df: DataFrame) -> DataFrame:
+    """A checkpoint's rows without the size that was estimated for its plan, for the next round of an iteration.
+
+    A join counts as the product of its sides, so an estimate that is carried on is squared with every round, to
+    numbers of millions of digits.
+    """
+    session, rows = df.sparkSession, df._jdf
+    return DataFrame(session._jsparkSession.createDataFrame(rows.toJavaRDD(), rows.schema()), session)
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+    """Arrow's file system of a URI and the path in it; Hadoop's ``s3a`` is Arrow's ``s3``."""
+    uri = uri.replace("s3a://", "s3://", 1) if uri.startswith("s3a:") else uri
     return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
 
 
@@ -66,6 +91,23 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of one key that a join may put into one task.
+HOT = 50_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, count: str, spread: str, most: int = HOT) -> DataFrame:
+    """``left`` joined by ``key`` to ``right``, which has one row a key with the number of its rows in ``left`` as ``count``.
+
+    Rows of a key with over ``most`` rows are dealt by the column ``spread`` over as many tasks as they need. Such keys
+    are at most a ``most``-th of the rows, so they are broadcast. ``right`` is read twice: it should be a checkpoint.
+    """
+    salt, salts = fresh(left, "salt"), fresh(left, "salts")
+    right = right.withColumn(salts, F.greatest(F.ceil(F.col(count) / most), F.lit(1)).cast("int"))
+    hot = right.where(F.col(count) > most).select(key, salts)
+    dealt = left.join(F.broadcast(hot), key, "left").withColumn(salt, F.pmod(F.xxhash64(spread), F.coalesce(salts, F.lit(1))).cast("int")).drop(salts)
+    return dealt.join(right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.col(salts) - 1))), [key, salt]).drop(salt, salts, count)
+
+
 def range_cuts(df: DataFrame, key: str, pieces: int, per_piece: int = 32) -> list[int]:
     """At most ``pieces - 1`` ascending cut points of a BIGINT key, the same for the same rows.
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, partitions, piece_of, range_cuts
+from .common import checkpointed, filesystem, partitions, piece_of, range_cuts, spread_join
 
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # RFC 4122's name space for URLs
 DATE = "2024-01-01T00:00:00Z"
@@ -84,9 +84,9 @@ def write_warc(
     pages = df.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("sha1", F.sha1("payload"))
     facts = pages.where(F.octet_length("payload") >= least_bytes).select("id", "sha1", "url")
     firsts = facts.groupBy("sha1").agg(F.min("id").alias("to"), F.min_by("url", "id").alias("to_url"), F.count("*").alias("n"))
-    firsts = firsts.where("n > 1 and to is not null").drop("n")
+    firsts = checkpointed(firsts.where("n > 1 and to is not null"))
     none = F.lit(None)
-    notes = facts.select("id", "sha1").join(firsts, "sha1").distinct().select(
+    notes = spread_join(facts.select("id", "sha1"), firsts, "sha1", "n", "id").distinct().select(
         "id", "sha1", F.lit(0).alias("kind"), none.cast("string").alias("url"), none.cast("binary").alias("payload"), "to", "to_url")
     records = pages.select("id", "sha1", F.lit(1).alias("kind"), "url", "payload", none.cast("long").alias("to"), none.cast("string").alias("to_url"))
     cuts = range_cuts(df, id_col, shards or partitions(spark))
