@@ -95,13 +95,13 @@ def partitions(spark: SparkSession) -> int:
 HOT = 50_000
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, count: str, spread: str, most: int = HOT) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: str, count: str, spread: str, most: int | None = None) -> DataFrame:
     """``left`` joined by ``key`` to ``right``, which has one row a key with the number of its rows in ``left`` as ``count``.
 
-    Rows of a key with over ``most`` rows are dealt by the column ``spread`` over as many tasks as they need. Such keys
+    Rows of a key with over ``most`` (by default ``HOT``) rows are dealt by the column ``spread`` over as many tasks as they need. Such keys
     are at most a ``most``-th of the rows, so they are broadcast. ``right`` is read twice: it should be a checkpoint.
     """
-    salt, salts = fresh(left, "salt"), fresh(left, "salts")
+    most, salt, salts = most or HOT, fresh(left, "salt"), fresh(left, "salts")
     right = right.withColumn(salts, F.greatest(F.ceil(F.col(count) / most), F.lit(1)).cast("int"))
     hot = right.where(F.col(count) > most).select(key, salts)
     dealt = left.join(F.broadcast(hot), key, "left").withColumn(salt, F.pmod(F.xxhash64(spread), F.coalesce(salts, F.lit(1))).cast("int")).drop(salts)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, spread_join, unsized
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -15,20 +15,21 @@ def _state(edges: DataFrame) -> tuple:
 def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     """``node, root`` for every node of ``links``; root is the component's smallest node.
 
-    Large-star and small-star rounds, each two aggregations with map-side combine and one join, repeat until the
-    edges stop changing, in a number of rounds that grows with the logarithm of the diameter. Each round ends in a
-    reliable checkpoint. Rows with a null end and links of a node with itself don't count as links.
+    Large-star and small-star rounds, each two aggregations with map-side combine and joins that deal out the many links
+    of a contracted root, repeat until the edges stop changing, in a number of rounds that grows with the logarithm of
+    the diameter. Each round ends in a reliable checkpoint. Rows with a null end and links of a node with itself don't
+    count as links.
     """
     edges = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct()
-    edges = checkpointed(edges)
+    edges = unsized(checkpointed(edges))
     seen = _state(edges)
     while seen[0]:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        edges = checkpointed(small.select("e.a", "e.b").where("a <> b").distinct())
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = spread_join(both.where("b > a"), least, "a", "n", "b").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = spread_join(large, least, "a", "n", "b").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        edges = unsized(checkpointed(small.select("e.a", "e.b").where("a <> b").distinct()))
         now = _state(edges)
         if now == seen:
             break

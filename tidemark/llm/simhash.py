@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, each, fresh, partitions
+from .common import checkpointed, each, fresh, partitions, spread_join
 from .components import connected_components
 
 SHINGLE, SEED, LINK = 3, 42, 2
@@ -133,8 +133,8 @@ def near_prints(prints: DataFrame, col: str) -> DataFrame:
                 row, anchor = anchors.near(part)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(part[row])], ["anchor", "b"])
 
-    # without a count of its own, the few bytes here would be read by few tasks, each making 61 rows of one
-    one = prints.select(F.col(col).alias("p")).repartition(partitions(prints.sparkSession), "p")
+    # without a count and a key of its own, the few bytes here would be read by few tasks, each making 61 rows of one
+    one = prints.select(F.col(col).alias("p"), F.xxhash64(col).alias("turn")).repartition(partitions(prints.sparkSession), "turn").select("p")
     left = one.mapInArrow(homes, "anchor long, a long")
     right = one.mapInArrow(visits, "anchor long, b long")
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= LINK)
@@ -149,11 +149,12 @@ def with_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     unless a component has no other. Empty tables give empty results; other columns are ignored.
     """
     prints = checkpointed(df.select(F.col(id_col).alias("doc_id"), simhash(F.col(text_col)).alias("print")))
-    nodes = prints.groupBy("print").agg(F.min("doc_id").alias("first"))
+    nodes = prints.groupBy("print").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"))
     roots = connected_components(near_prints(nodes, "print"), "a", "b")
     known = nodes.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
-    named = known.join(known.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("print", "component_id")
-    return prints.join(named, "print").select("doc_id", "print", "component_id")
+    least = known.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("prints"))
+    named = checkpointed(spread_join(known, least, "root", "prints", "print").select("print", "component_id", "rows"))
+    return spread_join(prints, named, "print", "rows", "doc_id").select("doc_id", "print", "component_id")
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
