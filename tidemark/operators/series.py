@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from ..functions.times import micros, step_start
 
 
+#: Width of the time slices in which a series is windowed, so that one fills many tasks.
+SLICE_US = 86_400_000_000
+
+
 def guarded(numerator: Column, denominator: Column) -> Column:
     """The quotient, or 0.0 where the denominator is 0 or null."""
     return F.when(denominator != 0, numerator / denominator).otherwise(F.lit(0.0))
@@ -90,18 +94,19 @@ def calculus(series: DataFrame, order: list[str]) -> DataFrame:
         F.sum((F.col("value") + F.col("prev")) / 2 * F.col("dt")).alias("integral"))
 
 
-def counter_rates(series: DataFrame, order: list[str]) -> DataFrame:
+def counter_rates(series: DataFrame, order: list[str], slice_us: int = SLICE_US) -> DataFrame:
     """Each row's increase a second since the row before; null after a reset, for the first row and for no time."""
-    w = W.partitionBy("name").orderBy(*order)
-    before, dt = F.lag("value").over(w), (F.col("us") - F.lag("us").over(w)) / 1e6
-    return series.withColumn("rate", F.when((before > 0) & (F.col("value") >= before) & (dt > 0), (F.col("value") - before) / dt))
+    rows = with_previous(series, "name", order, ["us", "value"], slice_us)
+    before, dt = F.col("previous.value"), (F.col("us") - F.col("previous.us")) / 1e6
+    return rows.withColumn("rate", F.when((before > 0) & (F.col("value") >= before) & (dt > 0), (F.col("value") - before) / dt)).drop("previous")
 
 
-def busy_percent(series: DataFrame, idle: str, total: str, by: str, order: list[str]) -> DataFrame:
+def busy_percent(series: DataFrame, idle: str, total: str, by: str, order: list[str], slice_us: int = SLICE_US) -> DataFrame:
     """100 (1 - change of idle / change of total) of two running counters; 0 without change."""
-    w = W.partitionBy(by).orderBy(*order)
-    part = guarded((F.col(idle) - F.lag(idle).over(w)).cast("double"), (F.col(total) - F.lag(total).over(w)).cast("double"))
-    return series.withColumn("busy", F.when(F.col(total) - F.lag(total).over(w) > 0, 100 * (1 - part)).otherwise(0.0))
+    rows = with_previous(series, by, order, [idle, total], slice_us)
+    change = F.col(total) - F.col(f"previous.{total}")
+    part = guarded((F.col(idle) - F.col(f"previous.{idle}")).cast("double"), change.cast("double"))
+    return rows.withColumn("busy", F.when(change > 0, 100 * (1 - part)).otherwise(0.0)).drop("previous")
 
 
 def correlation(left: DataFrame, right: DataFrame, start_us: int, step_us: int) -> DataFrame:
@@ -128,17 +133,17 @@ def load_frame(events: DataFrame) -> DataFrame:
     return events.select(F.col("event_type").alias("name"), micros(F.col("ts")).alias("us"), "value", tags.alias("tags"), F.col("event_id").alias("row_id"), F.lit(1).alias("n"))
 
 
-def with_previous(df: DataFrame, by: str, order: list[str], columns: list[str], slice_us: int) -> DataFrame:
-    """Adds ``previous``: a struct of ``columns`` of the key's row before; ``order`` begins with ``us``.
+def with_previous(df: DataFrame, by: str, order: list[str], columns: list[str], slice_us: int = SLICE_US) -> DataFrame:
+    """Adds ``previous``: a struct of ``columns`` of the key's row before; ``order`` begins with a number, as a time.
 
     Rows are windowed in time slices, so that one key fills many tasks; a slice's first row gets the last row of the
-    slice before from one row a slice. ``slice_us`` is the width, about a task's worth of one key.
+    slice before from one row a slice. ``slice_us`` is the width of a slice in that number, about a task's worth of one key.
     """
     order_by, cell = F.struct(*order), F.struct(*columns)
-    rows = df.withColumn("_slice", F.floor(F.col("us") / slice_us))
+    rows = df.withColumn("_slice", F.floor(F.col(order[0]) / slice_us))
     ends = rows.groupBy(by, "_slice").agg(F.max_by(cell, order_by).alias("_last"))
     carried = ends.select(F.col(by).alias("_key"), F.col("_slice").alias("_at"), F.lag("_last").over(W.partitionBy(by).orderBy("_slice")).alias("_carry"))
-    rows = rows.join(carried, F.col(by).eqNullSafe(F.col("_key")) & (F.col("_slice") == F.col("_at")))
+    rows = rows.join(carried, F.col(by).eqNullSafe(F.col("_key")) & F.col("_slice").eqNullSafe(F.col("_at")))
     inner = F.lag(cell).over(W.partitionBy(by, "_slice").orderBy(*order))
     return rows.withColumn("previous", F.coalesce(inner, "_carry")).drop("_slice", "_key", "_at", "_carry")
 
@@ -171,7 +176,7 @@ def smoothed_all(df: DataFrame, by: str, order: list[str], alpha: float, slice_u
     before = F.collect_list("map").over(W.partitionBy(by).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1))
     seed = F.aggregate("before", F.element_at("before", 1)["first"], lambda s, m: m["factor"] * s + m["sum"])
     seeds = slices.select(F.col(by).alias("_key"), F.col("_slice").alias("_at"), before.alias("before")).select("_key", "_at", F.when(F.size("before") > 0, seed).alias("_seed"))
-    rows = rows.join(seeds, F.col(by).eqNullSafe(F.col("_key")) & (F.col("_slice") == F.col("_at"))).drop("_key", "_at")
+    rows = rows.join(seeds, F.col(by).eqNullSafe(F.col("_key")) & F.col("_slice").eqNullSafe(F.col("_at"))).drop("_key", "_at")
 
     def walk(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(order, kind="stable")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .series import guarded
+from .series import SLICE_US, guarded, with_previous
 
 EPSILON = 1e-9
 
@@ -93,16 +93,17 @@ def anomalies(df: DataFrame, by: str, order: list[str], k: float = 3.0, rows: in
     return df.withColumn("anomaly", F.coalesce(hit, F.lit(False)))
 
 
-def deltas(df: DataFrame, by: str, order: list[str], threshold: float, absolute: bool = True) -> DataFrame:
+def deltas(df: DataFrame, by: str, order: list[str], threshold: float, absolute: bool = True, slice_us: int = SLICE_US) -> DataFrame:
     """Flags changes since the row before that exceed a threshold; the first row is not flagged."""
-    d = F.col("value") - F.lag("value").over(W.partitionBy(by).orderBy(*order))
-    return df.withColumn("delta", F.coalesce((F.abs(d) if absolute else d) > threshold, F.lit(False)))
+    d = F.col("value") - F.col("previous.value")
+    rows = with_previous(df, by, order, ["value"], slice_us)
+    return rows.withColumn("delta", F.coalesce((F.abs(d) if absolute else d) > threshold, F.lit(False))).drop("previous")
 
 
-def absences(df: DataFrame, by: str, order: list[str], longer_us: int) -> DataFrame:
+def absences(df: DataFrame, by: str, order: list[str], longer_us: int, slice_us: int = SLICE_US) -> DataFrame:
     """Flags rows that come more than ``longer_us`` after the row before."""
-    gap = F.col("us") - F.lag("us").over(W.partitionBy(by).orderBy(*order))
-    return df.withColumn("gap_us", gap).withColumn("absent", F.coalesce(gap > longer_us, F.lit(False)))
+    rows = with_previous(df, by, order, ["us"], slice_us).withColumn("gap_us", F.col("us") - F.col("previous.us"))
+    return rows.withColumn("absent", F.coalesce(F.col("gap_us") > longer_us, F.lit(False))).drop("previous")
 
 
 def slopes(df: DataFrame, by: str, window_us: int, threshold: float, direction: str = "either", least: int = 2) -> DataFrame:

@@ -743,7 +743,11 @@ def stream(spark, sf_dir) -> DataFrame:
 def stream_folder(spark) -> str:
     import tempfile
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="tidemark-")
     return f"{root.rstrip('/')}/streams"
 
 
