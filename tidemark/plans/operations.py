@@ -13,7 +13,7 @@ from ..operators import derived, folds, graphs, ordering, rules
 from ..operators import series as S
 from ..operators import triggers as T
 from ..sources import encoders as E
-from .registry import ALERTS, DAY, HOUR, MINUTE, SPANS, STATES_SQL, T0, alerts, checks, edges, evaluated, metrics, query, read, rounded, spans
+from .registry import ALERTS, DAY, HOUR, MINUTE, ORACLE_SQL, SPANS, STATES_SQL, T0, alerts, checks, edges, evaluated, metrics, query, read, rounded, spans
 
 # --- rules ----------------------------------------------------------------------------------------------------------
 
@@ -283,6 +283,10 @@ def load_level_changes(spark, sf_dir):
     return rounded(folds.adaptive_levels(e, "name", margin=5.0, cooldown_us=HOUR), "cpu", "memory")
 
 
+# the same without rounding: both engines do the same double operations in the same order
+ORACLE_SQL["adaptive_levels"] = ORACLE_SQL["load_level_changes"].replace("round(cpu, 6)", "cpu").replace("round(memory, 6)", "memory")
+
+
 # --- health, traces, exports ----------------------------------------------------------------------------------------
 
 
