@@ -201,7 +201,8 @@ def fold(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 20_000) -> Additive:
     """Fits on at most ``sample`` labelled rows outside the held-out fold, those with the smallest id hashes.
 
-    A label counts once an id (its mean if repeated, rounded up at a half); null ids and labels are left out.
+    A label counts once an id (its mean if repeated, rounded up at a half), and of repeated ids the document with the
+    smallest features; null ids and labels are left out.
     """
     chosen = labels.where((fold(F.col(id_col)) != 0) & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("k")).agg((F.avg(label_col) >= 0.5).cast("int").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("k"), "k").limit(sample)  # bounded, so it may be broadcast
@@ -210,8 +211,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def described(texts: pa.Array) -> pa.Array:
         return pa.array([features(t) for t in each(texts)], pa.list_(pa.float64()))
 
-    rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "k").select("k", "y", described("t").alias("x")).limit(4 * sample).collect()
-    rows = sorted(rows, key=lambda r: (r["k"], r["x"]))
+    rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "k").select("k", "y", described("t").alias("x"))
+    rows = sorted(rows.groupBy("k", "y").agg(F.min("x").alias("x")).collect(), key=lambda r: r["k"])  # ``sample`` rows at most
     x = np.array([r["x"] for r in rows]).reshape(-1, len(NAMES))
     return fit(x, np.array([r["y"] for r in rows], dtype=float))
 
