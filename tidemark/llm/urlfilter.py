@@ -7,7 +7,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import HOT, checkpointed, spread_join
 
 #: (verdict, host, path): the rules of the production query.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -42,22 +42,23 @@ def propagate(edges: DataFrame, seeds: DataFrame, source: str, to: str, damping:
 
     A host passes ``damping`` of its rank on, in proportion to link counts; rank of a host without such links ends
     there. Hosts that nothing reaches are left out. Rounds go on until all hosts' ranks together change by at most ``tolerance``
-    of the seeds' sum in a round; a checkpoint ends every fourth one. As the change falls by ``damping`` a round at least, this ends.
+    of the seeds' sum in a round; a checkpoint ends each, and every fourth is compared. As the change falls by ``damping`` a round at least, this ends.
     """
-    total = edges.groupBy(F.col(source).alias("from")).agg(F.sum("links").alias("all"))
-    flow = checkpointed(edges.join(total, edges[source] == total["from"]).select("from", F.col(to).alias("onto"), (F.col("links") / F.col("all") * damping).alias("part")))
+    salts = F.greatest(F.ceil(F.count("*") / HOT), F.lit(1)).cast("int")  # a hub's links are dealt over that many tasks
+    total = checkpointed(edges.groupBy(F.col(source).alias("from")).agg(F.sum("links").alias("all"), F.count("*").alias("n"), salts.alias("salts")))
+    flow = edges.select(F.col(source).alias("from"), F.col(to).alias("onto"), "links")
+    flow = spread_join(flow, total, "from", "n", "onto").withColumn("salt", F.pmod(F.xxhash64("onto"), "salts").cast("int"))
+    flow = checkpointed(flow.select("from", "salt", "onto", (F.col("links") / F.col("all") * damping).alias("part")))
     start = seeds.select("host", (F.col("seed") * (1 - damping)).alias("rank"))
     rank = start
     least = tolerance * (seeds.agg(F.sum("seed")).first()[0] or 0.0)
-    before, i, moving = None, 0, not edges.isEmpty()
+    i, moving = 0, not edges.isEmpty()
     while moving:
-        passed = flow.join(rank, flow["from"] == rank["host"]).select(F.col("onto").alias("host"), (F.col("part") * F.col("rank")).alias("rank"))
-        rank = start.union(passed).groupBy("host").agg(F.sum("rank").alias("rank"))
+        sent = rank.join(total, F.col("host") == F.col("from")).select("from", "rank", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+        passed = flow.join(sent, ["from", "salt"]).select(F.col("onto").alias("host"), (F.col("part") * F.col("rank")).alias("rank"))
+        before, rank = rank, checkpointed(start.union(passed).groupBy("host").agg(F.sum("rank").alias("rank")))
         i += 1
-        if i % 4 == 3:
-            rank = before = checkpointed(rank)
-        elif i % 4 == 0:
-            rank = checkpointed(rank)
+        if i % 4 == 0:
             old = before.select(F.col("host").alias("h"), F.col("rank").alias("old"))
             change = F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))
             moving = (rank.join(old, F.col("host") == F.col("h"), "full").agg(change).first()[0] or 0.0) > least
@@ -92,8 +93,8 @@ def judge(
     pages = df.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     hosts = pages.select("host").distinct()
     table = spark.createDataFrame([(v, h, p, f"{h}{p}", len(h) + len(p)) for v, h, p in rules], "verdict string, end string, start string, rule string, length int")
-    names = F.split("host", r"\.")
-    ends = F.explode(F.transform(F.sequence(F.lit(1), F.size(names)), lambda i: F.array_join(F.slice(names, i, F.size(names)), ".")))
+    labels = max((h.count(".") + 1 for _, h, _ in rules), default=1)  # a longer end of a host is no rule's
+    ends = F.explode(F.array_distinct(F.array(*[F.substring_index("host", ".", -i) for i in range(1, labels + 1)])))
     fits = hosts.where("host <> ''").select("host", ends.alias("end")).join(table, "end")
     lists = fits.groupBy("host").agg(F.array_sort(F.collect_list(F.struct((-F.col("length")).alias("length"), "rule", "start", "verdict"))).alias("rules"))
     lists = checkpointed(lists)
