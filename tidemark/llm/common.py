@@ -146,6 +146,16 @@ def usable_vector(vector: Column) -> Column:
     )
 
 
+def steps(vector: Column, scale: int = 256) -> Column:
+    """Each component as BIGINT floor(scale * component); beyond that type's range it is the nearest of its numbers."""
+    return F.transform(vector, lambda c: F.floor(F.lit(float(scale)) * c.cast("double")) + F.lit(0).cast("long"))
+
+
+def complete_vector(vector: Column) -> Column:
+    """True for vectors that are not null and hold neither null nor non-finite components; the empty and the zero vector count."""
+    return vector.isNotNull() & F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))), F.lit(False))
+
+
 def matrix(vectors: pa.Array | pa.ChunkedArray, dtype=np.float64) -> np.ndarray:
     """Rows of equal length as a matrix."""
     if isinstance(vectors, pa.ChunkedArray):

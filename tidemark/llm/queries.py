@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, embed_dedup, linededup, mixing, quality, simhash, tokenstore, urlfilter, warc
+from . import ann, bpe, clustering, embed_dedup, hmm, linededup, mixing, quality, simhash, tokenstore, urlfilter, warc, whitening
 from .common import shared_dir, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -72,11 +72,23 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.read_tokens(spark, folder, with_ids=False)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_texts(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_embedding_near_dedup, op2_bpe_round_trip, op3_quality_classifier, op4_source_mix, op5_warc, op6_line_dedup, op6_source_lines, op7_simhash, op8_url_filter,
-        op9_nearest_neighbours, op10_token_files,
+        op9_nearest_neighbours, op10_token_files, op11_whitening, op12_clustering, op13_language_model,
     )
 }
 
@@ -165,4 +177,25 @@ FROM j LEFT JOIN t{rounds} ON t{rounds}.host = j.host LEFT JOIN d{rounds} ON d{r
 """
 
 
-ORACLE_SQL = {"op1_embedding_near_dedup": OP1_SQL, "op4_source_mix": OP4_SQL, "op5_warc": OP5_SQL, "op6_line_dedup": OP6_SQL, "op6_source_lines": OP6_SOURCE_SQL, "op8_url_filter": _op8_sql()}
+def _op12_sql(rounds: int = 5) -> str:
+    """Plain Lloyd rounds, one common table for each step."""
+    parts = []
+    for i in range(rounds + 1):
+        parts.append(
+            f"a{i} AS MATERIALIZED (SELECT row, arg_min(c, d * 1000 + c) AS c, min(d) AS d FROM (SELECT row, c, list_sum(list_transform(list_zip(x, m), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM k, c{i}) GROUP BY row)"
+        )
+        parts.append(
+            f"c{i + 1} AS MATERIALIZED (SELECT c{i}.c, coalesce(n.m, c{i}.m) AS m FROM c{i} LEFT JOIN (SELECT c, list(floor(s / n)::BIGINT ORDER BY i) AS m FROM "
+            f"(SELECT c, i, sum(v)::DOUBLE AS s, count(*)::DOUBLE AS n FROM (SELECT c, unnest(x) AS v, unnest(range(64)) AS i FROM k JOIN a{i} USING (row)) GROUP BY c, i) GROUP BY c) n ON n.c = c{i}.c)"
+        )
+    return f"""
+WITH k AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda v: floor(256 * v::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), x) - 1 AS c, x AS m FROM k WHERE vec_id IS NOT NULL ORDER BY c LIMIT 40),
+{", ".join(parts[:-1])}
+SELECT vec_id, a{rounds}.c::INT AS cluster, d AS distance, sum(d) OVER (PARTITION BY a{rounds}.c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM k JOIN a{rounds} USING (row) JOIN c{rounds} ON c{rounds}.c = a{rounds}.c
+"""
+
+
+ORACLE_SQL = {"op1_embedding_near_dedup": OP1_SQL, "op4_source_mix": OP4_SQL, "op5_warc": OP5_SQL, "op6_line_dedup": OP6_SQL, "op6_source_lines": OP6_SOURCE_SQL, "op8_url_filter": _op8_sql(), "op12_clustering": _op12_sql()}
