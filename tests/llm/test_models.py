@@ -134,7 +134,7 @@ def held(doc_id):
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 == 2
 
 
-def brute_force(docs, states, rounds, own):
+def brute_force(docs, states, rounds, own, weight):
     """Counts, Baum-Welch and scores by plain loops over probabilities (texts here are short)."""
     texts = [(i, held(i), tokens(t)) for i, t in docs]
     counts = {}
@@ -169,7 +169,7 @@ def brute_force(docs, states, rounds, own):
                 ne[w] += f[t] * b[t] / p
                 if t + 1 < len(seq):
                     na += a * np.outer(f[t], e[seq[t + 1]] * b[t + 1]) / p
-        e = ne + np.array(prior)[:, None]
+        e = ne + weight * np.array(prior)[:, None]
         a, pi, e = na + 1 / states, np_ + 1 / states, e / e.sum(axis=0)
         a, pi = a / a.sum(axis=1, keepdims=True), pi / pi.sum()
     out = []
@@ -193,8 +193,8 @@ def test_language_model_against_plain_loops(spark, monkeypatch, own, listed, cel
     docs += [(None, "the cat"), (None, None), (81, None), (82, ""), (83, " \n "), (5, "cat cat only-held-out"), (next(i for i in range(100, 200) if held(i)), "never seen word cat")]
     extra = [(i, t, "z", "z", 1, "z", "z") for i, t in docs]
     df = spark.createDataFrame(extra, "doc_id long, text string, ids string, row string, word int, n string, held_out string").repartition(3)
-    want = brute_force(docs, 3, 3, own)
-    got = [tuple(r) for r in hmm.score_texts(df, states=3, rounds=3, own=own, listed=listed).collect()]
+    want = brute_force(docs, 3, 3, own, 2.5)
+    got = [tuple(r) for r in hmm.score_texts(df, states=3, rounds=3, weight=2.5, own=own, listed=listed).collect()]
     key = lambda r: (r[0] is None, r[0] or 0, r[2], round(r[5], 6))
     for g, w in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
         assert g[:5] == w[:5] and g[5] == pytest.approx(w[5]) and g[6] == pytest.approx(w[6])

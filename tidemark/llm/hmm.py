@@ -135,8 +135,8 @@ class Hidden:
         return cls(np.full(states, 1 / states), np.full((states, states), (1 - stay) / states) + stay * np.eye(states), emit / emit.sum(axis=0))
 
     @classmethod
-    def of(cls, expected: dict[int, np.ndarray], known: Lexicon, states: int, weight: float = 1.0) -> Hidden:
-        """From expected counts, ``weight`` counts of the add-one shares added to each state's emissions.
+    def of(cls, expected: dict[int, np.ndarray], known: Lexicon, states: int, weight: float) -> Hidden:
+        """From expected counts, ``weight`` counts of the add-one shares added to each state's emissions, one to its moves and to the starts.
 
         Rows -1 to -states hold the moves from each state, the row before them the starts.
         """
@@ -145,8 +145,8 @@ class Hidden:
         if at:
             emit[at] += np.stack([expected[i] for i in at])
         none = np.zeros(states)
-        move = np.stack([expected.get(-1 - s, none) for s in range(states)]) + weight / states
-        start = expected.get(-1 - states, none) + weight / states
+        move = np.stack([expected.get(-1 - s, none) for s in range(states)]) + 1 / states
+        start = expected.get(-1 - states, none) + 1 / states
         return cls(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
@@ -278,20 +278,21 @@ def likelihoods(ids: Column, model: Hidden, known: Lexicon) -> Column:
     return score(ids)
 
 
-def train(ids: DataFrame, known: Lexicon, states: int, rounds: int) -> Hidden:
+def train(ids: DataFrame, known: Lexicon, states: int, rounds: int, weight: float) -> Hidden:
     model = Hidden.first(known, states)
     for _ in range(rounds):
-        model = Hidden.of(expected_counts(ids, model), known, states)
+        model = Hidden.of(expected_counts(ids, model), known, states, weight)
     return model
 
 
-def score_texts(df: DataFrame, states: int = 8, rounds: int = 5, own: int = 1 << 15, listed: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(df: DataFrame, states: int = 8, rounds: int = 5, weight: float = 3000.0, own: int = 1 << 15, listed: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 
     Tokens are words between ASCII blanks, A-Z in lower case, and an end; null texts are empty, so only an end. Counts are
     those of all rows outside the held-out fold. ``base_score`` sums log10 of the add-one shares. The model has ``states``
     states, each with emissions of the ``own`` most frequent tokens and of one class of all others, unknown ones included, in
-    which a token has its add-one share; ``rounds`` of Baum-Welch over all training rows fit it, and ``score`` is the exact log10
+    which a token has its add-one share; each state's counts begin with ``weight`` counts of the add-one shares, as few texts say
+    little about a state. ``rounds`` of Baum-Welch over all training rows fit it, and ``score`` is the exact log10
     probability that it gives to the text. Its emissions, starts and moves sum to 1, so scores compare with ``base_score``.
 
     The ``listed`` most frequent tokens' counts go to the tasks; tokens beyond them meet their counts in a shuffled join, one row a
@@ -306,7 +307,7 @@ def score_texts(df: DataFrame, states: int = 8, rounds: int = 5, own: int = 1 <<
     codes = rows.withColumn("c", coded(F.col("text"), known)).select("doc_id", "held_out", F.monotonically_increasing_id().alias("row"), "c.ids", "c.others")
     codes.write.parquet(f"{folder}/codes")
     codes = spark.read.parquet(f"{folder}/codes")
-    model = train(codes.where("not held_out"), known, states, rounds)
+    model = train(codes.where("not held_out"), known, states, rounds, weight)
     beyond = codes.select("row", F.explode("others").alias("o")).select("row", "o.word", "o.times")
     met = beyond.join(counts.withColumnRenamed("n", "count"), "word").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("count") + 1.0)).alias("log"), F.sum("times").alias("times"))
     scored = codes.withColumn("s", likelihoods(F.col("ids"), model, known)).select("doc_id", "held_out", "row", "s.*")
