@@ -37,7 +37,7 @@ def test_smoothing_from_the_first_row(spark, alpha, width):
     for v in values:
         s = v if s is None else alpha * v + (1 - alpha) * s
         want.append(s)
-    got = S.smoothed_all(df, "name", ["us"], alpha, width).collect()
+    got = S.smoothed(df, "name", ["us"], alpha, width).collect()
     for k in ("a", None):
         assert [r.smoothed for r in sorted(got, key=lambda r: r.us) if r.name == k] == pytest.approx(want, rel=1e-12, abs=1e-12)
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.labels import label
+from .similarity import similar_rows
 
 SILENCES = 10_000
 SEVERITIES = ("info", "warning", "critical", "emergency")
@@ -145,15 +146,47 @@ def grouped(alerts: DataFrame, key: Column) -> DataFrame:
 
 
 def similar_alerts(alerts: DataFrame, window_us: int, least: float = 0.85) -> DataFrame:
-    """Pairs ``a, b`` of alert ids in one name whose texts are similar and whose times are within the window.
+    """Pairs ``a, b`` of alert ids in one name whose texts are similar and whose times are within the window, the earlier first."""
+    return similar_rows(alerts, "name", "id", "text", "us", window_us, least)
 
-    Times are cut into windows and each alert meets its own and the next, so the join is by equal name and window.
+
+def alike(alerts: DataFrame, window_us: int, least: float = 0.85, weights: tuple[float, float, float] = (0.4, 0.4, 0.2)) -> DataFrame:
+    """Pairs ``a, b`` of alerts whose overall similarity is at least ``least``, the earlier first, with its three parts.
+
+    The overall score weighs the Jaccard index of the labels, the similarity of the texts and the nearness in time. As
+    the other parts are 1 at most, a pair's labels must have an index of ``floor`` or more, so of its sorted label pairs the
+    rarest ones must meet (a prefix of each list, as in set joins): alerts are joined by those and by windows of time.
+    Alerts without labels meet those without. ``least`` must be so high that labels have to agree in part.
     """
-    a = alerts.select("name", F.col("id").alias("a"), F.col("text").alias("x"), F.col("us").alias("s"), F.explode(F.array(F.floor(F.col("us") / window_us), F.floor(F.col("us") / window_us) + 1)).alias("w"))
-    b = alerts.select("name", F.col("id").alias("b"), F.col("text").alias("y"), F.col("us").alias("t"), F.floor(F.col("us") / window_us).alias("w"))
-    near = (F.col("t") >= F.col("s")) & (F.col("t") - F.col("s") <= window_us) & ((F.col("t") > F.col("s")) | (F.col("b") > F.col("a")))
-    score = 1 - F.levenshtein("x", "y") / F.greatest(F.length("x"), F.length("y"), F.lit(1))
-    return a.join(b, ["name", "w"]).where(near).withColumn("similarity", score).where(F.col("similarity") >= least).select("a", "b", "similarity")
+    by_label, by_text, by_time = weights
+    floor = (least - by_text - by_time) / by_label
+    if floor <= 0:
+        raise ValueError("pairs without a common label could reach this score")
+    reach = window_us * (1 - max(0.0, (least - by_label - by_text) / by_time)) if by_time else window_us
+    width = max(1, int(reach))
+    items = F.transform(F.map_entries("labels"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    rows = alerts.select(F.col("id"), "text", "us", "labels", F.when(F.size("labels") > 0, items).otherwise(F.array(F.lit(""))).alias("items"))
+    shares = rows.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("n"))
+    ranked = rows.select("id", F.explode("items").alias("item")).join(shares, "item").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "item"))).alias("ranked"))
+    kept = F.size("ranked") - F.ceil(F.size("ranked") * F.lit(floor - 1e-9)) + 1
+    rows = rows.drop("items").join(ranked.select("id", F.slice("ranked", 1, F.greatest(kept, F.lit(1)).cast("int")).alias("prefix")), "id")
+    here = F.floor(F.col("us") / width)
+    parts = 4 * int(alerts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small rows make many pairs, so they aren't coalesced
+
+    def side(names: dict[str, str], windows: Column) -> DataFrame:
+        cols = [F.col(c).alias(n) for c, n in names.items()]
+        return rows.select(*cols, windows.alias("w")).withColumn("key", F.explode(names["prefix"])).repartition(parts, "key", "w")
+
+    a = side({"id": "a", "text": "x", "us": "s", "labels": "p", "prefix": "px"}, F.explode(F.array(here, here + 1)))
+    b = side({"id": "b", "text": "y", "us": "t", "labels": "r", "prefix": "py"}, here)
+    near = (F.col("t") >= F.col("s")) & (F.col("t") - F.col("s") <= width) & ((F.col("t") > F.col("s")) | (F.col("b") > F.col("a")))
+    first = F.element_at(F.array_intersect("px", "py"), 1) == F.col("key")  # a pair counts where its first common key is
+    met = a.join(b, ["key", "w"]).where(near & first)
+    part = met.withColumns({"label_similarity": label_similarity(F.col("p"), F.col("r")), "time_similarity": time_similarity(F.col("s"), F.col("t"), window_us)})
+    part = part.where(by_label * F.col("label_similarity") + by_text + by_time * F.col("time_similarity") >= least - 1e-9)
+    part = part.withColumn("text_similarity", text_similarity(F.col("x"), F.col("y")))
+    overall = by_label * F.col("label_similarity") + by_text * F.col("text_similarity") + by_time * F.col("time_similarity")
+    return part.withColumn("similarity", F.round(overall, 9)).where(F.col("similarity") >= least).select("a", "b", "label_similarity", "text_similarity", "time_similarity", "similarity")
 
 
 def active(states: DataFrame, by: list[str], order: list[str]) -> DataFrame:

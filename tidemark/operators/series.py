@@ -160,7 +160,7 @@ def sampled(df: DataFrame, key: Column, rate: float) -> DataFrame:
     return df.where(F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long") < int(rate * (1 << 32)))
 
 
-def smoothed_all(df: DataFrame, by: str, order: list[str], alpha: float, slice_us: int) -> DataFrame:
+def smoothed(df: DataFrame, by: str, order: list[str], alpha: float, slice_us: int) -> DataFrame:
     """Exponential smoothing of each key from its first row on, whatever ``alpha``; ``order`` begins with ``us``.
 
     A step maps s to alpha x + (1 - alpha) s, and steps compose: a time slice is a factor and a sum, one fold of its

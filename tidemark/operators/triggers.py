@@ -118,20 +118,10 @@ def slopes(df: DataFrame, by: str, window_us: int, threshold: float, direction:
     return own_rows(df.withColumn("change", slope).withColumn("fast", hit))
 
 
-def smoothed(df: DataFrame, by: str, order: list[str], alpha: float = 0.7, last: int = 64) -> DataFrame:
-    """Exponential smoothing seeded by the oldest of the last ``last`` rows, folded over an ordered frame of that size.
-
-    Weights fall by 1 - alpha a row, so 64 rows determine the value to far below double precision.
-    """
-    w = W.partitionBy(by).orderBy(*order).rowsBetween(-(last - 1), 0)
-    fold = F.aggregate(F.slice(F.col("_v"), 2, last), F.element_at("_v", 1), lambda a, x: alpha * x + (1 - alpha) * a)
-    return df.withColumn("_v", F.collect_list(F.col("value").cast("double")).over(w)).withColumn("smoothed", fold).drop("_v")
-
-
-#: Levels of load with the pressure at which they begin, and the memory use above which pressure is at least a value
-#: (fixed values).
+#: Levels of load with the pressure at which they begin, and the memory use above which pressure is at least just past a
+#: level's beginning (fixed values).
 LEVEL_BOUNDS = {"idle": 0.0, "low": 20.0, "moderate": 40.0, "high": 60.0, "critical": 80.0}
-MEMORY_FLOORS = ((85.0, 81.0), (70.0, 61.0))
+MEMORY_FLOORS = tuple((above, LEVEL_BOUNDS[level] + 1.0) for above, level in ((85.0, "critical"), (70.0, "high")))
 STRATEGIES = {"conservative": 0.8, "balanced": 1.0, "aggressive": 1.2}
 
 

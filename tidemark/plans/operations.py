@@ -13,7 +13,7 @@ from ..operators import derived, folds, graphs, ordering, rules
 from ..operators import series as S
 from ..operators import triggers as T
 from ..sources import encoders as E
-from .registry import ALERTS, DAY, HOUR, MINUTE, ORACLE_SQL, SPANS, STATES_SQL, T0, alerts, checks, edges, evaluated, metrics, query, read, rounded, spans
+from .registry import ALERTS, DAY, HOUR, MINUTE, ORACLE_SQL, SPANS, STATES_SQL, T0, alerts, checks, edges, evaluated, metrics, query, read, rounded, spans, states_sql
 
 # --- rules ----------------------------------------------------------------------------------------------------------
 
@@ -95,19 +95,25 @@ def config_values(spark, sf_dir):
 
 # --- alerts ---------------------------------------------------------------------------------------------------------
 
-VALUES_SQL = STATES_SQL + ", w AS (SELECT name, value, row_number() OVER (PARTITION BY name ORDER BY us, row_id) AS rn FROM m), l AS (SELECT name, arg_max({'state': state, 'us': us, 'value': value}, rn) AS z FROM s JOIN w USING (name, rn) GROUP BY name)"
+#: The newest state of each name and user's evaluations.
+NEWEST_SQL = states_sql("key", "name || '/' || user_id", 30) + ", l AS (SELECT key, arg_max({'state': state, 'us': s.us, 'value': value}, rn) AS z FROM s JOIN e USING (key, rn) GROUP BY key)"
 
 
-@query(VALUES_SQL + " SELECT name, CASE WHEN name = 'click' THEN 'resolved' ELSE z.state END AS state, z.us AS us, z.value AS value FROM l WHERE z.state IN ('pending', 'firing') UNION ALL SELECT '', 'none', 0, 0")
+def user_states(spark, sf_dir):
+    m = metrics(spark, sf_dir).select(F.concat_ws("/", "name", F.col("tags")["user_id"]).alias("key"), "us", "row_id", "value", (F.col("value") > 30).alias("met"))
+    return AL.states(m, ["key"], ["us", "row_id"], "us", "met", 10 * MINUTE)
+
+
+@query(NEWEST_SQL + " SELECT key, CASE WHEN key LIKE 'click/%' AND ends_with(key, '7') THEN 'resolved' ELSE z.state END AS state, z.us AS us, z.value AS value FROM l WHERE z.state IN ('pending', 'firing')")
 def active_alerts(spark, sf_dir):
-    a = AL.resolved_by_hand(AL.active(evaluated(spark, sf_dir), ["name"], ["us", "row_id"]), spark.createDataFrame([("click",)], "name string"))
-    return a.union(spark.createDataFrame([("", "none", 0, 0.0)], "name string, state string, us long, value double"))
+    active = AL.active(user_states(spark, sf_dir), ["key"], ["us", "row_id"])
+    by_hand = metrics(spark, sf_dir).where("name = 'click'").select(F.concat_ws("/", "name", F.col("tags")["user_id"]).alias("key")).where("endswith(key, '7')").distinct()
+    return AL.resolved_by_hand(active, by_hand)
 
 
-@query(VALUES_SQL + f" SELECT name, z.state AS state, z.us AS us FROM l WHERE z.state <> 'resolved' OR {T0 + 29 * DAY} - z.us <= {12 * HOUR} UNION ALL SELECT '', 'none', 0")
+@query(NEWEST_SQL + f" SELECT key, z.state AS state, z.us AS us FROM l WHERE z.state <> 'resolved' OR {T0 + 29 * DAY} - z.us <= {12 * HOUR}")
 def remembered_alerts(spark, sf_dir):
-    a = AL.remembered(evaluated(spark, sf_dir), ["name"], ["us", "row_id"], T0 + 29 * DAY, 12 * HOUR)
-    return a.union(spark.createDataFrame([("", "none", 0)], "name string, state string, us long"))
+    return AL.remembered(user_states(spark, sf_dir), ["key"], ["us", "row_id"], T0 + 29 * DAY, 12 * HOUR)
 
 
 @query(STATES_SQL + f""", o AS (SELECT *, coalesce(lag(state) OVER (PARTITION BY name ORDER BY rn), 'inactive') AS before FROM s),
@@ -177,11 +183,9 @@ def event_subscriptions(spark, sf_dir):
 # --- samples --------------------------------------------------------------------------------------------------------
 
 
-@query("""WITH RECURSIVE {m}, e AS (SELECT name, row_id, value, row_number() OVER (PARTITION BY name ORDER BY us, row_id) AS rn FROM m),
-s AS (SELECT name, rn, row_id, value AS smoothed FROM e WHERE rn = 1 UNION ALL SELECT e.name, e.rn, e.row_id, 0.01::DOUBLE * e.value + (1 - 0.01::DOUBLE) * s.smoothed FROM s JOIN e ON e.name = s.name AND e.rn = s.rn + 1)
-SELECT name, row_id, round(smoothed, 6) AS smoothed FROM s""")
+@query(ORACLE_SQL["smoothing"].replace("0.7::DOUBLE", "0.01::DOUBLE"))
 def slow_smoothing(spark, sf_dir):
-    return rounded(S.smoothed_all(metrics(spark, sf_dir), "name", ["us", "row_id"], 0.01, DAY), "smoothed").select("name", "row_id", "smoothed")
+    return rounded(S.smoothed(metrics(spark, sf_dir), "name", ["us", "row_id"], 0.01, DAY), "smoothed").select("name", "row_id", "smoothed")
 
 
 @query("""WITH {m}, l AS (SELECT *, lag(us) OVER o AS u, lag(row_id) OVER o AS c FROM m WINDOW o AS (PARTITION BY name ORDER BY us, row_id)) SELECT name, row_id, CASE WHEN us > u THEN round(100.0 * (row_id - c) * 1000000 / ((us - u) * 1000), 6) END AS cpu_percent FROM l""")
@@ -236,14 +240,13 @@ def log_anomalies(spark, sf_dir):
     return T.log_anomalies(p, "name", "hour").select("name", "hour", "error_spike", "slow", "odd_volume")
 
 
-@query(f"""WITH RECURSIVE {{m}}, d AS (SELECT name, us, row_id, CASE WHEN count(value) OVER o >= 3 AND min(value) OVER o > 60 THEN 'up' WHEN count(value) OVER o >= 3 AND max(value) OVER o < 20 THEN 'down' ELSE 'hold' END AS decision FROM m WINDOW o AS (PARTITION BY name ORDER BY us, row_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
+@query(f"""WITH RECURSIVE {{m}}, d AS (SELECT name, us, row_id, CASE WHEN count(value) OVER o >= 3 AND min(value) OVER o > 40 THEN 'up' WHEN count(value) OVER o >= 3 AND max(value) OVER o < 5 THEN 'down' ELSE 'hold' END AS decision FROM m WINDOW o AS (PARTITION BY name ORDER BY us, row_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
 e AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY us, row_id) AS rn FROM d WHERE decision <> 'hold'),
 c AS (SELECT name, rn, us, row_id, decision, us AS last, true AS pass FROM e WHERE rn = 1 UNION ALL SELECT e.name, e.rn, e.us, e.row_id, e.decision, CASE WHEN e.us - c.last >= {DAY} THEN e.us ELSE c.last END, e.us - c.last >= {DAY} FROM c JOIN e ON e.name = c.name AND e.rn = c.rn + 1)
-SELECT name, row_id, decision FROM c WHERE pass UNION ALL SELECT '', 0, 'hold'""")
+SELECT name, row_id, decision FROM c WHERE pass""")
 def scaling_cooldown(spark, sf_dir):
-    d = T.scaling(metrics(spark, sf_dir), "name", ["us", "row_id"], 60.0, 20.0).where("decision <> 'hold'").select("name", "us", "row_id", "decision")
-    out = AL.cooled(d, ["name"], DAY, "name string, us long, row_id long, decision string").select("name", "row_id", "decision")
-    return out.union(spark.createDataFrame([("", 0, "hold")], "name string, row_id long, decision string"))
+    d = T.scaling(metrics(spark, sf_dir), "name", ["us", "row_id"], 40.0, 5.0).where("decision <> 'hold'").select("name", "us", "row_id", "decision")
+    return AL.cooled(d, ["name"], DAY, "name string, us long, row_id long, decision string").select("name", "row_id", "decision")
 
 
 @query("WITH {m} SELECT row_id, value BETWEEN 20 AND 40 AS inside, NOT (value BETWEEN 20 AND 40) AS outside, NOT contains(name, 'i') AS without_i, regexp_matches(name, '^[cv]') AS starts, value % 7 AS rest, value <= 30 AS low FROM m")

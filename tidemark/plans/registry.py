@@ -93,15 +93,10 @@ def range_summary(spark, sf_dir):
     return rounded(df.withColumn("rate_per_million_s", F.round(F.col("rate") * 1e6, 4)).drop("rate"), "average", "min_value", "max_value")
 
 
-@query(f"""WITH {{m}}, p AS (SELECT name, {T0} + ((us - {T0}) // {HOUR}) * {HOUR} AS step_start, max(us) AS ts, round(avg(value), 6) AS value, count(*) AS sample_count FROM m WHERE us >= {T0} AND us < {T0 + 3 * DAY} GROUP BY ALL),
-g AS (SELECT n.name, unnest(range({T0}, {T0 + 3 * DAY}, {HOUR})) AS step_start FROM (SELECT DISTINCT name FROM p) n)
+@query(f"""WITH {{m}}, p AS (SELECT name, {T0} + ((us - {T0}) // {HOUR}) * {HOUR} AS step_start, max(us) AS ts, round(avg(value), 6) AS value, count(*) AS sample_count FROM m WHERE us >= {T0} AND us < {T0 + 30 * DAY} GROUP BY ALL),
+g AS (SELECT n.name, unnest(range({T0}, {T0 + 30 * DAY}, {HOUR})) AS step_start FROM (SELECT DISTINCT name FROM p) n)
 SELECT name, step_start, ts, value, coalesce(sample_count, 0)::BIGINT AS sample_count FROM g LEFT JOIN p USING (name, step_start)""")
 def gap_filled_range(spark, sf_dir):
-    return rounded(S.gap_filled(S.range_query(metrics(spark, sf_dir), T0, T0 + 3 * DAY, HOUR), T0, T0 + 3 * DAY, HOUR), "value")
-
-
-@query(ORACLE_SQL["gap_filled_range"].replace(str(T0 + 3 * DAY), str(T0 + 30 * DAY)))
-def gap_filled_range_month(spark, sf_dir):
     return rounded(S.gap_filled(S.range_query(metrics(spark, sf_dir), T0, T0 + 30 * DAY, HOUR), T0, T0 + 30 * DAY, HOUR), "value")
 
 
@@ -313,22 +308,17 @@ def absent_trigger(spark, sf_dir):
 
 
 @query(f"""WITH {{m}}, c AS (SELECT name, row_id, CASE WHEN count(value) OVER o >= 2 AND var_pop(us / 1000.0) OVER o > 1e-10 THEN covar_pop(us / 1000.0, value) OVER o / var_pop(us / 1000.0) OVER o ELSE 0 END * {6 * HOUR / 1000} AS change FROM m
-WINDOW o AS (PARTITION BY name ORDER BY us RANGE BETWEEN {6 * HOUR} PRECEDING AND CURRENT ROW)) SELECT name, row_id, change > 100 AS fast FROM c WHERE abs(change - 100) > 1e-3""")
+WINDOW o AS (PARTITION BY name ORDER BY us RANGE BETWEEN {6 * HOUR} PRECEDING AND CURRENT ROW)) SELECT name, row_id, round(change, 6) > 100 AS fast FROM c""")
 def rate_of_change_trigger(spark, sf_dir):
-    df = T.slopes(metrics(spark, sf_dir), "name", 6 * HOUR, 100.0, "increasing")
-    return df.where(F.abs(F.col("change") - 100) > 1e-3).select("name", "row_id", "fast")
-
-
-@query(ORACLE_SQL["rate_of_change_trigger"].replace("change > 100 AS fast FROM c WHERE abs(change - 100) > 1e-3", "round(change, 6) > 100 AS fast FROM c"))
-def rate_of_change_trigger_all(spark, sf_dir):
     df = T.slopes(metrics(spark, sf_dir), "name", 6 * HOUR, 100.0, "increasing")
     return df.select("name", "row_id", (F.round("change", 6) > 100).alias("fast"))
 
 
-@query("""WITH {m}, l AS (SELECT name, row_id, list(value) OVER (PARTITION BY name ORDER BY us, row_id ROWS BETWEEN 63 PRECEDING AND CURRENT ROW) AS v FROM m)
-SELECT name, row_id, round(list_reduce(v, lambda a, x: 0.7::DOUBLE * x + (1 - 0.7::DOUBLE) * a), 6) AS smoothed FROM l""")
+@query("""WITH RECURSIVE {m}, e AS (SELECT name, row_id, value, row_number() OVER (PARTITION BY name ORDER BY us, row_id) AS rn FROM m),
+s AS (SELECT name, rn, row_id, value AS smoothed FROM e WHERE rn = 1 UNION ALL SELECT e.name, e.rn, e.row_id, 0.7::DOUBLE * e.value + (1 - 0.7::DOUBLE) * s.smoothed FROM s JOIN e ON e.name = s.name AND e.rn = s.rn + 1)
+SELECT name, row_id, round(smoothed, 6) AS smoothed FROM s""")
 def smoothing(spark, sf_dir):
-    return T.smoothed(metrics(spark, sf_dir), "name", ["us", "row_id"]).select("name", "row_id", r6(F.col("smoothed"), "smoothed"))
+    return rounded(S.smoothed(metrics(spark, sf_dir), "name", ["us", "row_id"], 0.7, DAY), "smoothed").select("name", "row_id", "smoothed")
 
 
 @query("""WITH e AS (SELECT event_id AS row_id, least(100, value) AS cpu, least(100, event_id % 101) AS memory FROM events),
@@ -381,11 +371,16 @@ def threshold_alerts(spark, sf_dir):
     return AL.threshold_alerts(metrics(spark, sf_dir), rules).select("rule", "severity", "row_id", "value")
 
 
-STATES_SQL = f"""WITH RECURSIVE {{m}}, e AS (SELECT name, us, value > 60 AS met, row_number() OVER (PARTITION BY name ORDER BY us, row_id) AS rn FROM m),
-s AS (SELECT name, rn, us, CASE WHEN met THEN 'pending' ELSE 'inactive' END AS state, us AS since FROM e WHERE rn = 1
-UNION ALL SELECT e.name, e.rn, e.us, CASE WHEN e.met AND s.state IN ('inactive', 'resolved') THEN 'pending' WHEN e.met AND s.state = 'pending' AND e.us - s.since >= {10 * MINUTE} THEN 'firing'
+def states_sql(key: str, value: str = "name", above: float = 60) -> str:
+    """The state machine as a recursive statement: tables ``e`` (evaluations) and ``s`` (their states) by ``key``, an expression ``value``."""
+    return f"""WITH RECURSIVE {{m}}, e AS (SELECT {value} AS {key}, us, value, value > {above} AS met, row_number() OVER (PARTITION BY {value} ORDER BY us, row_id) AS rn FROM m),
+s AS (SELECT {key}, rn, us, CASE WHEN met THEN 'pending' ELSE 'inactive' END AS state, us AS since FROM e WHERE rn = 1
+UNION ALL SELECT e.{key}, e.rn, e.us, CASE WHEN e.met AND s.state IN ('inactive', 'resolved') THEN 'pending' WHEN e.met AND s.state = 'pending' AND e.us - s.since >= {10 * MINUTE} THEN 'firing'
   WHEN NOT e.met AND s.state = 'firing' THEN 'resolved' WHEN NOT e.met AND s.state = 'pending' THEN 'inactive' ELSE s.state END,
-  CASE WHEN e.met AND s.state IN ('inactive', 'resolved') THEN e.us ELSE s.since END FROM s JOIN e ON e.name = s.name AND e.rn = s.rn + 1)"""
+  CASE WHEN e.met AND s.state IN ('inactive', 'resolved') THEN e.us ELSE s.since END FROM s JOIN e ON e.{key} = s.{key} AND e.rn = s.rn + 1)"""
+
+
+STATES_SQL = states_sql("name")
 
 
 def evaluated(spark, sf_dir) -> DataFrame:
@@ -464,17 +459,21 @@ def cooldown(spark, sf_dir):
     return AL.cooled(m, ["k"], 2 * HOUR, "k string, us long, row_id long").select("k", "row_id")
 
 
-@query(f"""WITH {{m}}, {ALERTS}, f AS (SELECT name, id, us, fingerprint AS text FROM a WHERE severity = 'critical'),
+@query(f"""WITH {{m}}, {ALERTS}, f AS (SELECT name, id, us, fingerprint AS text FROM a),
 p AS (SELECT a.id AS a, b.id AS b, 1 - levenshtein(a.text, b.text) / greatest(length(a.text), length(b.text), 1) AS similarity FROM f a JOIN f b ON a.name = b.name AND b.us >= a.us AND b.us - a.us <= {10 * DAY} AND (b.us > a.us OR b.id > a.id))
 SELECT a, b, round(similarity, 6) AS similarity FROM p WHERE similarity >= 0.85""")
 def similar_alerts(spark, sf_dir):
-    a = alerts(spark, sf_dir).where("severity = 'critical'").withColumnRenamed("fingerprint", "text")
-    return rounded(AL.similar_alerts(a, 10 * DAY), "similarity")
+    return rounded(AL.similar_alerts(alerts(spark, sf_dir).withColumnRenamed("fingerprint", "text"), 10 * DAY), "similarity")
 
 
-@query(ORACLE_SQL["similar_alerts"].replace(" WHERE severity = 'critical'", ""))
-def similar_alerts_all(spark, sf_dir):
-    return rounded(AL.similar_alerts(alerts(spark, sf_dir).withColumnRenamed("fingerprint", "text"), 10 * DAY), "similarity")
+@query(f"""WITH {{m}}, {ALERTS}, p AS (SELECT a.id AS a, b.id AS b, a.fingerprint AS x, b.fingerprint AS y, CASE WHEN a.k = b.k AND a.user_id = b.user_id THEN 1.0 WHEN a.k = b.k OR a.user_id = b.user_id THEN 1 / 3.0::DOUBLE ELSE 0.0 END::DOUBLE AS label_similarity,
+  greatest(1 - (b.us - a.us) / {10 * DAY}, 0)::DOUBLE AS time_similarity FROM a JOIN a b ON b.us >= a.us AND b.us - a.us <= {10 * DAY} AND (b.us > a.us OR b.id > a.id)),
+q AS (SELECT *, 1 - levenshtein(x, y) / greatest(length(x), length(y), 1) AS text_similarity FROM p WHERE label_similarity > 0)
+SELECT a, b, round(label_similarity, 6) AS label_similarity, round(text_similarity, 6) AS text_similarity, round(time_similarity, 6) AS time_similarity, round(0.4 * label_similarity + 0.4 * text_similarity + 0.2 * time_similarity, 6) AS similarity
+FROM q WHERE round(0.4::DOUBLE * label_similarity + 0.4::DOUBLE * text_similarity + 0.2::DOUBLE * time_similarity, 9) >= 0.62""")
+def alike_alerts(spark, sf_dir):
+    a = AL.alike(alerts(spark, sf_dir).withColumnRenamed("fingerprint", "text"), 10 * DAY, 0.62)
+    return rounded(a, "label_similarity", "text_similarity", "time_similarity", "similarity")
 
 
 # --- health and traces ----------------------------------------------------------------------------------------------
