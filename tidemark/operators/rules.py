@@ -61,16 +61,18 @@ def checked(rules: DataFrame) -> DataFrame:
 def aggregated(df: DataFrame, rules: DataFrame, points: tuple[float, ...] = (0.5, 0.9, 0.95, 0.99)) -> DataFrame:
     """``metric, window_start, value`` by rule and its own interval: moments, percentiles, and where asked for ``.rate`` and ``.outlier_count``.
 
-    Outliers of a window lie more than the rule's deviations off its mean. The few rules meet the rows by metric name.
+    Outliers of a window lie more than the rule's deviations off its mean; the rows of rules that count them meet their window's moments
+    again, so no window is held together. The few rules meet the rows by metric name.
     """
     window = (F.floor(F.col("us") / F.col("interval_us")) * F.col("interval_us")).cast("long")
     rows = df.join(rules, df["name"] == rules["source_metric"]).withColumn("window_start", window)
-    q, x = percentiles(F.col("value"), points), F.col("value").cast("double")
-    wide = rows.groupBy("prefix", "window_start", "interval_us", "rate", "outliers", "k").agg(
+    q, x, keys = percentiles(F.col("value"), points), F.col("value").cast("double"), ["prefix", "window_start"]
+    wide = rows.groupBy(*keys, "interval_us", "rate", "outliers", "k").agg(
         F.avg(x).alias("mean"), F.min(x).alias("min"), F.max(x).alias("max"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("stddev"), F.count(x).cast("double").alias("count"),
-        *[q[i].alias(f"p{round(p * 100)}") for i, p in enumerate(points)], F.collect_list(x).alias("_v"))
-    far = F.size(F.filter("_v", lambda v: F.abs(v - F.col("mean")) > F.col("k") * F.col("stddev"))).cast("double")
-    wide = wide.withColumns({"_rate": F.when(F.col("rate"), F.col("count") / (F.col("interval_us") / 1e6)), "_out": F.when(F.col("outliers"), far)})
+        *[q[i].alias(f"p{round(p * 100)}") for i, p in enumerate(points)])
+    moments = wide.where("outliers").select(*keys, "mean", "stddev")
+    far = rows.where("outliers").select(*keys, x.alias("x"), "k").join(moments, keys).groupBy(*keys).agg(F.count_if(F.abs(F.col("x") - F.col("mean")) > F.col("k") * F.col("stddev")).cast("double").alias("_far"))
+    wide = wide.join(far, keys, "left").withColumns({"_rate": F.when(F.col("rate"), F.col("count") / (F.col("interval_us") / 1e6)), "_out": F.when(F.col("outliers"), F.col("_far"))})
     names = {n: n for n in ("mean", "min", "max", "stddev", "count", *[f"p{round(p * 100)}" for p in points])} | {"rate": "_rate", "outlier_count": "_out"}
     cells = F.array(*[F.struct(F.concat(F.col("prefix"), F.lit(f".{n}")).alias("metric"), F.col(c).alias("value")) for n, c in names.items()])
     return wide.select("window_start", F.inline(cells)).where("value IS NOT NULL").select("metric", "window_start", "value")

@@ -34,7 +34,9 @@ def duration_sql(c: str, default: int) -> str:
     return f"coalesce({n} * CASE {scale} ELSE 1000000 END, {default})::BIGINT"
 
 
-RULES_SQL = f"""WITH {{m}}, {TEXTS_SQL}, t AS (SELECT line, rule, metric, CASE WHEN kind0 = '' THEN 'threshold' ELSE kind0 END AS kind,
+def rules_sql(source: str) -> str:
+    """Statement tables ``r`` of the rules defined by ``source``, a table ``x`` of texts."""
+    return f"""WITH {{m}}, {source}, t AS (SELECT line, rule, metric, CASE WHEN kind0 = '' THEN 'threshold' ELSE kind0 END AS kind,
   CASE WHEN op0 IN ('>', '') THEN '>' WHEN op0 IN ('>=', '<', '<=', '==', '!=') THEN op0 WHEN op0 = '=' THEN '==' WHEN op0 = '<>' THEN '!=' END AS op, coalesce(try_cast(threshold0 AS DOUBLE), 0) AS threshold,
   CASE WHEN severity0 = '' THEN 'warning' ELSE severity0 END AS severity, {duration_sql('hold', 0)} AS hold_us, {duration_sql('again', 300_000_000)} AS repeat_us,
   CASE WHEN enabled0 IN ('true', '1', 'yes', 'on') THEN true WHEN enabled0 IN ('false', '0', 'no', 'off') THEN false ELSE true END AS enabled FROM x),
@@ -42,13 +44,34 @@ r AS (SELECT *, CASE WHEN rule = '' THEN 'no name' WHEN metric = '' THEN 'no met
   WHEN severity NOT IN ('info', 'warning', 'critical', 'emergency') THEN 'unknown severity' WHEN row_number() OVER (PARTITION BY rule ORDER BY line) > 1 THEN 'repeated name' END AS problem FROM t)"""
 
 
+RULES_SQL = rules_sql(TEXTS_SQL)
+#: Values that the rules of the parts table take in turn, by part number.
+TURNS = {
+    "kind": ("", "threshold", "rate", "absent", "magic", "anomaly"), "op": (">", ">=", "<", "=", "<>", "=>", "", "!="), "severity": ("", "info", "critical", "emergency", "shout"),
+    "hold": ("5m", "90 sec", "", "7", "2 weeks", "1 Hours", "x"), "repeat": ("1h", "250ms", "", "soon"), "enabled": ("true", "yes", "0", "", "maybe", "off", "on"),
+}
+
+
+def part_rules(spark, sf_dir):
+    """A rule's texts for each part: its brand and type as names, its size as threshold, the other texts in turn."""
+    turn = {n: F.element_at(F.array(*map(F.lit, v)), (F.col("p_partkey") % len(v) + 1).cast("int")).alias(n) for n, v in TURNS.items()}
+    rule = F.when(F.col("p_partkey") % 11 == 0, "").otherwise(F.concat("p_brand", F.lit("/"), F.floor(F.col("p_partkey") / 2).cast("string")))
+    size = F.when(F.col("p_partkey") % 9 == 0, "x").otherwise(F.col("p_size").cast("string"))
+    metric = F.when(F.col("p_partkey") % 13 == 0, "").otherwise(F.col("p_type"))
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("line"), rule.alias("rule"), metric.alias("metric"), turn["kind"], turn["op"], size.alias("threshold"), turn["severity"], turn["hold"], turn["repeat"], turn["enabled"])
+
+
+PART_SQL = "x AS (SELECT p_partkey AS line, CASE WHEN p_partkey % 11 = 0 THEN '' ELSE p_brand || '/' || (p_partkey // 2) END AS rule, CASE WHEN p_partkey % 13 = 0 THEN '' ELSE p_type END AS metric, CASE WHEN p_partkey % 9 = 0 THEN 'x' ELSE p_size::VARCHAR END AS threshold0, "
+PART_SQL += ", ".join(f"[{', '.join(map(repr, v))}][(p_partkey % {len(v)})::INT + 1] AS {sql}" for (n, v), sql in zip(TURNS.items(), ("kind0", "op0", "severity0", "hold", "again", "enabled0"), strict=True)) + " FROM part)"
+
+
 def texts(spark):
     return rules.defined(spark.createDataFrame(TEXTS, TEXT))
 
 
-@query(RULES_SQL + " SELECT * FROM r")
+@query(rules_sql(PART_SQL) + " SELECT * FROM r")
 def rule_definitions(spark, sf_dir):
-    return texts(spark)
+    return rules.defined(part_rules(spark, sf_dir))
 
 
 @query(RULES_SQL + """ SELECT rule, severity, row_id FROM m JOIN r ON name = metric WHERE enabled AND problem IS NULL AND kind = 'threshold' AND CASE op WHEN '>' THEN value > threshold ELSE value >= threshold END""")
@@ -70,13 +93,12 @@ def standard_rules(spark, sf_dir):
     return rounded(rules.aggregated(metrics(spark, sf_dir).withColumn("name", F.element_at(names, F.col("name"))), rules.standard(spark)), "value")
 
 
-CHECKED = ((1, "a", "a_agg", 1000), (2, "", "b", 1000), (3, "c", "", 1000), (4, "d", "d_agg", 0), (5, "a", "a2", 5), (6, "e", "e_agg", 1))
-
-
-@query("WITH x(line, source_metric, prefix, interval_us) AS (VALUES " + ", ".join(map(str, CHECKED)) + """)
+@query("""WITH x AS (SELECT p_partkey AS line, CASE WHEN p_partkey % 17 = 0 THEN '' ELSE p_type || (p_partkey % 40) END AS source_metric, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_brand END AS prefix, (p_size - 3)::BIGINT AS interval_us FROM part)
 SELECT *, CASE WHEN source_metric = '' THEN 'no source' WHEN prefix = '' THEN 'no prefix' WHEN interval_us <= 0 THEN 'no interval' WHEN row_number() OVER (PARTITION BY source_metric ORDER BY line) > 1 THEN 'repeated source' END AS problem FROM x""")
 def rule_checks(spark, sf_dir):
-    return rules.checked(spark.createDataFrame(CHECKED, "line int, source_metric string, prefix string, interval_us long"))
+    k = F.col("p_partkey")
+    source = F.when(k % 17 == 0, "").otherwise(F.concat("p_type", (k % 40).cast("string")))
+    return rules.checked(read(spark, sf_dir, "part").select(k.alias("line"), source.alias("source_metric"), F.when(k % 5 == 0, "").otherwise(F.col("p_brand")).alias("prefix"), (F.col("p_size") - 3).cast("long").alias("interval_us")))
 
 
 UNITS = ("ms", " sec", "m", " Hours", " weeks", "")

@@ -714,9 +714,13 @@ def overflow_policies(spark, sf_dir):
     return storage.collected(*kept)
 
 
-@query("WITH RECURSIVE r AS (SELECT 0 AS i UNION ALL SELECT i + 1 FROM r WHERE i < 99) SELECT 'ramp' AS name, (i * 1000000)::BIGINT AS us, i::DOUBLE AS value FROM r")
+@query("""WITH {m}, r AS (SELECT 'ramp' AS name, (i * 1000000)::BIGINT AS us, i::DOUBLE AS value FROM range(0, (SELECT count(*) FROM events)) t(i)), u AS (SELECT name, us, value FROM m UNION ALL SELECT * FROM r)
+SELECT name, count(*) AS rows, max(us) AS last_us, round(max(value), 6) AS most FROM u GROUP BY name""")
 def collector_source(spark, sf_dir):
-    return collectors.collect(spark, "tidemark.sources.collectors:ramp", 4, rows="100")
+    """A collector's rows, as many as there are events, beside the events."""
+    m = metrics(spark, sf_dir).select("name", "us", "value")
+    both = storage.collected(m, collectors.collect(spark, "tidemark.sources.collectors:ramp", 4, rows=str(m.count())))
+    return rounded(both.groupBy("name").agg(F.count("*").alias("rows"), F.max("us").alias("last_us"), F.max("value").alias("most")), "most")
 
 
 @query(f"""WITH {{m}}, {ALERTS} SELECT id, '[' || upper(severity) || '] ' || name || ' is firing (value ' || printf('%.2f', value) || ')' AS text FROM a""")
