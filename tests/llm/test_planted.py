@@ -38,8 +38,8 @@ def test_planted_links_against_the_sql(spark, tmp_path, settings):
     assert sum(n for n, _ in want.values()) > 800 and got == want
 
 
-def test_split_lists_lose_no_link(spark):
-    """Lists that are much longer than a block, of vectors that share one hot pivot and differ in the others."""
+def test_split_lists_lose_few_links(spark):
+    """Lists that are much longer than a block, of vectors that share one hot pivot and differ in the others: at most a link in a thousand is lost."""
     rng = np.random.default_rng(3)
     base = np.concatenate([np.ones((1500, 1)) * 0.9, rng.normal(size=(1500, 23)) * 0.25], axis=1)
     near = base + rng.normal(size=base.shape) * 0.02
@@ -122,3 +122,18 @@ def test_rows_without_ids_are_mixed(spark):
     ordered = [r.position for r in mixing.in_order(mixing.mix(df)).collect()]
     placed = [p for p in ordered if p is not None]
     assert placed == sorted(placed) and ordered[len(placed):] == [None] * (3000 - len(placed))
+
+
+def test_rows_without_or_with_equal_ids_keep_the_budget(spark):
+    ids = [None if i % 3 == 0 else i % 7 if i % 3 == 1 else i for i in range(900)]
+    rows = [(i, " ".join(f"w{n}" for _ in range(1 + n % 13)), "ab"[n % 4 == 0], n) for n, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, number long").repartition(5)
+    targets = {r.source: r.target for r in mixing.mix(df).select("source", "target").distinct().collect()}
+    got = mixing.mix_documents(df).collect()
+    for s in "ab":
+        words = sum(len(r.text.split()) for r in got if r.source == s)
+        assert abs(words - targets[s]) <= 2 * 13
+    times = {}
+    for r in got:
+        times[r.number] = times.get(r.number, 0) + 1
+    assert max(times.values()) <= 2 and {tuple(r) for r in got} <= set(rows)

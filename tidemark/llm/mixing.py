@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed, fresh, partitions
+from .common import WORD, checkpointed, fresh, partitions, shared_dir
 
 WEIGHTS = (3, 1, 2)
 #: A source's share of the demand at the start and the end of training, before normalising; repeated like the weights.
@@ -46,8 +46,8 @@ def position(at: Column, start: Column, end: Column) -> Column:
     return at * (start + end) / (start + F.sqrt(start * start + (end - start) * at * (start + end)))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """``doc_id, source, size, source_size, target, taken, copies, position, position_2`` for each row.
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, cap: float = 2.0, key: str | None = None) -> DataFrame:
+    """``doc_id, source, size, source_size, target, taken, copies, position, position_2`` for each row, and its ``key`` if one is named.
 
     A source is read in the order of its ids' MD5, again from its start if its target is larger than its size, until its
     target is reached; ``taken`` are the words of a row in that stretch (the last document may be cut), ``copies`` how
@@ -56,11 +56,11 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     so a hot source is spread over all tasks.
 
     Null texts have size 0, null sources form one source, repeated rows count each, rows with null ids come first, by size.
-    Ties of id and size are between equal rows. Empty tables give empty results; other columns are ignored.
+    Ties of id and size are between equal rows, or go by ``key``, a number that no two rows share. Empty tables give empty results; other columns are ignored.
     """
     digest = F.coalesce(F.md5(F.col(id_col).cast("string")), F.lit(""))
     rows = checkpointed(df.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), digest.alias("turn"),
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), digest.alias("turn"), (F.col(key) if key else F.lit(0).cast("long")).alias("row"),
     ))
     buckets = 16 ** 3
     bucket = F.coalesce(F.conv(F.substring("turn", 1, 3), 16, 10).cast("int"), F.lit(0))
@@ -73,7 +73,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     turn = (F.row_number().over(order) - 1) % len(SCHEDULE) + 1
     goals = goals.select("*", *[F.element_at(F.array(*[F.lit(s[i]) for s in SCHEDULE]), turn).alias(n) for i, n in enumerate(("w0", "w1"))])
     known = bases.join(goals.withColumnRenamed("source", "g"), F.col("source").eqNullSafe(F.col("g"))).drop("g").withColumnsRenamed({"source": "s", "bucket": "b", "sub": "e"})
-    inner = W.partitionBy("source", "bucket", "sub").orderBy("turn", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    inner = W.partitionBy("source", "bucket", "sub").orderBy("turn", "doc_id", "size", "row").rowsBetween(W.unboundedPreceding, -1)
     placed = rows.withColumn("inner", F.coalesce(F.sum("size").over(inner), F.lit(0)))
     placed = placed.join(known, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")) & (F.col("sub") == F.col("e")))
     start, goal, size, whole = F.col("base") + F.col("inner"), F.floor("target"), F.col("size"), F.col("source_size")
@@ -86,7 +86,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     times = [F.when(b, position((start + whole * i) / F.col("target"), F.col("w0"), F.col("w1"))) for i, b in enumerate(begins)]
     return placed.select(
         "doc_id", "source", "size", "source_size", "target", (part(zero) + part(whole)).alias("taken"),
-        (begins[0].cast("int") + begins[1].cast("int")).alias("copies"), times[0].alias("position"), times[1].alias("position_2"),
+        (begins[0].cast("int") + begins[1].cast("int")).alias("copies"), times[0].alias("position"), times[1].alias("position_2"), *([F.col("row").alias(key)] if key else []),
     )
 
 
@@ -99,10 +99,13 @@ def in_order(df: DataFrame, at: str = "position", id_col: str = "doc_id") -> Dat
 def mix_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``df`` as the mix takes them, whole, range-sorted by training time; a row comes 0, 1 or 2 times.
 
-    Rows with null or repeated ids take the decision of all rows with that id that has the most copies.
+    Rows are numbered in a table in the shared folder and taken by that number, so each row has its own decision, whether its
+    id is null, repeated or neither; each source's words come within a document of its target.
     """
-    at, name, times_ = fresh(df, "position"), fresh(df, "mixed"), fresh(df, "times")
-    plan = mix(df, id_col, text_col, source_col).where("copies > 0")
-    times = plan.groupBy(F.col("doc_id").alias(name)).agg(F.array_compact(F.array(F.min("position"), F.min("position_2"))).alias(times_))
-    taken = df.join(times, F.col(id_col).eqNullSafe(F.col(name))).withColumn(at, F.explode(times_))
+    spark, at, key, times_ = df.sparkSession, fresh(df, "position"), fresh(df, "row"), fresh(df, "times")
+    folder = shared_dir(spark, "mixed")
+    df.withColumn(key, F.monotonically_increasing_id()).write.parquet(folder)
+    rows = spark.read.parquet(folder)
+    plan = mix(rows, id_col, text_col, source_col, key=key).where("copies > 0")
+    taken = rows.join(plan.select(key, F.array_compact(F.array("position", "position_2")).alias(times_)), key).withColumn(at, F.explode(times_))
     return in_order(taken, at, id_col).select(*[F.col(f"`{c}`") for c in df.columns])
