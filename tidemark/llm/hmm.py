@@ -16,7 +16,7 @@ from .common import shared_dir
 #: The token that ends every text; no word is empty.
 END = ""
 #: Characters of text that are cut into words at once, and tokens that the recursions keep in memory at once.
-GROUP, TOKENS = 1 << 22, 1 << 19
+GROUP, TOKENS = 1 << 22, 1 << 18
 
 
 def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
