@@ -77,7 +77,7 @@ def test_slope(spark):
     ([60, 60, 40, 60, 40], ["pending", "firing", "resolved", "pending", "inactive"]),
 ])
 def test_alert_states(spark, values, expected):
-    s = AL.states(series(spark, values).withColumn("met", F.col("value") > 50), ["name"], ["us"], "us", "met")
+    s = AL.states(series(spark, values).withColumn("met", F.col("value") > 50), ["name"], ["us"], "met")
     assert [r.state for r in s.orderBy("us").collect()] == expected
 
 

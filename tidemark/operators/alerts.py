@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.labels import label
+from .scans import SLICE_US, pieces, runs
 from .similarity import similar_rows
 
 SILENCES = 10_000
@@ -27,25 +28,16 @@ def threshold_alerts(metrics: DataFrame, rules: DataFrame) -> DataFrame:
     return metrics.join(rules.where("enabled"), metrics["name"] == rules["metric"]).where(hit)
 
 
-def states(df: DataFrame, by: list[str], order: list[str], us: str, met: str, hold_us: int = 0) -> DataFrame:
+def states(df: DataFrame, by: list[str], order: list[str], met: str, hold_us: int = 0, slice_us: int = SLICE_US) -> DataFrame:
     """Adds ``state`` (inactive, pending, firing, resolved) of each evaluation, in order, for each key.
 
     A run of met conditions begins pending and fires at its next row that comes ``hold_us`` or more after its first; an
     unmet condition resolves a firing alert and drops a pending one. Within a run the state depends only on its first
-    row, so three windows over one sort do the work of the state machine.
+    row and the run before, which a scan over time slices brings; ``order`` begins with the time.
     """
-    w = W.partitionBy(*by).orderBy(*order)
-    upto = w.rowsBetween(W.unboundedPreceding, 0)
-    on = F.coalesce(F.col(met), F.lit(False))
-    df = df.withColumn("_on", on).withColumn("_new", (F.coalesce(F.lag("_on").over(w) != F.col("_on"), F.lit(True))).cast("int"))
-    df = df.withColumn("_run", F.sum("_new").over(upto))
-    run = W.partitionBy(*by, "_run").orderBy(*order)
-    fires = F.col("_on") & (F.row_number().over(run) > 1) & (F.col(us) - F.first(us).over(run) >= hold_us)
-    df = df.withColumn("_fires", fires)
-    df = df.withColumn("_was", F.lag("_fires").over(w))
-    df = df.withColumn("_was", F.first("_was").over(run))
-    state = F.when(F.col("_on"), F.when(F.col("_fires"), "firing").otherwise("pending")).when(F.coalesce("_was", F.lit(False)), "resolved").otherwise("inactive")
-    return df.withColumn("state", state).drop("_on", "_new", "_run", "_fires", "_was")
+    rows = runs(df, by, order, F.col(met), hold_us, slice_us)
+    state = F.when(F.col("_on"), F.when(F.col("_fires"), "firing").otherwise("pending")).when(F.col("_was"), "resolved").otherwise("inactive")
+    return rows.withColumn("state", state).drop("_on", "_fires", "_was")
 
 
 def transitions(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
@@ -117,7 +109,7 @@ def deduplicated(alerts: DataFrame, by: list[str], order: list[str], compat: boo
     return alerts.withColumn("_before", before).where("_before is null or state <> _before").drop("_before")
 
 
-def cooled(alerts: DataFrame, by: list[str], cooldown_us: int, columns: str) -> DataFrame:
+def cooled(alerts: DataFrame, by: list[str], cooldown_us: int, columns: str, slice_us: int = SLICE_US) -> DataFrame:
     """Alerts that come ``cooldown_us`` or more after the last one let through for their key.
 
     The greedy choice needs the rows in order. Each key is cut where gaps reach the cooldown, as every such row passes;
@@ -125,18 +117,14 @@ def cooled(alerts: DataFrame, by: list[str], cooldown_us: int, columns: str) ->
     """
     import pandas as pd
 
-    w = W.partitionBy(*by).orderBy("us")
-    cut = (F.coalesce(F.col("us") - F.lag("us").over(w), F.lit(cooldown_us)) >= cooldown_us).cast("int")
-    pieces = alerts.withColumn("_cut", cut).withColumn("_piece", F.sum("_cut").over(w.rowsBetween(W.unboundedPreceding, 0)))
-
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows, keep, last = rows.sort_values("us", kind="stable"), [], None
         for us in rows["us"]:
             keep.append(last is None or us - last >= cooldown_us)
             last = us if keep[-1] else last
-        return rows[keep].drop(columns=["_cut", "_piece"])
+        return rows[keep].drop(columns=["_piece"])
 
-    return pieces.groupBy(*by, "_piece").applyInPandas(fold, columns)
+    return pieces(alerts, by, "us", cooldown_us, slice_us).groupBy(*by, "_piece").applyInPandas(fold, columns)
 
 
 def grouped(alerts: DataFrame, key: Column) -> DataFrame:

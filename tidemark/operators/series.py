@@ -7,10 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.times import micros, step_start
-
-
-#: Width of the time slices in which a series is windowed, so that one fills many tasks.
-SLICE_US = 86_400_000_000
+from .scans import SLICE_US, entering, last_known, sliced
 
 
 def guarded(numerator: Column, denominator: Column) -> Column:
@@ -72,20 +69,20 @@ def retained(series: DataFrame, as_of_us: int, keep_us: int, idle: bool = False)
     return series.join(alive, "name", "left_semi")
 
 
-def compressed(series: DataFrame, threshold: float, order: list[str] | None = None) -> DataFrame:
+def compressed(series: DataFrame, threshold: float, order: list[str] | None = None, slice_us: int = SLICE_US) -> DataFrame:
     """Drops inner points within ``threshold`` of the line between their original neighbours; ends stay."""
-    w = W.partitionBy("name").orderBy(*(order or ["us"]))
-    before, after = F.lag("us").over(w), F.lead("us").over(w)
-    line = F.lag("value").over(w) + (F.lead("value").over(w) - F.lag("value").over(w)) * guarded((F.col("us") - before).cast("double"), (after - before).cast("double"))
-    keep = before.isNull() | after.isNull() | (F.abs(F.col("value") - line) > threshold)
-    return series.withColumn("_keep", keep).where("_keep").drop("_keep")
+    order = order or ["us"]
+    rows = with_previous(with_previous(series, "name", order, ["us", "value"], slice_us), "name", order, ["us", "value"], slice_us, ahead="following")
+    us, value = F.col("us"), F.col("value")
+    before, after, v, u = F.col("previous.us"), F.col("following.us"), F.col("previous.value"), F.col("following.value")
+    line = v + (u - v) * guarded((us - before).cast("double"), (after - before).cast("double"))
+    return rows.where(F.col("previous").isNull() | F.col("following").isNull() | (F.abs(value - line) > threshold)).drop("previous", "following")
 
 
-def calculus(series: DataFrame, order: list[str]) -> DataFrame:
+def calculus(series: DataFrame, order: list[str], slice_us: int = SLICE_US) -> DataFrame:
     """Delta, rate a second, mean derivative and trapezoid integral (value seconds) of each name."""
-    w = W.partitionBy("name").orderBy(*order)
-    dt = (F.col("us") - F.lag("us").over(w)) / 1e6
-    s = series.withColumn("dt", dt).withColumn("prev", F.lag("value").over(w))
+    rows = with_previous(series, "name", order, ["us", "value"], slice_us)
+    s = rows.withColumn("dt", (F.col("us") - F.col("previous.us")) / 1e6).withColumn("prev", F.col("previous.value"))
     key = F.struct(*order)
     delta = F.max_by("value", key) - F.min_by("value", key)
     return s.groupBy("name").agg(
@@ -119,12 +116,12 @@ def correlation(left: DataFrame, right: DataFrame, start_us: int, step_us: int)
     return both.agg(F.count("*").alias("steps"), F.coalesce(F.when(~F.isnan(r), r), F.lit(0.0)).alias("r"))
 
 
-def as_of_join(left: DataFrame, right: DataFrame, by: str, value: str) -> DataFrame:
-    """Each left row (``by, us, id``) with the newest ``value`` of the right at or before it, by one sort of the union."""
+def as_of_join(left: DataFrame, right: DataFrame, by: str, value: str, slice_us: int = SLICE_US) -> DataFrame:
+    """Each left row (``by, us, id``) with the newest ``value`` of the right at or before it, by one sort of the union in time slices."""
     a = left.select(by, "us", F.lit(1).alias("side"), "id", F.lit(None).cast("double").alias("found"))
     b = right.select(by, "us", F.lit(0).alias("side"), F.lit(None).cast("long").alias("id"), F.col(value).cast("double").alias("found"))
-    w = W.partitionBy(by).orderBy("us", "side", F.col("found")).rowsBetween(W.unboundedPreceding, 0)
-    return a.unionByName(b).withColumn("as_of", F.last("found", ignorenulls=True).over(w)).where("side = 1").select(by, "us", "id", "as_of")
+    both = last_known(a.unionByName(b), [by], ["us", "side", "found"], F.col("found"), "as_of", slice_us)
+    return both.where("side = 1").select(by, "us", "id", "as_of")
 
 
 def load_frame(events: DataFrame) -> DataFrame:
@@ -133,19 +130,22 @@ def load_frame(events: DataFrame) -> DataFrame:
     return events.select(F.col("event_type").alias("name"), micros(F.col("ts")).alias("us"), "value", tags.alias("tags"), F.col("event_id").alias("row_id"), F.lit(1).alias("n"))
 
 
-def with_previous(df: DataFrame, by: str, order: list[str], columns: list[str], slice_us: int = SLICE_US) -> DataFrame:
+def with_previous(df: DataFrame, by: str, order: list[str], columns: list[str], slice_us: int = SLICE_US, ahead: str | None = None) -> DataFrame:
     """Adds ``previous``: a struct of ``columns`` of the key's row before; ``order`` begins with a number, as a time.
 
     Rows are windowed in time slices, so that one key fills many tasks; a slice's first row gets the last row of the
     slice before from one row a slice. ``slice_us`` is the width of a slice in that number, about a task's worth of one key.
+    With ``ahead`` it is the row behind, under that name.
     """
-    order_by, cell = F.struct(*order), F.struct(*columns)
+    order_by, cell, name = F.struct(*order), F.struct(*columns), ahead or "previous"
     rows = df.withColumn("_slice", F.floor(F.col(order[0]) / slice_us))
-    ends = rows.groupBy(by, "_slice").agg(F.max_by(cell, order_by).alias("_last"))
-    carried = ends.select(F.col(by).alias("_key"), F.col("_slice").alias("_at"), F.lag("_last").over(W.partitionBy(by).orderBy("_slice")).alias("_carry"))
+    edge = F.min_by if ahead else F.max_by
+    ends = rows.groupBy(by, "_slice").agg(edge(cell, order_by).alias("_last"))
+    other = F.desc("_slice") if ahead else F.asc("_slice")
+    carried = ends.select(F.col(by).alias("_key"), F.col("_slice").alias("_at"), F.lag("_last").over(W.partitionBy(by).orderBy(other)).alias("_carry"))
     rows = rows.join(carried, F.col(by).eqNullSafe(F.col("_key")) & F.col("_slice").eqNullSafe(F.col("_at")))
-    inner = F.lag(cell).over(W.partitionBy(by, "_slice").orderBy(*order))
-    return rows.withColumn("previous", F.coalesce(inner, "_carry")).drop("_slice", "_key", "_at", "_carry")
+    inner = (F.lead if ahead else F.lag)(cell).over(W.partitionBy(by, "_slice").orderBy(*order))
+    return rows.withColumn(name, F.coalesce(inner, "_carry")).drop("_slice", "_key", "_at", "_carry")
 
 
 def container_cpu(series: DataFrame, by: str, order: list[str], slice_us: int) -> DataFrame:
@@ -168,15 +168,15 @@ def smoothed(df: DataFrame, by: str, order: list[str], alpha: float, slice_us: i
     """
     import pandas as pd
 
-    rows = df.withColumn("_slice", F.floor(F.col("us") / slice_us))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col("value").cast("double").alias("x")))), lambda e: e["x"])
-    slices = rows.groupBy(by, "_slice").agg(ordered.alias("x"), F.count("*").alias("n"))
-    fold = F.aggregate("x", F.lit(0.0), lambda s, x: alpha * x + (1 - alpha) * s)
-    slices = slices.select(by, "_slice", F.struct(F.pow(F.lit(1 - alpha), F.col("n")).alias("factor"), fold.alias("sum"), F.element_at("x", 1).alias("first")).alias("map"))
-    before = F.collect_list("map").over(W.partitionBy(by).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1))
-    seed = F.aggregate("before", F.element_at("before", 1)["first"], lambda s, m: m["factor"] * s + m["sum"])
-    seeds = slices.select(F.col(by).alias("_key"), F.col("_slice").alias("_at"), before.alias("before")).select("_key", "_at", F.when(F.size("before") > 0, seed).alias("_seed"))
-    rows = rows.join(seeds, F.col(by).eqNullSafe(F.col("_key")) & F.col("_slice").eqNullSafe(F.col("_at"))).drop("_key", "_at")
+    rows = sliced(df, order[0], slice_us)
+    x = F.col("value").cast("double")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(*order, x.alias("x")))), lambda e: e["x"])
+    summary = {"n": F.count(x), "first": F.min_by(x, F.struct(*order)), "sum": F.aggregate(ordered, F.lit(0.0), lambda s, v: alpha * v + (1 - alpha) * s)}
+
+    def fold(left: dict | None, row: dict) -> dict:
+        return {"_seed": (1 - alpha) ** row["n"] * (row["first"] if left is None else left["_seed"]) + row["sum"]}
+
+    rows = entering(rows, [by], summary, fold, {"_seed": "double"})
 
     def walk(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(order, kind="stable")

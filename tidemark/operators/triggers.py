@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .series import SLICE_US, guarded, with_previous
+from .scans import SLICE_US, moments_before
+from .series import guarded, with_previous
 
 EPSILON = 1e-9
 
@@ -78,11 +79,17 @@ def moving(df: DataFrame, by: str, span_us: int, value: str = "value") -> DataFr
     return own_rows(out)
 
 
-def outliers(df: DataFrame, by: str, order: list[str], k: float = 3.0, more_than: int = 10) -> DataFrame:
-    """Flags rows more than ``k`` deviations off the mean of all rows before them, once there are enough."""
-    w = W.partitionBy(by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    z = F.abs(F.col("value") - F.avg("value").over(w)) / (F.stddev_samp("value").over(w) + 1e-10)
-    return df.withColumn("outlier", F.coalesce((F.count("value").over(w) > more_than) & (z > k), F.lit(False)))
+def outliers(df: DataFrame, by: str, order: list[str], k: float = 3.0, more_than: int = 10, slice_us: int = SLICE_US, relative: bool = True) -> DataFrame:
+    """Flags rows more than ``k`` deviations off the mean of all rows before them, once there are more than ``more_than``.
+
+    With ``relative`` the distance is divided by the deviation plus 1e-10; else it is compared with ``k`` deviations, and none is flagged if
+    there is no deviation. Moments of the rows before come from a scan over time slices.
+    """
+    rows = moments_before(df, [by], order, "value", slice_us)
+    sd = F.when(F.col("_n") > 1, F.sqrt(F.col("_m2") / (F.col("_n") - 1)))
+    distance = F.abs(F.col("value") - F.col("_mean"))
+    hit = distance / (sd + 1e-10) > k if relative else (sd > 0) & (distance > k * sd)
+    return rows.withColumn("outlier", F.coalesce((F.col("_n") > more_than) & hit, F.lit(False))).drop("_n", "_mean", "_m2")
 
 
 def anomalies(df: DataFrame, by: str, order: list[str], k: float = 3.0, rows: int = 100, least: int = 10) -> DataFrame:

@@ -123,7 +123,7 @@ NEWEST_SQL = states_sql("key", "name || '/' || user_id", 30) + ", l AS (SELECT k
 
 def user_states(spark, sf_dir):
     m = metrics(spark, sf_dir).select(F.concat_ws("/", "name", F.col("tags")["user_id"]).alias("key"), "us", "row_id", "value", (F.col("value") > 30).alias("met"))
-    return AL.states(m, ["key"], ["us", "row_id"], "us", "met", 10 * MINUTE)
+    return AL.states(m, ["key"], ["us", "row_id"], "met", 10 * MINUTE)
 
 
 @query(NEWEST_SQL + " SELECT key, CASE WHEN key LIKE 'click/%' AND ends_with(key, '7') THEN 'resolved' ELSE z.state END AS state, z.us AS us, z.value AS value FROM l WHERE z.state IN ('pending', 'firing')")

@@ -385,7 +385,7 @@ STATES_SQL = states_sql("name")
 
 def evaluated(spark, sf_dir) -> DataFrame:
     m = metrics(spark, sf_dir).withColumn("met", F.col("value") > 60)
-    return AL.states(m, ["name"], ["us", "row_id"], "us", "met", 10 * MINUTE)
+    return AL.states(m, ["name"], ["us", "row_id"], "met", 10 * MINUTE)
 
 
 @query(STATES_SQL + " SELECT name, state, count(*) AS rows, min(us) AS first_us, max(us) AS last_us FROM s GROUP BY ALL")
