@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.labels import label
-from .scans import SLICE_US, pieces, runs
+from .scans import SLICE_US, entering, last_known, pieces, runs, sliced
+from .series import with_previous
 from .similarity import similar_rows
 
 SILENCES = 10_000
@@ -229,6 +230,80 @@ def group_flushes(alerts: DataFrame, by: list[str], wait_us: int, interval_us: i
     return cooled(ready, by, interval_us, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ready.schema))
 
 
+def timed_flushes(rows: DataFrame, group: str, fingerprint: str, order: list[str], firing: str, wait_us: int, interval_us: int, resolve_us: int, until_us: int, slice_us: int = SLICE_US) -> DataFrame:
+    """``key, us, size, firing``: when each group is sent up to ``until_us``, with its members then and how many of them fire.
+
+    The batch form of :class:`timers.GroupTimer`. A fingerprint is a member from its first row until ``resolve_us`` after it is
+    resolved; where these stretches overlap they make a group's life. A life is sent ``wait_us`` after it begins and then every
+    ``interval_us`` while it lasts, so each stretch counts from one send to another: sizes are running sums of signed changes
+    by the number of the send.
+    """
+    us, on, key = order[0], F.coalesce(F.col(firing), F.lit(False)), "key"
+    r = rows.select(F.col(group).cast("string").alias(key), F.col(fingerprint).alias("_f"), *order, on.alias("_on")).withColumn("_by", F.struct(key, "_f"))
+    r = with_previous(with_previous(r, "_by", order, [us, "_on"], slice_us), "_by", order, [us], slice_us, ahead="following")
+    ever = F.lit((1 << 62))
+    end = F.coalesce(F.col(f"following.{us}"), ever)
+    leave = F.when(F.col("_on"), end).otherwise(F.least(end, F.col(us) + resolve_us))
+    fresh = F.col("previous").isNull() | (~F.col("previous._on") & (F.col(us) >= F.col(f"previous.{us}") + resolve_us))
+    r = r.select(key, "_f", *order, "_on", leave.alias("_leave"), end.alias("_end"), F.when(fresh, F.col(us)).alias("_fresh"))
+    r = last_known(r, [key, "_f"], order, F.col("_fresh"), "_start", slice_us)
+    stretches = r.groupBy(key, "_f", "_start").agg(F.max("_leave").alias("_leave")).select(key, "_start", "_leave")
+    lives = _lives(stretches, key, slice_us)
+    sends = lives.withColumn("_n", F.floor((F.least(F.col("_stop") - 1, F.lit(until_us)) - F.col("_first") - wait_us) / interval_us)).where("_n >= 0")
+
+    def numbers(df: DataFrame, begin: str, last: Column, name: str) -> DataFrame:
+        """From which send on a stretch counts, and from which no more."""
+        at = df.join(sends, key).where((F.col(begin) >= F.col("_first")) & (F.col(begin) < F.col("_stop")))
+        low = F.greatest(F.floor((F.col(begin) - F.col("_first") - wait_us) / interval_us) + 1, F.lit(0))
+        high = F.least(F.floor((last - F.col("_first") - wait_us) / interval_us), F.col("_n"))
+        both = at.select(key, "_first", low.alias("_low"), high.alias("_high")).where("_low <= _high")
+        cells = F.explode(F.array(F.struct(F.col("_low").alias("i"), F.lit(1).alias("d")), F.struct((F.col("_high") + 1).alias("i"), F.lit(-1).alias("d"))))
+        return both.select(key, "_first", cells.alias("c")).groupBy(key, "_first", F.col("c.i").alias("_i")).agg(F.sum("c.d").alias(name))
+
+    size = numbers(stretches, "_start", F.col("_leave") - 1, "_size")
+    fires = numbers(r.where("_on").select(key, F.col(us).alias("_from"), "_end"), "_from", F.col("_end"), "_fires")
+    each = sends.select(key, "_first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n"))).alias("_i"))
+    steps = each.join(size, [key, "_first", "_i"], "left").join(fires, [key, "_first", "_i"], "left")
+    upto = W.partitionBy(key, "_first").orderBy("_i").rowsBetween(W.unboundedPreceding, 0)
+    return steps.select(key, (F.col("_first") + wait_us + F.col("_i") * interval_us).alias("us"), F.sum(F.coalesce("_size", F.lit(0))).over(upto).alias("size"), F.sum(F.coalesce("_fires", F.lit(0))).over(upto).alias("firing"))
+
+
+def _lives(stretches: DataFrame, key: str, slice_us: int) -> DataFrame:
+    """``key, _first, _stop`` of the unions of overlapping stretches (those that only touch stay apart)."""
+    rows = sliced(stretches, "_start", slice_us)
+    w = W.partitionBy(key, "_slice").orderBy("_start", "_leave")
+    rows = rows.withColumn("_inner", F.max("_leave").over(w.rowsBetween(W.unboundedPreceding, -1)))
+    rows = entering(rows, [key], {"reach": F.max("_leave")}, lambda left, row: {"_reach": max(row["reach"], left["_reach"]) if left else row["reach"]}, {"_reach": "long"})
+    far = F.greatest("_inner", "_reach")
+    rows = rows.select(key, "_start", "_leave", F.when(far.isNull() | (F.col("_start") >= far), F.col("_start")).alias("_new"))
+    return last_known(rows, [key], ["_start", "_leave"], F.col("_new"), "_first", slice_us).groupBy(key, "_first").agg(F.max("_leave").alias("_stop"))
+
+
+def cached(rows: DataFrame, by: list[str], order: list[str], state: str, keep_us: int, compat: bool = False, slice_us: int = SLICE_US) -> DataFrame:
+    """Rows that aren't repeats of a remembered state; what is remembered of a key is forgotten ``keep_us`` after its first row.
+
+    The batch form of :class:`timers.CacheTimer`. Series are cut where gaps exceed ``keep_us``, as nothing is remembered there,
+    and one piece is folded at a time. With ``compat`` the first row records no state, so one repeat passes.
+    """
+    import pandas as pd
+
+    us, names = order[0], rows.columns
+
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        part, first, last, keep = part.sort_values(order, kind="stable"), None, None, []
+        for at, now in zip(part[us], part[state], strict=True):
+            new = first is None or at - first > keep_us
+            keep.append(new or now != last)
+            if new:
+                first, last = at, None if compat else now
+            elif now != last:
+                last = now
+        return part[keep][names]
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return pieces(rows, by, us, keep_us + 1, slice_us).groupBy(*by, "_piece").applyInPandas(fold, schema)
+
+
 def severity_summary(alerts: DataFrame) -> DataFrame:
     """Alerts of each severity, and the newest of them."""
     return alerts.groupBy("severity").agg(F.count("*").alias("alerts"), F.max("us").alias("last_us"), F.max_by("id", F.struct("us", "id")).alias("last_id"))

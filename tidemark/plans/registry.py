@@ -16,7 +16,7 @@ from ..operators import series as S
 from ..operators import triggers as T
 from ..sources import encoders as E
 from ..sources import collectors, storage
-from ..streaming import jobs
+from ..streaming import jobs, timers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -786,3 +786,68 @@ def stream_dedup(spark, sf_dir):
 def stream_alert_states(spark, sf_dir):
     s = stream(spark, sf_dir).select("name", micros(F.col("ts")).alias("us"), (F.col("value") > 60).alias("met"))
     return jobs.run_available(jobs.alert_states(s, "name", "us", "met", 10 * MINUTE), stream_folder(spark))
+
+
+# --- timers ---------------------------------------------------------------------------------------------------------
+
+#: Up to when a stream has worked that is 1 hour behind its newest row.
+UNTIL_SQL = "((SELECT max(us) FROM m) // 1000 - 3600001) * 1000"
+FLUSHES_SQL = f"""WITH {{m}}, r AS (SELECT user_id AS key, name AS f, us, value > 30 AS firing, lead(us) OVER o AS nxt, lag(us) OVER o AS prev, lag(value > 30) OVER o AS prev_on, row_id FROM m WINDOW o AS (PARTITION BY user_id, name ORDER BY us, row_id)),
+i AS (SELECT *, coalesce(nxt, 4611686018427387904) AS e, sum((prev IS NULL OR (NOT prev_on AND us >= prev + {12 * HOUR}))::INT) OVER (PARTITION BY key, f ORDER BY us, row_id) AS n FROM r),
+x AS (SELECT key, f, min(us) AS s, max(CASE WHEN firing THEN e ELSE least(e, us + {12 * HOUR}) END) AS e FROM i GROUP BY key, f, n),
+l AS (SELECT *, max(e) OVER (PARTITION BY key ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM x),
+v AS (SELECT *, sum((far IS NULL OR s >= far)::INT) OVER (PARTITION BY key ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS life FROM l),
+g AS (SELECT key, min(s) AS s, max(e) AS e FROM v GROUP BY key, life),
+t AS (SELECT key, unnest(range(s + {6 * HOUR}, least(e, {UNTIL_SQL} + 1), {DAY})) AS us FROM g),
+a AS (SELECT t.key, t.us, count(*) AS size FROM t JOIN x ON x.key = t.key AND x.s < t.us AND t.us < x.e GROUP BY ALL),
+b AS (SELECT t.key, t.us, count(*) AS firing FROM t JOIN i ON i.key = t.key AND i.firing AND i.us < t.us AND t.us <= i.e GROUP BY ALL)
+SELECT key::VARCHAR AS key, a.us AS us, size, coalesce(firing, 0) AS firing FROM a LEFT JOIN b USING (key, us)"""
+
+
+def newest_us(spark, sf_dir) -> int:
+    return metrics(spark, sf_dir).agg(F.max("us")).first()[0]
+
+
+@query(FLUSHES_SQL)
+def timed_group_flushes(spark, sf_dir):
+    m = metrics(spark, sf_dir).select(F.col("tags")["user_id"].alias("user"), "name", "us", "row_id", (F.col("value") > 30).alias("firing"))
+    until = timers.horizon_us(newest_us(spark, sf_dir), 3_600_000)
+    return AL.timed_flushes(m, "user", "name", ["us", "row_id"], "firing", 6 * HOUR, DAY, 12 * HOUR, until)
+
+
+@query(FLUSHES_SQL)
+def stream_group_flushes(spark, sf_dir):
+    s = stream(spark, sf_dir).select("ts", F.col("user_id").alias("user"), micros(F.col("ts")).alias("us"), "event_id", F.col("name"), (F.col("value") > 30).alias("firing"))
+    return jobs.run_available(timers.folded(s, "user", ["us", "event_id"], ["name", "firing"], timers.GroupTimer(6 * HOUR, DAY, 12 * HOUR), timers.GroupTimer.SCHEMA, 3_600_000), stream_folder(spark))
+
+
+def cached_sql(compat: bool, until: str = "") -> str:
+    """The cache as a recursive statement, by user and name, with two states."""
+    return f"""WITH RECURSIVE {{m}}, e AS (SELECT user_id || '/' || name AS key, us, row_id, CASE WHEN value > 30 THEN 'firing' ELSE 'resolved' END AS state, row_number() OVER (PARTITION BY user_id, name ORDER BY us, row_id) AS rn FROM m),
+c AS (SELECT key, rn, us, row_id, state, us AS first, {"NULL::VARCHAR" if compat else "state"} AS last, true AS pass FROM e WHERE rn = 1 UNION ALL
+SELECT e.key, e.rn, e.us, e.row_id, e.state, CASE WHEN e.us - c.first > {4 * DAY} THEN e.us ELSE c.first END, CASE WHEN e.us - c.first > {4 * DAY} THEN {"NULL" if compat else "e.state"} ELSE e.state END, e.us - c.first > {4 * DAY} OR c.last IS NULL OR c.last <> e.state FROM c JOIN e ON e.key = c.key AND e.rn = c.rn + 1)
+SELECT key, us, row_id AS id, state FROM c WHERE pass{until}"""
+
+
+def keyed(df: DataFrame, id_: str) -> DataFrame:
+    state = F.when(F.col("value") > 30, "firing").otherwise("resolved")
+    return df.withColumns({"key": F.concat_ws("/", "user", "name"), "state": state}).withColumnRenamed(id_, "id")
+
+
+@query(cached_sql(True))
+def cached_dedup(spark, sf_dir):
+    m = keyed(metrics(spark, sf_dir).withColumn("user", F.col("tags")["user_id"]), "row_id").select("key", "us", "id", "state")
+    return AL.cached(m, ["key"], ["us", "id"], "state", 4 * DAY, compat=True)
+
+
+@query(cached_sql(False, f" AND us <= {UNTIL_SQL}"))
+def stream_cached_dedup(spark, sf_dir):
+    s = keyed(stream(spark, sf_dir).withColumnsRenamed({"user_id": "user"}), "event_id").withColumn("us", micros(F.col("ts")))
+    return jobs.run_available(timers.folded(s, "key", ["us", "id"], ["id", "state"], timers.CacheTimer(4 * DAY), timers.CacheTimer.SCHEMA, 3_600_000), stream_folder(spark))
+
+
+@query(STATES_SQL + f""", c AS (SELECT *, coalesce(lag(state) OVER (PARTITION BY name ORDER BY rn), 'inactive') AS before FROM s) SELECT name AS key, us, state FROM c WHERE state <> before AND us <= {UNTIL_SQL}""")
+def stream_timed_states(spark, sf_dir):
+    """No metric is silent for a month here, so the states are those without a timeout, up to the watermark."""
+    s = stream(spark, sf_dir).select("ts", "name", micros(F.col("ts")).alias("us"), "event_id", (F.col("value") > 60).alias("met"))
+    return jobs.run_available(timers.folded(s, "name", ["us", "event_id"], ["met"], timers.StateTimer(10 * MINUTE, 30 * DAY, 30 * DAY), timers.StateTimer.SCHEMA, 3_600_000), stream_folder(spark))

@@ -29,11 +29,11 @@ def horizon_us(newest_us: int, late_ms: int) -> int:
     return (newest_us // 1000 - late_ms - 1) * 1000
 
 
-def folded(stream: DataFrame, key: str, us: str, columns: list[str], machine: Machine, schema: str, late_ms: int) -> DataFrame:
-    """A machine's results for each key of a stream with a TIMESTAMP ``ts``, whose ``us`` are its microseconds.
+def folded(stream: DataFrame, key: str, order: list[str], columns: list[str], machine: Machine, schema: str, late_ms: int) -> DataFrame:
+    """A machine's results for each key of a stream with a TIMESTAMP ``ts``; ``order`` begins with its microseconds.
 
-    Rows wait until the watermark, ``late_ms`` behind the newest row, has passed them, and are then taken in order of time
-    (ties by ``columns``); a deadline at or before a row's time comes first. So results don't depend on how rows are cut into
+    Rows wait until the watermark, ``late_ms`` behind the newest row, has passed them, and are then taken in ``order``, the
+    machine sees their ``columns``; a deadline at or before a row's time comes first. So results don't depend on how rows are cut into
     batches, and deadlines pass as time goes on, with or without rows of the key. Between batches a key keeps what its machine
     keeps and its waiting rows; a key whose machine has nothing left to keep is forgotten.
     """
@@ -43,7 +43,7 @@ def folded(stream: DataFrame, key: str, us: str, columns: list[str], machine: Ma
         for batch in batches:
             waiting += [[int(r[0]), *map(_plain, r[1:])] for r in batch.itertuples(index=False, name=None)]
         now = (state.getCurrentWatermarkMs() - 1) * 1000
-        waiting.sort()
+        waiting.sort(key=lambda r: [(v is not None, v) for v in r[: len(order)]])
         out: list[tuple] = []
 
         def pass_deadlines(upto: int) -> None:
@@ -54,7 +54,7 @@ def folded(stream: DataFrame, key: str, us: str, columns: list[str], machine: Ma
         while ready < len(waiting) and waiting[ready][0] <= now:
             at, *values = waiting[ready]
             pass_deadlines(at)
-            out.extend(machine.row(kept, at, values))
+            out.extend(machine.row(kept, at, values[len(order) - 1 :]))
             ready += 1
         pass_deadlines(now)
         waiting = waiting[ready:]
@@ -68,8 +68,9 @@ def folded(stream: DataFrame, key: str, us: str, columns: list[str], machine: Ma
         yield pd.DataFrame([(keys[0], *row) for row in out], columns=names)
 
     names = ["key", *[c.split()[0] for c in schema.split(",")]]
-    rows = stream.withWatermark("ts", f"{late_ms} milliseconds").select("ts", F.col(key).cast("string").alias("key"), F.col(us).alias("us"), *columns)
-    return rows.groupBy("key").applyInPandasWithState(_without_ts(run, ["us", *columns]), f"key string, {schema}", "kept string", "append", "EventTimeTimeout")
+    held = [F.col(c).alias(f"_{i}") for i, c in enumerate([*order, *columns])]
+    rows = stream.withWatermark("ts", f"{late_ms} milliseconds").select("ts", F.col(key).cast("string").alias("key"), *held)
+    return rows.groupBy("key").applyInPandasWithState(_without_ts(run, [f"_{i}" for i in range(len(held))]), f"key string, {schema}", "kept string", "append", "EventTimeTimeout")
 
 
 def _plain(v):
@@ -153,7 +154,7 @@ class CacheTimer:
 class StateTimer:
     """The alert state machine with a resolve timeout: a key without a row for ``silent_us`` is resolved, and forgotten ``keep_us`` later.
 
-    Rows are ``order, met``; results ``us, state`` at each change. ``hold_us`` is how long a condition has to hold before it fires.
+    Rows are ``met``; results ``us, state`` at each change. ``hold_us`` is how long a condition has to hold before it fires.
     """
 
     SCHEMA = "us long, state string"
@@ -177,7 +178,7 @@ class StateTimer:
             kept.clear()
 
     def row(self, kept: dict, at: int, values: list) -> Iterator[tuple]:
-        met, state = bool(values[1]), kept.get("state", "inactive")
+        met, state = bool(values[0]), kept.get("state", "inactive")
         since = kept.get("since", at)
         new = state
         if met and state in ("inactive", "resolved"):
