@@ -110,18 +110,20 @@ def deduplicated(alerts: DataFrame, by: list[str], order: list[str], compat: boo
     return alerts.withColumn("_before", before).where("_before is null or state <> _before").drop("_before")
 
 
-def cooled(alerts: DataFrame, by: list[str], cooldown_us: int, columns: str, slice_us: int = SLICE_US) -> DataFrame:
+def cooled(alerts: DataFrame, by: list[str], cooldown_us: int | str, columns: str, slice_us: int = SLICE_US) -> DataFrame:
     """Alerts that come ``cooldown_us`` or more after the last one let through for their key.
 
     The greedy choice needs the rows in order. Each key is cut where gaps reach the cooldown, as every such row passes;
-    one piece is folded at a time, so a key with many rows is spread over its pieces. ``columns`` is the result's schema.
+    one piece is folded at a time, so a key with many rows is spread over its pieces. A column's name as cooldown
+    gives each key its own. ``columns`` is the result's schema.
     """
     import pandas as pd
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows, keep, last = rows.sort_values("us", kind="stable"), [], None
+        least = rows[cooldown_us].iloc[0] if isinstance(cooldown_us, str) else cooldown_us
         for us in rows["us"]:
-            keep.append(last is None or us - last >= cooldown_us)
+            keep.append(last is None or us - last >= least)
             last = us if keep[-1] else last
         return rows[keep].drop(columns=["_piece"])
 

@@ -117,18 +117,19 @@ def runs(df: DataFrame, by: list[str], order: list[str], on: Column, hold_us: in
     return rows.withColumn("_was", was).drop("_slice", "_new", "_run", "_runs", "_start", "_place", "_before", "p_on", "p_start", "p_fired", "p_was")
 
 
-def pieces(df: DataFrame, by: list[str], us: str, gap_us: int, slice_us: int = SLICE_US) -> DataFrame:
-    """Adds ``_piece``: when the row's piece began; a row ``gap_us`` or more after the row before begins one."""
+def pieces(df: DataFrame, by: list[str], us: str, gap_us: int | str, slice_us: int = SLICE_US) -> DataFrame:
+    """Adds ``_piece``: when the row's piece began; a row ``gap_us`` or more (or what a key's column of that name says) after the row before begins one."""
     rows, w, at = sliced(df, us, slice_us), window(by, [us]), F.col(us)
+    least = F.col(gap_us) if isinstance(gap_us, str) else F.lit(gap_us)
     rows = rows.withColumn("_gap", at - F.lag(us).over(w))
-    summary = {"first": F.min(at), "last": F.max(at), "cut": F.max(F.when(F.col("_gap") >= gap_us, at))}
+    summary = {"first": F.min(at), "last": F.max(at), "cut": F.max(F.when(F.col("_gap") >= least, at)), "least": F.max(least)}
 
     def fold(left: dict | None, row: dict) -> dict:
-        piece = row["first"] if left is None or row["first"] - left["p_last"] >= gap_us else left["p_piece"]
+        piece = row["first"] if left is None or row["first"] - left["p_last"] >= row["least"] else left["p_piece"]
         return {"p_last": row["last"], "p_piece": piece if row["cut"] is None else row["cut"]}
 
     rows = entering(rows, by, summary, fold, {"p_last": "long", "p_piece": "long"})
-    cut = F.coalesce(F.coalesce("_gap", at - F.col("p_last")) >= gap_us, F.lit(True))
+    cut = F.coalesce(F.coalesce("_gap", at - F.col("p_last")) >= least, F.lit(True))
     inner = F.last(F.when(cut, at), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
     return rows.withColumn("_piece", F.coalesce(inner, "p_piece")).drop("_slice", "_gap", "p_last", "p_piece")
 

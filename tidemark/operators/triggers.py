@@ -79,6 +79,25 @@ def moving(df: DataFrame, by: str, span_us: int, value: str = "value") -> DataFr
     return own_rows(out)
 
 
+def moving_at_most(df: DataFrame, by: str, order: list[str], span_us: int, most: int, value: str = "value") -> DataFrame:
+    """Count, sum, mean and oldest time of the rows up to each that are at most ``span_us`` old, of the newest ``most`` of them.
+
+    The frame is what a RANGE and a ROWS frame have in common: it begins at the later of their first rows, and the sum is the
+    difference of the running sums there, in time slices. Later rows of the same time don't count.
+    """
+    df = time_slices(df, span_us)
+    w = W.partitionBy(by, "_slice").orderBy(*order)
+    upto, v = w.rowsBetween(W.unboundedPreceding, 0), F.coalesce(F.col(value).cast("double"), F.lit(0.0))
+    df = df.withColumns({"_rn": F.row_number().over(w), "_sum": F.sum(v).over(upto), "_n": F.count(value).over(upto)})
+    here = F.struct("_rn", (F.col("_sum") - v).alias("sum"), (F.col("_n") - F.col(value).isNotNull().cast("int")).alias("n"), "us")
+    by_time = F.min(here).over(W.partitionBy(by, "_slice").orderBy("us").rangeBetween(-span_us, 0))
+    by_size = F.min(here).over(w.rowsBetween(-(most - 1), 0))
+    df = df.withColumn("_from", F.greatest(by_time, by_size))
+    n, total = F.col("_n") - F.col("_from.n"), F.col("_sum") - F.col("_from.sum")
+    out = df.withColumns({"m_count": n, "m_sum": total, "m_mean": F.when(n > 0, total / F.greatest(n, F.lit(1))), "m_oldest": F.col("_from.us")})
+    return own_rows(out.drop("_rn", "_sum", "_n", "_from"))
+
+
 def outliers(df: DataFrame, by: str, order: list[str], k: float = 3.0, more_than: int = 10, slice_us: int = SLICE_US, relative: bool = True) -> DataFrame:
     """Flags rows more than ``k`` deviations off the mean of all rows before them, once there are more than ``more_than``.
 

@@ -1,2 +1,2 @@
 """Metrics analytics on Spark."""
-from . import operations, registry  # noqa: F401  (registers the queries)
+from . import operations, registry, summaries  # noqa: F401  (registers the queries)

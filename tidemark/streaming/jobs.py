@@ -87,3 +87,51 @@ def run_complete(stream: DataFrame, folder: str) -> DataFrame:
     query = stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{folder}/{name}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/{name}/out")
+
+
+class Flush:
+    """Batches of a stream in a folder, each written whole under its number and listed in a manifest, with at most ``most`` series.
+
+    A batch that comes again overwrites its own files and finds the series that the batches before it knew, so it adds
+    nothing. Series are taken in order of ``first`` in the batch that brings them. Readers take batches in the manifest only.
+    """
+
+    def __init__(self, folder: str, series: str, first: list[str], most: int):
+        self.folder, self.series, self.first, self.most = folder, series, first, most
+
+    def known(self, spark: SparkSession, before: int) -> DataFrame | None:
+        """The series of the batches below a number."""
+        done = [n for n in self.batches(spark) if n < before]
+        return spark.read.parquet(*[f"{self.folder}/series/{n}" for n in done]) if done else None
+
+    def batches(self, spark: SparkSession) -> list[int]:
+        """Numbers of the batches that are complete; each has an empty file in the manifest."""
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/manifest")
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        return sorted(int(f.getPath().getName()) for f in fs.listStatus(path)) if fs.exists(path) else []
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        known = self.known(spark, number)
+        new = batch.groupBy(self.series).agg(F.min(F.struct(*self.first)).alias("_seen"))
+        if known is not None:
+            new = new.join(known, self.series, "left_anti")
+        room = self.most - (known.count() if known is not None else 0)
+        new.orderBy("_seen", self.series).limit(max(0, room)).select(self.series).write.mode("overwrite").parquet(f"{self.folder}/series/{number}")
+        mine = spark.read.parquet(f"{self.folder}/series/{number}")
+        allowed = mine if known is None else known.unionByName(mine)
+        batch.join(allowed, self.series, "left_semi").write.mode("overwrite").parquet(f"{self.folder}/rows/{number}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/manifest/{number}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True).close()
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(*[f"{self.folder}/rows/{n}" for n in self.batches(spark)])
+
+
+def flushed(stream: DataFrame, folder: str, series: str, first: list[str], most: int) -> DataFrame:
+    """Runs a stream over all data that is there through a :class:`Flush`, and reads what it kept."""
+    name = uuid.uuid4().hex
+    flush = Flush(f"{folder}/{name}/flushed", series, first, most)
+    query = stream.writeStream.foreachBatch(flush).option("checkpointLocation", f"{folder}/{name}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return flush.read(stream.sparkSession)
