@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.folders import checkpointed
+
 STATUS = ("healthy", "degraded", "unhealthy")
 
 
@@ -21,7 +23,7 @@ def reachable(edges: DataFrame, source: str, target: str) -> DataFrame:
     newest = found
     for depth in itertools.count(2):
         joined = newest.select("start", F.col("reached").alias("via")).join(step.select(F.col("start").alias("via"), "reached"), "via")
-        newest = joined.select("start", "reached").distinct().join(found, ["start", "reached"], "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
+        newest = checkpointed(joined.select("start", "reached").distinct().join(found, ["start", "reached"], "left_anti").withColumn("depth", F.lit(depth)))
         if newest.isEmpty():
             return found
         found = found.union(newest)
@@ -51,10 +53,10 @@ def topological(edges: DataFrame) -> DataFrame:
         depth += 1
         if depth > total:
             raise ValueError("the graph has a cycle")
-        newest = newest.join(edges, F.col("node") == F.col("dependency")).select(F.col("dependent").alias("node")).distinct().checkpoint()
+        newest = checkpointed(newest.join(edges, F.col("node") == F.col("dependency")).select(F.col("dependent").alias("node")).distinct())
         level = level.union(newest.withColumn("level", F.lit(depth)))
     best = level.groupBy("node").agg(F.max("level").alias("level"))
-    ordered = best.orderBy("level", "node").withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    ordered = checkpointed(best.orderBy("level", "node").withColumn("_at", F.monotonically_increasing_id()))
     ordered = ordered.withColumns({"_range": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND((1 << 33) - 1)})
     starts, before = [], 0
     for r in ordered.groupBy("_range").count().orderBy("_range").collect():  # one row a partition
@@ -89,23 +91,22 @@ def fleet_healthy(services: DataFrame) -> DataFrame:
 def trace_tree(spans: DataFrame) -> DataFrame:
     """``trace_id, span_id, depth`` from root spans (without a parent in the trace) down.
 
-    Pointer doubling: each round joins every span to the one its pointer names and doubles the pointer's reach, so a
-    trace of depth d takes log2(d) rounds. A span comes once for each way to a root, so repeated span ids multiply; spans
+    Pointer doubling: in each round the spans that have no root yet ask the one their pointer names, which doubles the pointer's
+    reach, so a trace of depth d takes log2(d) rounds. A span comes once for each way to a root, so repeated span ids multiply; spans
     on a circle of parents, or below one, have no root and are left out.
     """
     known = spans.select("trace_id", F.col("span_id").alias("up")).distinct().withColumn("_there", F.lit(True))
     state = spans.select("trace_id", "span_id", F.col("parent_span_id").alias("up")).join(known, ["trace_id", "up"], "left")
-    state = state.select("trace_id", "span_id", F.when(F.col("_there"), F.col("up")).alias("up"), F.when(F.col("_there"), 1).otherwise(0).alias("depth")).checkpoint()
-    waiting = F.count_distinct(F.when(F.col("up").isNotNull(), F.struct("trace_id", "span_id")))
-    before = state.agg(waiting).first()[0]
-    while before:
-        far = state.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"))
-        state = state.join(far, ["trace_id", "up"], "left").select("trace_id", "span_id", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth")).checkpoint()
-        left = state.agg(waiting).first()[0]
-        if left == before:  # depths have no gaps, so what no round resolves is a circle
-            break
-        before = left
-    return state.where("up IS NULL").select("trace_id", "span_id", "depth")
+    state = checkpointed(state.select("trace_id", "span_id", F.when(F.col("_there"), F.col("up")).alias("up"), F.when(F.col("_there"), 1).otherwise(0).alias("depth")))
+    done, asking = state.where("up IS NULL"), state.where("up IS NOT NULL")
+    while True:
+        far = done.unionByName(asking).select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"))
+        state = asking.join(far, ["trace_id", "up"]).select("trace_id", "span_id", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"))
+        state = checkpointed(state)
+        found = state.where("up IS NULL")
+        if found.isEmpty():  # depths have no gaps, so what a round doesn't resolve any of are circles
+            return done.select("trace_id", "span_id", "depth")
+        done, asking = done.unionByName(found), state.where("up IS NOT NULL")
 
 
 def capped_spans(spans: DataFrame, order: list[str], most_spans: int = 1000, most_traces: int = 10_000) -> DataFrame:

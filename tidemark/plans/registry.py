@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from ..functions.folders import shared_root
 from ..functions.times import micros
 from ..operators import aggregates as A
 from ..operators import alerts as AL
@@ -744,14 +745,7 @@ def stream(spark, sf_dir) -> DataFrame:
 
 
 def stream_folder(spark) -> str:
-    import tempfile
-
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="tidemark-")
-    return f"{root.rstrip('/')}/streams"
+    return f"{shared_root(spark)}/streams"
 
 
 def with_us(df: DataFrame, name: str) -> DataFrame:
