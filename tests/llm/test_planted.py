@@ -137,3 +137,33 @@ def test_rows_without_or_with_equal_ids_keep_the_budget(spark):
     for r in got:
         times[r.number] = times.get(r.number, 0) + 1
     assert max(times.values()) <= 2 and {tuple(r) for r in got} <= set(rows)
+
+
+def test_a_chain_of_hosts_and_links_that_stay(spark, monkeypatch):
+    """Trust runs down a chain of 200 hosts, each round's join leaves the links where they are."""
+    names = ["seed.org", *[f"h{i}.net" for i in range(200)]]
+    edges = spark.createDataFrame([(a, b, 1) for a, b in zip(names, names[1:], strict=False)], "src string, dst string, links long")
+    seeds = spark.createDataFrame([("seed.org", 10.0)], "host string, seed double")
+    plans = []
+    keep = urlfilter.checkpointed
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df)
+
+    monkeypatch.setattr(urlfilter, "checkpointed", noted)
+    got = {r.host: r.rank for r in urlfilter.propagate(edges, seeds, "src", "dst", 0.85, 1e-2).collect()}
+    for i, name in enumerate(names[:16]):
+        assert got[name] == pytest.approx(1.5 * 0.85**i)
+    assert len(got) < 25 and len(plans) > 15
+    for plan in plans[2:]:  # of the totals, of what is sent (twice) and of the sums, not of the links
+        links = plan[: plan.index("onto", plan.index("Scan ExistingRDD"))].splitlines()
+        assert plan.count("Exchange hashpartitioning") == 4 and "Exchange" not in links[-2] + links[-3]
+
+
+def test_cuts_of_repeated_keys(spark):
+    few = spark.range(10_000).select((F.col("id") % 3).alias("k"))
+    assert common.range_cuts(few, "k", 4) == sorted(set(common.range_cuts(few, "k", 4))) and set(common.range_cuts(few, "k", 4)) <= {0, 1, 2}
+    many = spark.range(50_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"))
+    cuts = common.range_cuts(many, "k", 8, 8)
+    assert len(cuts) == 7 and all(abs(c - 50_000 * (i + 1) / 8) < 15_000 for i, c in enumerate(cuts))

@@ -53,6 +53,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def dealt(df: DataFrame, parts: int, *keys: str) -> DataFrame:
+    """A checkpoint of the rows dealt by keys, which later joins by these keys find dealt; with adaptive execution Spark forgets it, so
+    that is off while the checkpoint is planned."""
+    session = df.sparkSession
+    adaptive = session.conf.get("spark.sql.adaptive.enabled")
+    session.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return checkpointed(df.repartition(parts, *keys))
+    finally:
+        session.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def unsized(df: DataFrame) -> DataFrame:
     """A checkpoint's rows without the size that was estimated for its plan, for the next round of an iteration.
 
@@ -91,20 +103,22 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: Rows of one key that a join may put into one task.
-HOT = 50_000
+#: Rows of one key that a join may put into one task, and the number of such keys up to which they are broadcast.
+HOT, HOT_KEYS = 50_000, 100_000
 
 
 def spread_join(left: DataFrame, right: DataFrame, key: str, count: str, spread: str, most: int | None = None) -> DataFrame:
     """``left`` joined by ``key`` to ``right``, which has one row a key with the number of its rows in ``left`` as ``count``.
 
     Rows of a key with over ``most`` (by default ``HOT``) rows are dealt by the column ``spread`` over as many tasks as they need. Such keys
-    are at most a ``most``-th of the rows, so they are broadcast. ``right`` is read twice: it should be a checkpoint.
+    are at most a ``most``-th of the rows; they are broadcast if they are counted as ``HOT_KEYS`` or fewer, else Spark picks the join
+    (and may split it, as its other side has one row a key). ``right`` is read three times: it should be a checkpoint.
     """
     most, salt, salts = most or HOT, fresh(left, "salt"), fresh(left, "salts")
     right = right.withColumn(salts, F.greatest(F.ceil(F.col(count) / most), F.lit(1)).cast("int"))
     hot = right.where(F.col(count) > most).select(key, salts)
-    dealt = left.join(F.broadcast(hot), key, "left").withColumn(salt, F.pmod(F.xxhash64(spread), F.coalesce(salts, F.lit(1))).cast("int")).drop(salts)
+    hot = F.broadcast(hot) if hot.count() <= HOT_KEYS else hot
+    dealt = left.join(hot, key, "left").withColumn(salt, F.pmod(F.xxhash64(spread), F.coalesce(salts, F.lit(1))).cast("int")).drop(salts)
     return dealt.join(right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.col(salts) - 1))), [key, salt]).drop(salt, salts, count)
 
 
@@ -113,12 +127,17 @@ def range_cuts(df: DataFrame, key: str, pieces: int, per_piece: int = 32) -> lis
 
     They are quantiles of the ``pieces * per_piece`` keys with the smallest hashes, so a rerun cuts alike, whatever
     the order of its tasks; Spark's own range sampling depends on earlier jobs. Only the balance of the pieces rests
-    on this sample.
+    on this sample. Of the keys, just those with hashes so small that some eight times as many are expected are made distinct; all
+    are where repeated keys leave too few.
     """
-    rows = (
-        df.select(F.col(key).cast("long").alias("k")).where("k is not null").distinct()
-        .orderBy(F.xxhash64("k"), "k").limit(pieces * per_piece).collect()
-    )
+    keys, most = df.select(F.col(key).cast("long").alias("k")).where("k is not null").withColumn("h", F.xxhash64("k")), pieces * per_piece
+    share = 8 * most / max(1, keys.count())
+
+    def smallest(some: DataFrame) -> list:
+        return some.distinct().orderBy("h", "k").limit(most).collect()
+
+    rows = smallest(keys.where(F.col("h") < F.lit(int(-(1 << 63) + share * (1 << 64))))) if share < 0.5 else []
+    rows = rows if len(rows) == most else smallest(keys)
     keys = np.sort(np.array([r[0] for r in rows], dtype=np.int64))
     if not len(keys) or pieces < 2:
         return []

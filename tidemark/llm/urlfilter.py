@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import string
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT, checkpointed, spread_join
+from .common import HOT, checkpointed, dealt, partitions, spread_join
 
 #: (verdict, host, path): the rules of the production query.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -41,28 +42,31 @@ def propagate(edges: DataFrame, seeds: DataFrame, source: str, to: str, damping:
     """Personalised PageRank ``host, rank`` of seeds ``host, seed``: rank flows along ``source`` to ``to``.
 
     A host passes ``damping`` of its rank on, in proportion to link counts; rank of a host without such links ends
-    there. Hosts that nothing reaches are left out. Rounds go on until all hosts' ranks together change by at most ``tolerance``
-    of the seeds' sum in a round; a checkpoint ends each, and every fourth is compared. As the change falls by ``damping`` a round at least, this ends.
+    there. Hosts that nothing reaches are left out. Only what a round adds is passed on in the next, and a host's rank is the sum of
+    what it got. Rounds go on until they add at most ``tolerance`` of the seeds' sum in all; hosts whose share of that is
+    smaller than an equal one don't pass it on. A round adds ``damping`` of the one before at most, so this ends. The
+    links are dealt once, by the host that passes and for a hub by a salt; rounds join them where they lie.
     """
+    parts = partitions(edges.sparkSession)
     salts = F.greatest(F.ceil(F.count("*") / HOT), F.lit(1)).cast("int")  # a hub's links are dealt over that many tasks
     total = checkpointed(edges.groupBy(F.col(source).alias("from")).agg(F.sum("links").alias("all"), F.count("*").alias("n"), salts.alias("salts")))
     flow = edges.select(F.col(source).alias("from"), F.col(to).alias("onto"), "links")
     flow = spread_join(flow, total, "from", "n", "onto").withColumn("salt", F.pmod(F.xxhash64("onto"), "salts").cast("int"))
-    flow = checkpointed(flow.select("from", "salt", "onto", (F.col("links") / F.col("all") * damping).alias("part")))
+    flow = flow.select("from", "salt", "onto", (F.col("links") / F.col("all") * damping).alias("part"))
+    flow = dealt(flow, parts, "from", "salt")
     start = seeds.select("host", (F.col("seed") * (1 - damping)).alias("rank"))
-    rank = start
+    added, got = start, [start]
     least = tolerance * (seeds.agg(F.sum("seed")).first()[0] or 0.0)
-    i, moving = 0, not edges.isEmpty()
+    moving = not edges.isEmpty()
     while moving:
-        sent = rank.join(total, F.col("host") == F.col("from")).select("from", "rank", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-        passed = flow.join(sent, ["from", "salt"]).select(F.col("onto").alias("host"), (F.col("part") * F.col("rank")).alias("rank"))
-        before, rank = rank, checkpointed(start.union(passed).groupBy("host").agg(F.sum("rank").alias("rank")))
-        i += 1
-        if i % 4 == 0:
-            old = before.select(F.col("host").alias("h"), F.col("rank").alias("old"))
-            change = F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))
-            moving = (rank.join(old, F.col("host") == F.col("h"), "full").agg(change).first()[0] or 0.0) > least
-    return rank
+        sent = added.join(total, F.col("host") == F.col("from")).select("from", "rank", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+        passed = flow.join(sent, ["from", "salt"]).groupBy(F.col("onto").alias("host")).agg(F.sum(F.col("part") * F.col("rank")).alias("rank"))
+        passed = checkpointed(passed)
+        got.append(passed)
+        n, mass = passed.agg(F.count("*"), F.sum("rank")).first()
+        moving = n > 0 and mass > least
+        added = passed.where(F.col("rank") > least / max(1, n))
+    return reduce(DataFrame.unionByName, got).groupBy("host").agg(F.sum("rank").alias("rank"))
 
 
 def with_hosts(pages: DataFrame, hosts: DataFrame, how: str, salt: int = 64) -> DataFrame:
