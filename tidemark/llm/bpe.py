@@ -42,7 +42,7 @@ class PrefixEncoder:
     """Exact BPE without a merge loop.
 
     Every prefix of a word has one last token in its BPE encoding. Among the vocabulary's strings that end at a
-    position (a suffix automaton gives them, longest first), it is the one that is compatible with the last token of
+    position (an Aho-Corasick automaton gives them, longest first), it is the one that is compatible with the last token of
     the prefix before it. Two tokens are compatible if no merge across their border comes earlier than the merges
     that use up its two sides. Back-pointers then give the whole encoding, in time linear in the word for bounded
     token lengths.

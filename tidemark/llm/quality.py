@@ -51,7 +51,9 @@ def slices(data: bytes):
 def features(text: str | None) -> np.ndarray:
     """Numbers of ``NAMES`` for a whole text: shares of bytes, words and lines, so that length alone counts little.
 
-    Repetition is measured inside windows of ``WINDOW`` words, and its mean taken, so that it doesn't grow with length.
+    Repetition is measured inside windows of ``WINDOW`` words, and its mean taken, so that it doesn't grow with length. Texts of over a
+    million bytes are read in :func:`slices`, whose windows begin anew and whose distinct lines add up; the words on both sides of a
+    cut don't count as a repetition, and a line that is cut counts as two.
     Null and empty texts and texts of blanks have zeros, but for shares that are complete by definition.
     """
     data = text.encode("utf-8", "surrogatepass") if text else b""
