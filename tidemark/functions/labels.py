@@ -85,6 +85,14 @@ def rendered(template: str, values: dict[str, Column]) -> Column:
     return out
 
 
+def message(template: Column, values: dict[str, Column], value: Column) -> Column:
+    """A template column with each ``${name}`` replaced, and ``${value}`` by the number with two decimals; unknown names stay."""
+    out = F.replace(template, F.lit("${value}"), F.format_string("%.2f", value))
+    for name, v in values.items():
+        out = F.replace(out, F.lit("${" + name + "}"), F.coalesce(v, F.lit("")))
+    return out
+
+
 def unclosed_template(template: Column) -> Column:
     return template.rlike(r"\$\{[^}]*$")
 

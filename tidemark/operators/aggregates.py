@@ -48,12 +48,13 @@ def histogram(df: DataFrame, by: list[str], value: str = "value", bounds: tuple[
     return counts.select(*by, "count", "sum", F.inline(cells))
 
 
-def summary(df: DataFrame, by: list[str], value: str = "value") -> DataFrame:
-    """Count, sum, mean, median, population deviation, extremes, p95 and p99 of a buffer."""
+def summary(df: DataFrame, by: list[str], value: str = "value", us: str | None = None) -> DataFrame:
+    """Count, sum, mean, median, population deviation, extremes, p95 and p99 of a buffer; with ``us`` also its oldest and newest time."""
     q = percentiles(F.col(value), (0.5, 0.95, 0.99))
+    ages = [F.min(us).alias("oldest_us"), F.max(us).alias("newest_us")] if us else []
     return df.groupBy(*by).agg(
         F.count(value).alias("count"), F.sum(value).alias("total"), F.avg(value).alias("mean"), q[0].alias("median"), F.stddev_pop(value).alias("std_dev"),
-        F.min(value).alias("min_value"), F.max(value).alias("max_value"), q[1].alias("p95"), q[2].alias("p99"))
+        F.min(value).alias("min_value"), F.max(value).alias("max_value"), q[1].alias("p95"), q[2].alias("p99"), *ages)
 
 
 def timer(df: DataFrame, by: list[str], value: str, points: tuple[float, ...] = QUANTILES) -> DataFrame:
@@ -98,13 +99,17 @@ def unique_values(df: DataFrame, by: list[str], value: str, exact: bool = True)
 
 def metric_query(
     metrics: DataFrame, select: list[str] | None = None, where: Column | None = None, start_us: int | None = None, end_us: int | None = None,
-    group_tags: tuple[str, ...] = (), group_time_us: int | None = None, aggregates: dict[str, Column] | None = None, order_by: list[Column] | None = None, limit: int | None = None,
+    group_tags: tuple[str, ...] = (), group_time_us: int | None = None, aggregates: dict[str, Column] | None = None, order_by: list[Column] | None = None, limit: int | None = None, now_us: int | None = None,
 ) -> DataFrame:
     """Metrics by name, time and predicate, grouped by tags and time, as DataFrame calls that Spark optimises.
 
+    With ``now_us``, negative times count back from it (-3600000000: an hour ago).
+
     Unary and binary expressions, functions and user-defined aggregates are Spark columns; bind values, don't build text.
     """
     df = metrics
+    if now_us is not None:
+        start_us, end_us = (now_us + t if t is not None and t < 0 else t for t in (start_us, end_us))
     if select:
         df = df.where(F.col("name").isin(select))
     if start_us is not None:

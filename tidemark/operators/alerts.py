@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.labels import label
+from ..functions.labels import label, message
 from .scans import SLICE_US, entering, last_known, pieces, runs, sliced
 from .series import with_previous
 from .similarity import similar_rows
@@ -29,6 +29,19 @@ def threshold_alerts(metrics: DataFrame, rules: DataFrame) -> DataFrame:
     return metrics.join(rules.where("enabled"), metrics["name"] == rules["metric"]).where(hit)
 
 
+def labelled_alerts(metrics: DataFrame, rules: DataFrame) -> DataFrame:
+    """:func:`threshold_alerts` of rules that also have ``labels``, an ``annotation`` and an ``alert_group``: ``rule, severity, group_key, labels, annotation, row_id, us``.
+
+    An alert's labels are the metric's, over which the rule's win; its group is the rule's, or its name without one; the annotation's
+    ``${rule}``, ``${name}``, ``${severity}`` and ``${value}`` are replaced.
+    """
+    hits = threshold_alerts(metrics, rules)
+    own = F.map_filter(F.col("tags"), lambda k, _: ~F.map_contains_key(F.col("labels"), k))
+    text = message(F.col("annotation"), {"rule": F.col("rule"), "name": F.col("name"), "severity": F.col("severity")}, F.col("value"))
+    group = F.when(F.coalesce(F.col("alert_group"), F.lit("")) != "", F.col("alert_group")).otherwise(F.col("rule"))
+    return hits.select("rule", "severity", group.alias("group_key"), F.map_concat(own, F.col("labels")).alias("labels"), text.alias("annotation"), "row_id", "us")
+
+
 def states(df: DataFrame, by: list[str], order: list[str], met: str, hold_us: int = 0, slice_us: int = SLICE_US) -> DataFrame:
     """Adds ``state`` (inactive, pending, firing, resolved) of each evaluation, in order, for each key.
 
@@ -98,6 +111,11 @@ def routed(alerts: DataFrame, routes: list[tuple[Column, str]], default: str) ->
     return alerts.withColumn("receiver", out.otherwise(default) if routes else F.lit(default))
 
 
+def notified(alerts: DataFrame, folder: str) -> None:
+    """Appends alerts as JSON lines to a folder for each ``receiver``."""
+    alerts.write.mode("append").partitionBy("receiver").json(folder)
+
+
 def deduplicated(alerts: DataFrame, by: list[str], order: list[str], compat: bool = False) -> DataFrame:
     """Drops repeats of a state: the second of two equal ones in a row, or, with ``compat``, from the third on.
 

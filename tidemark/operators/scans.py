@@ -10,6 +10,7 @@ import math
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -142,3 +143,21 @@ def last_known(df: DataFrame, by: list[str], order: list[str], value: Column, na
     rows = entering(rows, by, newest, lambda left, row: {"_carry": (left or {}).get("_carry") if row["newest"] is None else row["newest"]}, {"_carry": kind})
     inner = F.last(name, ignorenulls=True).over(window(by, order).rowsBetween(W.unboundedPreceding, 0))
     return rows.withColumn(name, F.coalesce(inner, "_carry")).drop("_slice", "_carry")
+
+
+def user_series(df: DataFrame, by: list[str], order: list[str], summary: dict[str, Column], fold: Callable[[dict | None, dict], dict], kept: dict[str, str], function: Callable[[pa.Table], pa.Array], result: str, slice_us: int = SLICE_US) -> DataFrame:
+    """A user's function from a series to a series, slice by slice: ``by``, ``order`` and the ``result`` column (``name type``) for each row.
+
+    ``summary``, ``fold`` and ``kept`` say what slices leave behind (:func:`entering`). The function gets one slice's rows in order as an
+    Arrow table, with what the slices before left in columns of the kept names, and returns a value for each row.
+    """
+    name, _, kind = result.partition(" ")
+    rows = entering(sliced(df, order[0], slice_us), by, summary, fold, kept)
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    out = [*by, *order]
+
+    def run(part: pa.Table) -> pa.Table:
+        part = part.sort_by([(c, "ascending") for c in order])
+        return part.select(out).append_column(name, function(part))
+
+    return rows.groupBy(*by, "_slice").applyInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in out), f"`{name}` {kind}"]))

@@ -56,9 +56,12 @@ def newest(df: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
     return df.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
-def last_write(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
-    """The last value written under each key."""
-    return df.groupBy(key).agg(F.max_by(value, F.struct(*order)).alias(value))
+def last_write(df: DataFrame, key: str, order: list[str], value: str, removed: Column | None = None) -> DataFrame:
+    """The last value written under each key; keys whose last row is a removal are absent."""
+    if removed is None:
+        return df.groupBy(key).agg(F.max_by(value, F.struct(*order)).alias(value))
+    last = df.groupBy(key).agg(F.max_by(F.struct(F.col(value).alias("v"), removed.alias("gone")), F.struct(*order)).alias("_last"))
+    return last.where(~F.col("_last.gone")).select(key, F.col("_last.v").alias(value))
 
 
 def retained(series: DataFrame, as_of_us: int, keep_us: int, idle: bool = False) -> DataFrame:
@@ -91,11 +94,12 @@ def calculus(series: DataFrame, order: list[str], slice_us: int = SLICE_US) -> D
         F.sum((F.col("value") + F.col("prev")) / 2 * F.col("dt")).alias("integral"))
 
 
-def counter_rates(series: DataFrame, order: list[str], slice_us: int = SLICE_US) -> DataFrame:
-    """Each row's increase a second since the row before; null after a reset, for the first row and for no time."""
+def counter_rates(series: DataFrame, order: list[str], slice_us: int = SLICE_US, whole: bool = False) -> DataFrame:
+    """Each row's increase a second since the row before (``whole``: cut off to a whole number); null after a reset, for the first row and for no time."""
     rows = with_previous(series, "name", order, ["us", "value"], slice_us)
     before, dt = F.col("previous.value"), (F.col("us") - F.col("previous.us")) / 1e6
-    return rows.withColumn("rate", F.when((before > 0) & (F.col("value") >= before) & (dt > 0), (F.col("value") - before) / dt)).drop("previous")
+    rate = F.when((before > 0) & (F.col("value") >= before) & (dt > 0), (F.col("value") - before) / dt)
+    return rows.withColumn("rate", rate.cast("long") if whole else rate).drop("previous")
 
 
 def busy_percent(series: DataFrame, idle: str, total: str, by: str, order: list[str], slice_us: int = SLICE_US) -> DataFrame:

@@ -99,3 +99,25 @@ def forecast(logs: DataFrame, days_by_level: dict[str, int], day_us: int, today:
     days = F.filter(F.sequence(F.lit(1), F.lit(max(1, ahead))), lambda d: (d <= ahead) & (d > ahead - keep))
     later = F.aggregate(days, F.lit(0.0), lambda s, d: s + F.greatest(F.col("_base") + F.col("growth") * d, F.lit(0.0)))
     return fit.select("level", "daily_bytes", "growth", (F.col("_held") + later).alias("forecast_bytes"))
+
+
+#: The percentiles that stream statistics give (fixed values).
+DEFAULT_POINTS = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
+
+
+def stream_shapes(df: DataFrame, by: list[str], value: str = "value", k: float = 3.0, points: tuple[float, ...] = DEFAULT_POINTS, size: int = SIZE) -> DataFrame:
+    """Count, skewness, kurtosis (normal: 3), coefficient of variation, whether the values look normal, rows over ``k`` deviations off
+    the mean, and percentiles from a sketch of bounded size.
+
+    Values look normal if their skewness lies within 1 of 0 and their kurtosis within 2 of 3. Rows meet their group's moments again to be
+    counted, so no group is held together.
+    """
+    x = F.col(value).cast("double")
+    skewness, kurtosis = F.coalesce(F.skewness(x), F.lit(0.0)), F.coalesce(F.kurtosis(x) + 3, F.lit(0.0))
+    wide = df.groupBy(*by).agg(
+        F.count(x).alias("count"), skewness.alias("skewness"), kurtosis.alias("kurtosis"), F.coalesce(F.stddev_samp(x) / F.nullif(F.abs(F.avg(x)), F.lit(0.0)), F.lit(0.0)).alias("cv"),
+        F.avg(x).alias("_mean"), F.stddev_samp(x).alias("_sd"), F.kll_sketch_agg_double(x, size).alias("_sketch"))
+    off = df.select(*by, x.alias("_x")).join(wide.select(*by, "_mean", "_sd"), by).groupBy(*by).agg(F.count_if(F.abs(F.col("_x") - F.col("_mean")) > k * F.col("_sd")).alias("outliers"))
+    normal = (F.abs("skewness") < 1.0) & (F.abs(F.col("kurtosis") - 3.0) < 2.0)
+    return wide.join(off, by, "left").select(
+        *by, "count", "skewness", "kurtosis", "cv", normal.alias("normal"), F.coalesce("outliers", F.lit(0)).alias("outliers"), *[F.kll_sketch_get_quantile_double("_sketch", F.lit(p)).alias(point_name(p)) for p in points])

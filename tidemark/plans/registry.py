@@ -222,9 +222,9 @@ def histogram(spark, sf_dir):
     return rounded(A.histogram(metrics(spark, sf_dir).withColumn("value", F.col("value") / 100), ["name"]), "sum")
 
 
-@query("WITH {m} SELECT name, count(*) AS count, round(sum(value), 4) AS total, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(stddev_pop(value), 6) AS std_dev, min(value) AS min_value, max(value) AS max_value, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM m GROUP BY name")
+@query("WITH {m} SELECT name, count(*) AS count, round(sum(value), 4) AS total, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(stddev_pop(value), 6) AS std_dev, min(value) AS min_value, max(value) AS max_value, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, min(us) AS oldest_us, max(us) AS newest_us FROM m GROUP BY name")
 def buffer_statistics(spark, sf_dir):
-    return rounded(rounded(A.summary(metrics(spark, sf_dir), ["name"]), "mean", "median", "std_dev", "p95", "p99"), "total", digits=4)
+    return rounded(rounded(A.summary(metrics(spark, sf_dir), ["name"], us="us"), "mean", "median", "std_dev", "p95", "p99"), "total", digits=4)
 
 
 @query("""WITH o AS (SELECT o_orderpriority AS operation, round(o_totalprice * 1000)::BIGINT AS d, o_orderstatus <> 'F' AS ok, epoch_us(o_orderdate) AS us FROM orders)

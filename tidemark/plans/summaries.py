@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
-from ..operators import conditions, sketches
-from ..streaming import jobs
+from ..functions import labels as L
+from ..functions.times import micros
+from ..operators import aggregates as A
+from ..operators import alerts as AL
+from ..operators import conditions, scans, sketches
+from ..operators import series as S
 from ..operators import triggers as T
-from .registry import DAY, HOUR, T0, metrics, query, read, rounded, stream, stream_folder
+from ..streaming import jobs
+from .registry import ALERTS, DAY, HOUR, T0, alerts, metrics, newest_us, query, read, rounded, stream, stream_folder, with_us
 
 POINTS = (0.25, 0.5, 0.9, 0.95, 0.99)
 
@@ -44,10 +51,8 @@ def moving_window_at_most(spark, sf_dir):
 SELECT s.name, step AS us, count(t.us) AS active, count(CASE WHEN step - t.us > {2 * DAY} THEN 1 END) AS overdue FROM s LEFT JOIN t ON t.name = s.name AND t.us <= step AND (done IS NULL OR step < done) GROUP BY s.name, step""")
 def overdue_transactions(spark, sf_dir):
     """A user's event of a name opens a transaction that their next one ends; the last stays open."""
-    from ..operators.series import with_previous
-
     m = metrics(spark, sf_dir).withColumn("key", F.struct("name", F.col("tags")["user_id"].alias("user")))
-    t = with_previous(m, "key", ["us", "row_id"], ["us"], DAY, ahead="next").select("name", "us", F.col("next.us").alias("done"))
+    t = S.with_previous(m, "key", ["us", "row_id"], ["us"], DAY, ahead="next").select("name", "us", F.col("next.us").alias("done"))
     return sketches.active_intervals(t, ["name"], "us", "done", 6 * HOUR, 2 * DAY, T0, T0 + 30 * DAY)
 
 
@@ -60,8 +65,6 @@ f AS (SELECT level, any_value(keep) AS keep, avg(bytes) AS daily_bytes, coalesce
 SELECT level, round(daily_bytes, 2) AS daily_bytes, round(growth, 4) AS growth, round(held + coalesce((SELECT sum(greatest(base + growth * i, 0)) FROM range(1, 15) t(i) WHERE i > 14 - keep), 0), 0) AS forecast_bytes FROM f""")
 def storage_forecast(spark, sf_dir):
     """Order prices stand for bytes, order states for levels; two weeks ahead."""
-    from ..functions.times import micros
-
     logs = read(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("level"), micros(F.col("o_orderdate")).alias("us"), F.col("o_totalprice").alias("bytes"))
     today = logs.agg(F.floor(F.max("us") / DAY).alias("d")).first()[0]
     f = sketches.forecast(logs, KEPT_DAYS, DAY, today, 14)
@@ -94,8 +97,101 @@ def rule_engine(spark, sf_dir):
 @query("""WITH {m}, u AS (SELECT user_id, min(us) AS seen FROM m GROUP BY user_id ORDER BY seen, user_id LIMIT 40) SELECT user_id AS series, count(*) AS points, max(us) AS last_us FROM m WHERE user_id IN (SELECT user_id FROM u) GROUP BY user_id""")
 def stream_capped_flush(spark, sf_dir):
     """Metrics of the first 40 users flushed batch by batch."""
-    from ..functions.times import micros
-
     s = stream(spark, sf_dir).select(F.col("user_id").alias("series"), micros(F.col("ts")).alias("us"), "value")
     kept = jobs.flushed(s, stream_folder(spark), "series", ["us", "series"], 40)
     return kept.groupBy("series").agg(F.count("*").alias("points"), F.max("us").alias("last_us"))
+
+
+SHAPE_SQL = """round((avg(value ** 3) - 3 * avg(value) * avg(value ** 2) + 2 * avg(value) ** 3) / stddev_pop(value) ** 3, 4) AS skewness, round(kurtosis_pop(value) + 3, 4) AS kurtosis, round(stddev_samp(value) / abs(avg(value)), 6) AS cv"""
+DISC_SQL = ", ".join(f"quantile_disc(value, {p}) AS {sketches.point_name(p)}" for p in sketches.DEFAULT_POINTS)
+
+
+@query(f"""WITH {{m}}, g AS (SELECT name, us // {5 * DAY} AS part, count(*) AS count, {SHAPE_SQL}, avg(value) AS mean, stddev_samp(value) AS sd, {DISC_SQL} FROM m GROUP BY ALL),
+o AS (SELECT g.name, part, count(*) FILTER (WHERE abs(value - mean) > 3 * sd) AS outliers FROM m JOIN g ON g.name = m.name AND part = us // {5 * DAY} GROUP BY ALL)
+SELECT * EXCLUDE (mean, sd), abs(skewness) < 1 AND abs(kurtosis - 3) < 2 AS normal FROM g JOIN o USING (name, part)""")
+def stream_shapes(spark, sf_dir):
+    m = metrics(spark, sf_dir).withColumn("part", F.floor(F.col("us") / (5 * DAY)))
+    return rounded(rounded(sketches.stream_shapes(m, ["name", "part"]), "skewness", "kurtosis", digits=4), "cv")
+
+
+@query(f"WITH {{m}} SELECT name, us // {5 * DAY} * {5 * DAY} AS window_start, count(*) AS count, {SHAPE_SQL}, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM m GROUP BY ALL")
+def stream_window_shapes(spark, sf_dir):
+    out = jobs.run_complete(jobs.windowed_shapes(stream(spark, sf_dir), "5 days", "1 hour", (0.5, 0.95)), stream_folder(spark))
+    return rounded(rounded(with_us(out, "window_start"), "skewness", "kurtosis", digits=4), "cv")
+
+
+@query("""WITH {m}, z AS (SELECT name, row_id, count(value) OVER o >= 10 AND abs(value - avg(value) OVER o) > 3 * stddev_samp(value) OVER o AS outlier FROM m
+WINDOW o AS (PARTITION BY name ORDER BY us, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT name, row_id, coalesce(outlier, false) AS outlier FROM z""")
+def deviation_outliers(spark, sf_dir):
+    return T.outliers(metrics(spark, sf_dir), "name", ["us", "row_id"], more_than=9, relative=False).select("name", "row_id", "outlier")
+
+
+@query(f"""WITH {{m}}, n AS (SELECT max(us) AS now FROM m)
+SELECT name, k, count(*) AS count, round(sum(value), 4) AS sum, round(avg(value), 6) AS avg, min(value) AS min, max(value) AS max, round(stddev_samp(value), 6) AS stddev, round(var_samp(value), 3) AS variance, round(quantile_cont(value, 0.95), 6) AS p95
+FROM m, n WHERE us >= now - {12 * DAY} AND us < now - {2 * DAY} GROUP BY name, k""")
+def relative_query(spark, sf_dir):
+    """From twelve to two days before the newest row, with all aggregates of a query."""
+    v = F.col("value")
+    aggregates = {
+        "count": F.count(v), "sum": F.round(F.sum(v), 4), "avg": F.round(F.avg(v), 6), "min": F.min(v), "max": F.max(v), "stddev": F.round(F.stddev_samp(v), 6), "variance": F.round(F.var_samp(v), 3), "p95": F.round(F.percentile(v, F.lit(0.95)), 6)}
+    return A.metric_query(metrics(spark, sf_dir), start_us=-12 * DAY, end_us=-2 * DAY, group_tags=("k",), aggregates=aggregates, now_us=newest_us(spark, sf_dir))
+
+
+@query("WITH {m}, l AS (SELECT user_id, arg_max({'v': value, 'gone': row_id % 3 = 0}, (us, row_id)) AS z FROM m GROUP BY user_id) SELECT user_id, z.v AS value FROM l WHERE NOT z.gone")
+def key_value_removal(spark, sf_dir):
+    df = metrics(spark, sf_dir).withColumn("user_id", F.col("tags")["user_id"].cast("long"))
+    return S.last_write(df, "user_id", ["us", "row_id"], "value", F.col("row_id") % 3 == 0)
+
+
+@query("""WITH RECURSIVE f AS (SELECT 1::BIGINT AS i, 1::HUGEINT AS a, 1::HUGEINT AS b UNION ALL SELECT i + 1, b, a + b FROM f WHERE i < 40), e AS (SELECT event_id, event_id % 40 + 1 AS n FROM events)
+SELECT event_id, 250.0::DOUBLE AS fixed, least(n * 250.0, 60000)::DOUBLE AS linear, least(250 * pow(2.0, n - 1), 60000)::DOUBLE AS exponential, least(250.0 * a, 60000)::DOUBLE AS fibonacci FROM e JOIN f ON i = n""")
+def retry_delays(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 40 + 1).alias("n"))
+    return e.select("event_id", *[L.retry_delay(kind, F.col("n"), 250, 60_000).alias(kind) for kind in ("fixed", "linear", "exponential", "fibonacci")])
+
+
+@query("""WITH {m}, w AS (SELECT *, (us - lag(us) OVER o) / 1e6 AS dt, lag(value) OVER o AS p FROM m WINDOW o AS (PARTITION BY name ORDER BY us, row_id))
+SELECT name, row_id, CASE WHEN p > 0 AND value >= p AND dt > 0 THEN trunc((value - p) * 1000000 / dt)::BIGINT END AS rate FROM w""")
+def whole_counter_rates(spark, sf_dir):
+    m = metrics(spark, sf_dir).withColumn("us", F.col("us"))
+    scaled = S.counter_rates(m.withColumn("value", F.col("value") * 1_000_000), ["us", "row_id"], whole=True)
+    return scaled.select("name", "row_id", "rate")
+
+
+LABELLED = (("slow", "click", ">", 150.0, "critical", True, {"team": "web", "k": "any"}, "${rule}: ${name} at ${value} is ${severity} ${else}", "web"), ("odd", "error", "<", 1.0, "info", True, {}, "${value}", ""), ("off", "view", ">", 0.0, "info", False, {}, "", ""))
+
+
+@query("""WITH {m} SELECT 'slow' AS rule, 'critical' AS severity, 'web' AS group_key, row_id, us, 'slow: click at ' || printf('%.2f', value) || ' is critical ${else}' AS annotation, 'k=any,team=web,user_id=' || user_id AS labels FROM m WHERE name = 'click' AND value > 150
+UNION ALL SELECT 'odd', 'info', 'odd', row_id, us, printf('%.2f', value), 'k=' || k || ',user_id=' || user_id FROM m WHERE name = 'error' AND value < 1""")
+def labelled_alerts(spark, sf_dir):
+    rules = spark.createDataFrame(LABELLED, "rule string, metric string, op string, threshold double, severity string, enabled boolean, labels map<string,string>, annotation string, alert_group string")
+    a = AL.labelled_alerts(metrics(spark, sf_dir), rules)
+    pairs = F.array_join(F.array_sort(F.transform(F.map_entries("labels"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
+    return a.withColumn("labels", pairs)
+
+
+@query("WITH {m} SELECT name, row_id, round(max(value) OVER (PARTITION BY name ORDER BY us, row_id ROWS UNBOUNDED PRECEDING) - value, 6) AS drawdown FROM m")
+def drawdowns(spark, sf_dir):
+    """A user's function of a whole series: how far each value lies below the highest so far."""
+    def fall(part: pa.Table) -> pa.Array:
+        before = part.column("high")[0].as_py()
+        values = part.column("value").combine_chunks()
+        high = pc.cumulative_max(values)
+        return pc.subtract(high if before is None else pc.max_element_wise(high, before), values)
+
+    def fold(left: dict | None, row: dict) -> dict:
+        return {"high": row["most"] if left is None else max(left["high"], row["most"])}
+
+    out = scans.user_series(metrics(spark, sf_dir).select("name", "us", "row_id", "value"), ["name"], ["us", "row_id"], {"most": F.max("value")}, fold, {"high": "double"}, fall, "drawdown double")
+    return rounded(out.select("name", "row_id", "drawdown"), "drawdown")
+
+
+@query(f"""WITH {{m}}, {ALERTS}, r AS (SELECT CASE WHEN severity = 'critical' THEN 'pager' WHEN name = 'error' THEN 'mail' ELSE 'log' END AS receiver, id FROM a) SELECT receiver, count(*) AS sent, max(id) AS last_id FROM r GROUP BY receiver""")
+def file_notifier(spark, sf_dir):
+    """Routed alerts as JSON lines in a folder for each receiver, read back."""
+    import uuid
+
+    folder = f"{stream_folder(spark)}/notified-{uuid.uuid4().hex}"
+    routed = AL.routed(alerts(spark, sf_dir), [(F.col("severity") == "critical", "pager"), (F.col("name") == "error", "mail")], "log")
+    AL.notified(routed, folder)
+    return spark.read.schema("receiver string, id long").json(folder).groupBy("receiver").agg(F.count("*").alias("sent"), F.max("id").alias("last_id"))

@@ -25,6 +25,16 @@ def windowed_rules(stream: DataFrame, interval: str, late: str, slide: str | Non
     return stats.select("name", F.col("window.start").alias("window_start"), "count", "sum", "mean", "min_value", "max_value", "std_dev")
 
 
+def windowed_shapes(stream: DataFrame, interval: str, late: str, points: tuple[float, ...], size: int = 4096) -> DataFrame:
+    """Skewness, kurtosis (normal: 3), coefficient of variation and percentiles, from sketches, of each metric and window."""
+    x = F.col("value").cast("double")
+    cells = stream.withWatermark("ts", late).groupBy(F.window("ts", interval), "name").agg(
+        F.count(x).alias("count"), F.coalesce(F.skewness(x), F.lit(0.0)).alias("skewness"), F.coalesce(F.kurtosis(x) + 3, F.lit(0.0)).alias("kurtosis"),
+        F.coalesce(F.stddev_samp(x) / F.nullif(F.abs(F.avg(x)), F.lit(0.0)), F.lit(0.0)).alias("cv"), F.kll_sketch_agg_double(x, size).alias("sketch"))
+    quantiles = [F.kll_sketch_get_quantile_double("sketch", F.lit(p)).alias(f"p{round(p * 100, 3):g}".replace(".", "_")) for p in points]
+    return cells.select("name", F.col("window.start").alias("window_start"), "count", "skewness", "kurtosis", "cv", *quantiles)
+
+
 def sessions(stream: DataFrame, key: str, gap: str, late: str) -> DataFrame:
     """Rows and value of each key's sessions: stretches without a gap."""
     s = stream.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), key).agg(F.count("*").alias("count"), F.sum("value").alias("sum"))
