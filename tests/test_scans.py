@@ -75,7 +75,7 @@ def test_cooldowns(frame, rows, width):
             if last is None or us - last >= 3:
                 want.add((us, part[0][0]))
                 last = us
-    out = alerts.cooled(frame, ["name"], 3, "name string, us long, row_id long, value double", width).collect()
+    out = alerts.cooled(frame, ["name"], 3, width).collect()
     assert {(r.us, r.name) for r in out} == want and len(out) == len(want)
 
 

@@ -89,7 +89,7 @@ def test_dedup_modes(spark):
 
 def test_cooldown_is_greedy(spark):
     a = spark.createDataFrame([("x", t) for t in (0, 6, 10, 12, 19, 20, 45)], "key string, us long")
-    assert [r.us for r in AL.cooled(a, ["key"], 10, "key string, us long").orderBy("us").collect()] == [0, 10, 20, 45]
+    assert [r.us for r in AL.cooled(a, ["key"], 10).orderBy("us").collect()] == [0, 10, 20, 45]
 
 
 def test_keys(spark):

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.labels import label, message
-from .scans import SLICE_US, entering, last_known, pieces, runs, sliced
+from .scans import SLICE_US, entering, last_known, passing, pieces, runs, sliced
 from .series import with_previous
 from .similarity import similar_rows
 
@@ -128,24 +128,21 @@ def deduplicated(alerts: DataFrame, by: list[str], order: list[str], compat: boo
     return alerts.withColumn("_before", before).where("_before is null or state <> _before").drop("_before")
 
 
-def cooled(alerts: DataFrame, by: list[str], cooldown_us: int | str, columns: str, slice_us: int = SLICE_US) -> DataFrame:
+def cooled(alerts: DataFrame, by: list[str], cooldown_us: int | str, slice_us: int = SLICE_US) -> DataFrame:
     """Alerts that come ``cooldown_us`` or more after the last one let through for their key.
 
     The greedy choice needs the rows in order. Each key is cut where gaps reach the cooldown, as every such row passes;
-    one piece is folded at a time, so a key with many rows is spread over its pieces. A column's name as cooldown
-    gives each key its own. ``columns`` is the result's schema.
+    pieces are folded one by one, so a key with many rows is spread over its pieces. A column's name as cooldown
+    gives each key its own.
     """
-    import pandas as pd
+    own = isinstance(cooldown_us, str)
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, keep, last = rows.sort_values("us", kind="stable"), [], None
-        least = rows[cooldown_us].iloc[0] if isinstance(cooldown_us, str) else cooldown_us
-        for us in rows["us"]:
-            keep.append(last is None or us - last >= least)
-            last = us if keep[-1] else last
-        return rows[keep].drop(columns=["_piece"])
+    def step(last: dict | None, row: dict) -> tuple[dict, bool]:
+        passes = last is None or row["us"] - last["us"] >= (row[cooldown_us] if own else cooldown_us)
+        return ({"us": row["us"]} if passes else last), passes
 
-    return pieces(alerts, by, "us", cooldown_us, slice_us).groupBy(*by, "_piece").applyInPandas(fold, columns)
+    rows = pieces(alerts, by, "us", cooldown_us, slice_us)
+    return passing(rows, [*by, "_piece"], ["us"], step, ["us", *([cooldown_us] if own else [])]).drop("_piece")
 
 
 def grouped(alerts: DataFrame, key: Column) -> DataFrame:
@@ -230,8 +227,7 @@ def notifications(states: DataFrame, by: list[str], order: list[str], repeat_us:
     rows = states.select(*by, *order, "state", before.alias("_before"))
     starts = ((F.col("state") == "firing") & (F.col("_before") != "firing")).cast("int")
     rows = rows.withColumn("_run", F.sum(starts).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    firing = cooled(rows.where("state = 'firing'"), [*by, "_run"], repeat_us, columns)
+    firing = cooled(rows.where("state = 'firing'"), [*by, "_run"], repeat_us)
     ended = rows.where("state = 'resolved' AND _before = 'firing'")
     return firing.unionByName(ended).drop("_before", "_run")
 
@@ -247,7 +243,7 @@ def group_flushes(alerts: DataFrame, by: list[str], wait_us: int, interval_us: i
     rows = alerts.select(*by, "us", "id", "fingerprint").withColumn("_new", new)
     rows = rows.select(*by, "us", "id", F.sum("_new").over(w).alias("size"), F.min("us").over(w).alias("_first"))
     ready = rows.where(F.col("us") - F.col("_first") >= wait_us).drop("_first")
-    return cooled(ready, by, interval_us, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ready.schema))
+    return cooled(ready, by, interval_us)
 
 
 def timed_flushes(rows: DataFrame, group: str, fingerprint: str, order: list[str], firing: str, wait_us: int, interval_us: int, resolve_us: int, until_us: int, slice_us: int = SLICE_US) -> DataFrame:
@@ -303,25 +299,16 @@ def cached(rows: DataFrame, by: list[str], order: list[str], state: str, keep_us
     """Rows that aren't repeats of a remembered state; what is remembered of a key is forgotten ``keep_us`` after its first row.
 
     The batch form of :class:`timers.CacheTimer`. Series are cut where gaps exceed ``keep_us``, as nothing is remembered there,
-    and one piece is folded at a time. With ``compat`` the first row records no state, so one repeat passes.
+    and pieces are folded one by one. With ``compat`` the first row records no state, so one repeat passes.
     """
-    import pandas as pd
-
-    us, names = order[0], rows.columns
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part, first, last, keep = part.sort_values(order, kind="stable"), None, None, []
-        for at, now in zip(part[us], part[state], strict=True):
-            new = first is None or at - first > keep_us
-            keep.append(new or now != last)
-            if new:
-                first, last = at, None if compat else now
-            elif now != last:
-                last = now
-        return part[keep][names]
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return pieces(rows, by, us, keep_us + 1, slice_us).groupBy(*by, "_piece").applyInPandas(fold, schema)
+    us = order[0]
+
+    def step(left: dict | None, row: dict) -> tuple[dict, bool]:
+        if left is None or row[us] - left["first"] > keep_us:
+            return {"first": row[us], "state": None if compat else row[state]}, True
+        return left | {"state": row[state]}, row[state] != left["state"]
+
+    return passing(pieces(rows, by, us, keep_us + 1, slice_us), [*by, "_piece"], order, step, [us, state]).drop("_piece")
 
 
 def severity_summary(alerts: DataFrame) -> DataFrame:

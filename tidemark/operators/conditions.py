@@ -101,7 +101,5 @@ def matched(rows: DataFrame, rules: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def raised(rows: DataFrame, rules: DataFrame, columns: list[str]) -> DataFrame:
-    """:func:`matched` without what comes within a rule's ``cooldown_us`` of the last match that it let through; ``columns`` begin with ``us``."""
-    hits = matched(rows, rules, columns)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hits.schema)
-    return cooled(hits, ["rule"], "cooldown_us", schema)
+    """:func:`matched` without what comes within a rule's ``cooldown_us`` of the last match that it let through; ``columns`` hold ``us``."""
+    return cooled(matched(rows, rules, columns), ["rule"], "cooldown_us")

@@ -6,10 +6,8 @@ know of the rows before it (moments, a run's start, a last value) comes from a f
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -22,32 +20,63 @@ def sliced(df: DataFrame, us: str, slice_us: int = SLICE_US) -> DataFrame:
     return df.withColumn("_slice", F.floor(F.col(us) / slice_us))
 
 
+ARROW = {"bigint": pa.int64(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "float": pa.float32(), "boolean": pa.bool_(), "string": pa.string()}
+
+
+def in_order(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Rows of equal keys together in one task, in order."""
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order)
+
+
 def entering(rows: DataFrame, by: list[str], summary: dict[str, Column], fold: Callable[[dict | None, dict], dict], kept: dict[str, str]) -> DataFrame:
     """Rows with the columns ``kept`` (name to type): what the slices before a row's slice left behind, null in a series' first.
 
     ``summary`` are aggregates of a slice, ``fold`` takes what was left and a slice's summary as dictionaries and returns
-    what is left then. A call folds the summaries of one series, one row a slice.
+    what is left then. Summaries, one row a slice, pass through a task in order, those of one series after another.
     """
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    keys, names = [f"_key{i}" for i in range(len(by))], list(kept)
+    keys = [f"_key{i}" for i in range(len(by))]
     sums = rows.groupBy(*[F.col(b).alias(k) for b, k in zip(by, keys, strict=True)], F.col("_slice").alias("_at")).agg(*[c.alias(n) for n, c in summary.items()])
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part, left, out = part.sort_values("_at"), None, []
-        for row in part.to_dict("records"):
-            row = {k: None if v is pd.NA or v is pd.NaT or isinstance(v, float) and math.isnan(v) else v for k, v in row.items()}
-            out.append([*(row[k] for k in keys), row["_at"], *((left or {}).get(n) for n in names)])
-            left = fold(left, row)
-        return pd.DataFrame(out, columns=[*keys, "_at", *names], dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        series, left = None, None
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if (now := tuple(row[k] for k in keys)) != series:
+                    series, left = now, None
+                out.append(left or {})
+                left = fold(left, row)
+            held = [pa.array([o.get(n) for o in out], ARROW[t]) for n, t in kept.items()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*keys, "_at")), *held], [*keys, "_at", *kept])
 
     schema = ", ".join([*(f"`{k}` {types[b]}" for b, k in zip(by, keys, strict=True)), "`_at` long", *(f"`{n}` {t}" for n, t in kept.items())])
-    states = sums.groupBy(*keys).applyInPandas(run, schema)
+    states = in_order(sums, keys, ["_at"]).mapInArrow(run, schema)
     same = F.col("_slice").eqNullSafe(F.col("_at"))
     for b, k in zip(by, keys, strict=True):
         same = same & F.col(b).eqNullSafe(F.col(k))
     return rows.join(states, same).drop("_at", *keys)
 
 
+def passing(df: DataFrame, by: list[str], order: list[str], step: Callable[[dict | None, dict], tuple[dict, bool]], columns: list[str]) -> DataFrame:
+    """The rows that ``step`` lets pass: it takes what a key's rows before left and a row's ``columns``, and returns what is left and its choice.
+
+    Rows of a key pass through a task in order, key after key; nothing but what is left is kept of them.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, left = None, None
+        for batch in batches:
+            chosen = []
+            for row in batch.select([*by, *columns]).to_pylist():
+                if (now := tuple(row[k] for k in by)) != key:
+                    key, left = now, None
+                left, choice = step(left, row)
+                chosen.append(choice)
+            yield batch.filter(pa.array(chosen, pa.bool_()))
+
+    return in_order(df, by, order).mapInArrow(run, df.schema)
+
+
 def window(by: list[str], order: list[str]):
     return W.partitionBy(*by, "_slice").orderBy(*order)
 

@@ -268,7 +268,7 @@ c AS (SELECT name, rn, us, row_id, decision, us AS last, true AS pass FROM e WHE
 SELECT name, row_id, decision FROM c WHERE pass""")
 def scaling_cooldown(spark, sf_dir):
     d = T.scaling(metrics(spark, sf_dir), "name", ["us", "row_id"], 40.0, 5.0).where("decision <> 'hold'").select("name", "us", "row_id", "decision")
-    return AL.cooled(d, ["name"], DAY, "name string, us long, row_id long, decision string").select("name", "row_id", "decision")
+    return AL.cooled(d, ["name"], DAY).select("name", "row_id", "decision")
 
 
 @query("WITH {m} SELECT row_id, value BETWEEN 20 AND 40 AS inside, NOT (value BETWEEN 20 AND 40) AS outside, NOT contains(name, 'i') AS without_i, regexp_matches(name, '^[cv]') AS starts, value % 7 AS rest, value <= 30 AS low FROM m")

@@ -457,7 +457,7 @@ c AS (SELECT k, rn, row_id, us AS last, true AS pass FROM e WHERE rn = 1 UNION A
 SELECT k, row_id FROM c WHERE pass""")
 def cooldown(spark, sf_dir):
     m = metrics(spark, sf_dir).where("value > 60").select(F.col("tags")["k"].alias("k"), "us", "row_id").orderBy("us", "row_id")
-    return AL.cooled(m, ["k"], 2 * HOUR, "k string, us long, row_id long").select("k", "row_id")
+    return AL.cooled(m, ["k"], 2 * HOUR).select("k", "row_id")
 
 
 @query(f"""WITH {{m}}, {ALERTS}, f AS (SELECT name, id, us, fingerprint AS text FROM a),

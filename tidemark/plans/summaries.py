@@ -41,10 +41,10 @@ def reservoir_timers(spark, sf_dir):
 
 @query(f"""WITH {{m}}, w AS (SELECT *, row_number() OVER o AS rn, sum(value) OVER o AS upto FROM m WINDOW o AS (PARTITION BY name ORDER BY us, row_id ROWS UNBOUNDED PRECEDING)),
 f AS (SELECT *, greatest(min(rn) OVER (PARTITION BY name ORDER BY us RANGE BETWEEN {6 * HOUR} PRECEDING AND CURRENT ROW), rn - 9) AS low FROM w)
-SELECT a.name, a.row_id, a.rn - a.low + 1 AS m_count, round(a.upto - b.upto + b.value, 4) AS m_sum, round((a.upto - b.upto + b.value) / (a.rn - a.low + 1), 4) AS m_mean, b.us AS m_oldest FROM f a JOIN w b ON b.name = a.name AND b.rn = a.low""")
+SELECT a.name, a.row_id, a.rn - a.low + 1 AS m_count, round(a.upto - b.upto + b.value, 4) AS m_sum, round((a.upto - b.upto + b.value) / (a.rn - a.low + 1), 6) AS m_mean, b.us AS m_oldest FROM f a JOIN w b ON b.name = a.name AND b.rn = a.low""")
 def moving_window_at_most(spark, sf_dir):
     df = T.moving_at_most(metrics(spark, sf_dir), "name", ["us", "row_id"], 6 * HOUR, 10)
-    return rounded(df.select("name", "row_id", "m_count", "m_sum", "m_mean", "m_oldest"), "m_sum", "m_mean", digits=4)
+    return rounded(rounded(df.select("name", "row_id", "m_count", "m_sum", "m_mean", "m_oldest"), "m_mean"), "m_sum", digits=4)
 
 
 @query(f"""WITH {{m}}, t AS (SELECT name, us, lead(us) OVER (PARTITION BY name, user_id ORDER BY us, row_id) AS done FROM m), s AS (SELECT name, unnest(range({T0}, {T0 + 30 * DAY} + 1, {6 * HOUR})) AS step FROM (SELECT DISTINCT name FROM m))
@@ -127,13 +127,13 @@ def deviation_outliers(spark, sf_dir):
 
 
 @query(f"""WITH {{m}}, n AS (SELECT max(us) AS now FROM m)
-SELECT name, k, count(*) AS count, round(sum(value), 4) AS sum, round(avg(value), 6) AS avg, min(value) AS min, max(value) AS max, round(stddev_samp(value), 6) AS stddev, round(var_samp(value), 3) AS variance, round(quantile_cont(value, 0.95), 6) AS p95
+SELECT name, k, count(*) AS count, round(sum(value), 4) AS sum, round(avg(value), 6) AS avg, min(value) AS min, max(value) AS max, round(stddev_samp(value), 6) AS stddev, round(var_samp(value), 8) AS variance, round(quantile_cont(value, 0.95), 6) AS p95
 FROM m, n WHERE us >= now - {12 * DAY} AND us < now - {2 * DAY} GROUP BY name, k""")
 def relative_query(spark, sf_dir):
     """From twelve to two days before the newest row, with all aggregates of a query."""
     v = F.col("value")
     aggregates = {
-        "count": F.count(v), "sum": F.round(F.sum(v), 4), "avg": F.round(F.avg(v), 6), "min": F.min(v), "max": F.max(v), "stddev": F.round(F.stddev_samp(v), 6), "variance": F.round(F.var_samp(v), 3), "p95": F.round(F.percentile(v, F.lit(0.95)), 6)}
+        "count": F.count(v), "sum": F.round(F.sum(v), 4), "avg": F.round(F.avg(v), 6), "min": F.min(v), "max": F.max(v), "stddev": F.round(F.stddev_samp(v), 6), "variance": F.round(F.var_samp(v), 8), "p95": F.round(F.percentile(v, F.lit(0.95)), 6)}
     return A.metric_query(metrics(spark, sf_dir), start_us=-12 * DAY, end_us=-2 * DAY, group_tags=("k",), aggregates=aggregates, now_us=newest_us(spark, sf_dir))
 
 
