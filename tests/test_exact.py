@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from tidemark.operators import scans
 from tidemark.operators import series as S
 
 
@@ -10,3 +11,22 @@ def test_a_whole_rate_is_not_cut_off_below(spark):
     df = spark.createDataFrame([("e", 0, 51.64), ("e", 1_088_000, 58.95)], "name string, us long, value double")
     got = S.counter_rates(df, ["us"], whole=True, scale=1_000_000).orderBy("us").collect()
     assert [r.rate for r in got] == [None, int((58.95 - 51.64) * 1e6 / 1.088)] and got[1].rate == 6718750
+
+
+def test_equal_places_follow_their_counters(spark):
+    """Rows of one place, as they come after a shuffle: each change is one row's, whatever the order they arrive in."""
+    rows = [("n", 1, 2.0, 0.0), ("n", 2, 8.0, 3.0), ("n", 2, 5.0, 3.0), ("n", 2, 4.0, 2.0), ("n", 2, 3.0, 1.0), ("n", 3, 9.0, 3.0)]
+    for part in (rows, rows[::-1]):
+        got = S.busy_percent(spark.createDataFrame(part, "name string, seq long, total double, idle double").coalesce(1), "idle", "total", "name", ["seq"]).orderBy("total").collect()
+        assert [r.busy for r in got] == [0.0, 0.0, 0.0, 0.0, 100.0, 100.0]
+
+
+def test_running_sums(spark):
+    rng = np.random.default_rng(1)
+    rows = [("ab"[i % 2], i, None if i % 11 == 0 else float(rng.integers(0, 9))) for i in range(300)]
+    want, upto = {}, {"a": 0.0, "b": 0.0}
+    for n, i, x in rows:
+        want[i] = upto[n] = upto[n] + (x or 0.0)
+    df = spark.createDataFrame(rows, "name string, at long, value double").repartition(5)
+    for wide in (1, 37, 10**6):
+        assert {r.at: r.total for r in scans.running_sums(df, ["name"], ["at"], {"total": F.col("value")}, wide).collect()} == want

@@ -110,6 +110,16 @@ def moments_before(df: DataFrame, by: list[str], order: list[str], value: str, s
     return rows.withColumns({"_n": n, "_mean": mean, "_m2": F.col("c_m2") + F.col("i_m2") + gap * gap * F.col("c_n") * share}).drop("_slice", "c_n", "c_mean", "c_m2", "i_n", "i_mean", "i_m2")
 
 
+def running_sums(df: DataFrame, by: list[str], order: list[str], sums: dict[str, Column], slice_us: int = SLICE_US) -> DataFrame:
+    """Adds the sums, under their names, over the rows up to each."""
+    rows = sliced(df, order[0], slice_us).withColumns({f"_x_{n}": c.cast("double") for n, c in sums.items()})
+    names = list(sums)
+    rows = entering(rows, by, {n: F.sum(f"_x_{n}") for n in names}, lambda left, row: {f"_c_{n}": (row[n] or 0.0) + (left[f"_c_{n}"] if left else 0.0) for n in names}, {f"_c_{n}": "double" for n in names})
+    w, zero = window(by, order).rowsBetween(W.unboundedPreceding, 0), F.lit(0.0)
+    rows = rows.withColumns({n: F.coalesce(f"_c_{n}", zero) + F.coalesce(F.sum(f"_x_{n}").over(w), zero) for n in sums})
+    return rows.drop("_slice", *[f"{p}{n}" for n in sums for p in ("_x_", "_c_")])
+
+
 def runs(df: DataFrame, by: list[str], order: list[str], on: Column, hold_us: int, slice_us: int = SLICE_US) -> DataFrame:
     """Adds ``_on``, ``_fires`` and ``_was``: whether a row's condition holds, whether its run has then held ``hold_us`` since its
     first row (never on that row), and whether the run before its own came to that."""
