@@ -1,10 +1,12 @@
 """Results that have to be exact beyond small tables: whole rates, ties of an order, quantiles, dense moving windows, large stream states."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tidemark.operators import scans, sketches, triggers
+from tidemark.operators import graphs, scans, sketches, triggers
 from tidemark.operators import series as S
+from tidemark.streaming import jobs, timers
 
 
 def test_a_whole_rate_is_not_cut_off_below(spark):
@@ -69,3 +71,32 @@ def test_dense_frames_against_plain_ones(spark):
         assert np.isclose(steep[i].change, want, rtol=1e-6, atol=1e-9)
     for out in (triggers.moving(df, "name", 50), triggers.moving_at_most(df, "name", ["us", "row_id"], 50, 5), triggers.slopes(df, "name", 50, 1.0)):
         assert "RangeFrame" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_export_batches_put_only_the_newest_slices_in_order(spark):
+    rng = np.random.default_rng(5)
+    day = scans.SLICE_US
+    rows = [("ab"[i % 2], None if i % 50 == 0 else int(rng.integers(0, 40)) * day + int(rng.integers(0, 5)), i) for i in range(600)] + [("c", None, i) for i in range(3)] + [(None, 7, 1), (None, None, 2)]
+    df = spark.createDataFrame(rows, "service string, us long, id long")
+    for queue in (20, 280, 1000):
+        want = set()
+        for s in ("a", "b", "c", None):
+            newest = sorted([r for r in rows if r[0] == s], key=lambda r: (r[1] is not None, r[1] or 0, r[2]))[-queue:]
+            want |= {(s, r[2], i // 10) for i, r in enumerate(newest)}
+        out = graphs.export_batches(df, ["us", "id"], "service", 10, queue)
+        assert {(r.service, r.id, r.batch) for r in out.collect()} == want
+    assert "_oldest" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_stream_states_of_equal_times_follow_their_number(spark, tmp_path):
+    rows = [("x", 10, 3, True), ("x", 10, 2, False), ("x", 10, 1, True), ("x", 5, 9, True), ("x", 20, 4, None)]
+    spark.createDataFrame(rows, "name string, us long, id long, met boolean").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("name string, us long, id long, met boolean").parquet(str(tmp_path / "in"))
+    got = jobs.run_available(jobs.alert_states(stream, "name", "us", "met", 0, "id"), str(tmp_path / "out"))
+    assert sorted((r.us, r.state) for r in got.collect()) == [(5, "pending"), (10, "firing"), (10, "pending"), (10, "resolved"), (20, "inactive")]
+
+
+def test_waiting_rows_take_few_bytes():
+    rows = pa.table({"_0": np.arange(100_000) * 3_000_017, "_1": np.arange(100_000), "_2": [None, True] * 50_000, "_3": ["a", None] * 50_000})
+    kept = timers._packed(rows)
+    assert timers._unpacked(kept).equals(rows) and len(kept) < 20 * len(rows)

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.folders import checkpointed
+from .scans import SLICE_US
 
 STATUS = ("healthy", "degraded", "unhealthy")
 
@@ -137,5 +138,10 @@ def self_time(spans: DataFrame) -> DataFrame:
 
 def export_batches(spans: DataFrame, order: list[str], by: str, size: int = 100, queue: int = 2048) -> DataFrame:
     """The newest ``queue`` spans of each ``by`` with their batch number, oldest first."""
+    slice_ = F.floor(F.col(order[0]) / SLICE_US)  # the rows of the newest slices that hold the queue are put in order, not all rows
+    cells = spans.groupBy(F.col(by).alias("_by"), slice_.alias("_at")).agg(F.count("*").alias("_n"))
+    newer = F.coalesce(F.sum("_n").over(W.partitionBy("_by").orderBy(F.desc_nulls_last("_at")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    oldest = cells.withColumn("_newer", newer).where(F.col("_newer") < queue).groupBy("_by").agg(F.min("_at").alias("_oldest"), F.max(F.col("_at").isNull()).alias("_all"))
+    spans = spans.join(oldest, F.col(by).eqNullSafe(F.col("_by"))).where(F.col("_all") | (slice_ >= F.col("_oldest"))).drop("_by", "_oldest", "_all")
     newest = spans.withColumn("_r", F.row_number().over(W.partitionBy(by).orderBy(*[F.desc(c) for c in order]))).where(F.col("_r") <= queue).drop("_r")
     return newest.withColumn("batch", F.floor((F.row_number().over(W.partitionBy(by).orderBy(*order)) - 1) / size))
