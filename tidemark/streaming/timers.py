@@ -6,10 +6,18 @@ import json
 from collections.abc import Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.scans import ARROW
+
+#: Rows that are Python values at once; all others of a key are Arrow columns.
+CHUNK = 10_000
+
 
 class Machine(Protocol):
     """What is kept of one key, as JSON values, and what rows and deadlines do to it."""
@@ -20,7 +28,7 @@ class Machine(Protocol):
     def fire(self, kept: dict, at: int) -> Iterator[tuple]:
         """Passes the deadline; yields result rows."""
 
-    def row(self, kept: dict, at: int, values: list) -> Iterator[tuple]:
+    def row(self, kept: dict, at: int, values: tuple) -> Iterator[tuple]:
         """Takes a row; yields result rows."""
 
 
@@ -39,42 +47,59 @@ def folded(stream: DataFrame, key: str, order: list[str], columns: list[str], ma
     """
 
     def run(keys: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        kept, waiting = json.loads(state.get[0]) if state.exists else ({}, [])
-        for batch in batches:
-            waiting += [[int(r[0]), *map(_plain, r[1:])] for r in batch.itertuples(index=False, name=None)]
+        kept, waiting = (json.loads(state.get[0]), _unpacked(state.get[1])) if state.exists else ({}, held_schema.empty_table())
+        waiting = pa.concat_tables([waiting, *(pa.Table.from_pandas(b.set_axis(held_schema.names, axis=1), held_schema, preserve_index=False) for b in batches)])
         now = (state.getCurrentWatermarkMs() - 1) * 1000
-        waiting.sort(key=lambda r: [(v is not None, v) for v in r[: len(order)]])
         out: list[tuple] = []
 
         def pass_deadlines(upto: int) -> None:
             while (at := machine.due(kept)) is not None and at <= upto:
                 out.extend(machine.fire(kept, at))
 
-        ready = 0
-        while ready < len(waiting) and waiting[ready][0] <= now:
-            at, *values = waiting[ready]
-            pass_deadlines(at)
-            out.extend(machine.row(kept, at, values[len(order) - 1 :]))
-            ready += 1
+        if len(waiting) and pc.min(waiting.column(0)).as_py() <= now:
+            waiting = waiting.take(pc.sort_indices(waiting, [(n, "ascending") for n in held_schema.names[: len(order)]], null_placement="at_start"))
+            ready = int(np.searchsorted(waiting.column(0).to_numpy(), now, "right"))
+            for i in range(0, ready, CHUNK):
+                part = waiting.slice(i, min(CHUNK, ready - i))
+                for at, values in zip(part.column(0).to_pylist(), zip(*(c.to_pylist() for c in part.columns[len(order) :]), strict=True), strict=True):
+                    pass_deadlines(at)
+                    out.extend(machine.row(kept, at, values))
+                if len(out) >= CHUNK:
+                    yield _frame(keys[0], out, names)
+                    out.clear()
+            waiting = waiting.slice(ready)
         pass_deadlines(now)
-        waiting = waiting[ready:]
-        nexts = [t for t in (machine.due(kept), waiting[0][0] if waiting else None) if t is not None]
-        if kept or waiting:
-            state.update((json.dumps((kept, waiting)),))
+        nexts = [t for t in (machine.due(kept), pc.min(waiting.column(0)).as_py()) if t is not None]
+        if kept or len(waiting):
+            state.update((json.dumps(kept), _packed(waiting)))
             if nexts:
                 state.setTimeoutTimestamp(max(-(-min(nexts) // 1000), state.getCurrentWatermarkMs() + 1))
         elif state.exists:
             state.remove()
-        yield pd.DataFrame([(keys[0], *row) for row in out], columns=names)
+        yield _frame(keys[0], out, names)
 
     names = ["key", *[c.split()[0] for c in schema.split(",")]]
     held = [F.col(c).alias(f"_{i}") for i, c in enumerate([*order, *columns])]
     rows = stream.withWatermark("ts", f"{late_ms} milliseconds").select("ts", F.col(key).cast("string").alias("key"), *held)
-    return rows.groupBy("key").applyInPandasWithState(_without_ts(run, [f"_{i}" for i in range(len(held))]), f"key string, {schema}", "kept string", "append", "EventTimeTimeout")
+    kinds = dict(rows.dtypes)
+    held_schema = pa.schema([(f"_{i}", ARROW[kinds[f"_{i}"]]) for i in range(len(held))])
+    return rows.groupBy("key").applyInPandasWithState(_without_ts(run, [f"_{i}" for i in range(len(held))]), f"key string, {schema}", "kept string, waiting binary", "append", "EventTimeTimeout")
+
+
+def _frame(key: str, rows: list[tuple], names: list[str]) -> pd.DataFrame:
+    return pd.DataFrame([(key, *row) for row in rows], columns=names)
+
+
+def _packed(rows: pa.Table) -> bytes:
+    """Waiting rows as a compressed Arrow stream: a row takes a few bytes in the state, not a text."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(rows)
+    return sink.getvalue().to_pybytes()
 
 
-def _plain(v):
-    return v.item() if hasattr(v, "item") else v
+def _unpacked(kept: bytes) -> pa.Table:
+    return pa.ipc.open_stream(bytes(kept)).read_all()
 
 
 def _without_ts(run, columns: list[str]):
@@ -115,7 +140,7 @@ class GroupTimer:
             kept["send"] += self.interval_us
             yield at, len(kept["members"]), sum(m["resolved"] is None for m in kept["members"].values())
 
-    def row(self, kept: dict, at: int, values: list) -> Iterator[tuple]:
+    def row(self, kept: dict, at: int, values: tuple) -> Iterator[tuple]:
         fingerprint, firing = values
         if not kept:
             kept.update(members={}, send=at + self.wait_us)
@@ -141,7 +166,7 @@ class CacheTimer:
         kept.clear()
         return iter(())
 
-    def row(self, kept: dict, at: int, values: list) -> Iterator[tuple]:
+    def row(self, kept: dict, at: int, values: tuple) -> Iterator[tuple]:
         id_, state = values
         if not kept:
             kept.update(first=at, state=None if self.compat else state)
@@ -177,7 +202,7 @@ class StateTimer:
         else:
             kept.clear()
 
-    def row(self, kept: dict, at: int, values: list) -> Iterator[tuple]:
+    def row(self, kept: dict, at: int, values: tuple) -> Iterator[tuple]:
         met, state = bool(values[0]), kept.get("state", "inactive")
         since = kept.get("since", at)
         new = state
