@@ -97,3 +97,14 @@ def test_a_group_is_sent_without_further_rows_and_forgotten():
     assert list(machine.fire(kept, machine.due(kept))) == [(10, 1, 1)] and list(machine.fire(kept, machine.due(kept))) == [(30, 1, 1)]
     list(machine.row(kept, 32, ["x", False]))
     assert list(machine.fire(kept, machine.due(kept))) == [(50, 1, 0)] and machine.due(kept) == 57 and list(machine.fire(kept, 57)) == [] and kept == {}
+
+
+def test_timed_flushes_read_their_rows_once(spark):
+    """The rows, the stretches and the sends are each worked out once, and stretches meet their own life only."""
+    df = spark.range(400).select((F.col("id") * 7 * SECOND).alias("us"), "id", F.lit("k").alias("k"), (F.col("id") % 3).cast("string").alias("f"), (F.col("id") % 40 < 5).alias("firing"))
+    got = alerts.timed_flushes(df, "k", "f", ["us", "id"], "firing", 30 * SECOND, 60 * SECOND, 15 * SECOND, 10**18, 100 * SECOND)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Range" not in plan and not any(" < _stop" in line or "_stop#" in line for line in plan.splitlines() if "Join" in line)
+    machine = timers.GroupTimer(30 * SECOND, 60 * SECOND, 15 * SECOND)
+    rows = [(r.us, r.id, r.k, r.f, r.firing) for r in df.collect()]
+    assert sorted(tuple(r) for r in got.collect()) == straight(rows, machine, lambda r: [r[3], r[4]], 10**18)

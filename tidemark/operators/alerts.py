@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.folders import checkpointed
 from ..functions.labels import label, message
 from .scans import SLICE_US, entering, last_known, passing, pieces, runs, sliced
-from .series import with_previous
+from .series import with_neighbours
 from .similarity import entries, expanded, reachable, same_entry, sides, similar_rows
 
 SILENCES = 10_000
@@ -262,21 +262,21 @@ def timed_flushes(rows: DataFrame, group: str, fingerprint: str, order: list[str
     by the number of the send.
     """
     us, on, key = order[0], F.coalesce(F.col(firing), F.lit(False)), "key"
-    r = rows.select(F.col(group).cast("string").alias(key), F.col(fingerprint).alias("_f"), *order, on.alias("_on")).withColumn("_by", F.struct(key, "_f"))
-    r = with_previous(with_previous(r, "_by", order, [us, "_on"], slice_us), "_by", order, [us], slice_us, ahead="following")
+    r = rows.select(F.col(group).cast("string").alias(key), F.col(fingerprint).alias("_f"), *order, on.alias("_on"))
+    r = with_neighbours(r, [key, "_f"], order, [us, "_on"], slice_us)
     ever = F.lit((1 << 62))
     end = F.coalesce(F.col(f"following.{us}"), ever)
     leave = F.when(F.col("_on"), end).otherwise(F.least(end, F.col(us) + resolve_us))
     fresh = F.col("previous").isNull() | (~F.col("previous._on") & (F.col(us) >= F.col(f"previous.{us}") + resolve_us))
-    r = r.select(key, "_f", *order, "_on", leave.alias("_leave"), end.alias("_end"), F.when(fresh, F.col(us)).alias("_fresh"))
+    r = checkpointed(r.select(key, "_f", *order, "_on", leave.alias("_leave"), end.alias("_end"), F.when(fresh, F.col(us)).alias("_fresh")))
     r = last_known(r, [key, "_f"], order, F.col("_fresh"), "_start", slice_us)
-    stretches = r.groupBy(key, "_f", "_start").agg(F.max("_leave").alias("_leave")).select(key, "_start", "_leave")
-    lives = _lives(stretches, key, slice_us)
-    sends = lives.withColumn("_n", F.floor((F.least(F.col("_stop") - 1, F.lit(until_us)) - F.col("_first") - wait_us) / interval_us)).where("_n >= 0")
+    stretches = checkpointed(_lives(r.groupBy(key, "_f", "_start").agg(F.max("_leave").alias("_leave")).select(key, "_start", "_leave"), key, slice_us))
+    lives = stretches.groupBy(key, "_first").agg(F.max("_leave").alias("_stop"))
+    sends = checkpointed(lives.withColumn("_n", F.floor((F.least(F.col("_stop") - 1, F.lit(until_us)) - F.col("_first") - wait_us) / interval_us)).where("_n >= 0"))
 
     def numbers(df: DataFrame, begin: str, last: Column, name: str) -> DataFrame:
-        """From which send on a stretch counts, and from which no more."""
-        at = df.join(sends, key).where((F.col(begin) >= F.col("_first")) & (F.col(begin) < F.col("_stop")))
+        """From which send of its life on a stretch counts, and from which no more."""
+        at = df.join(sends, [key, "_first"])
         low = F.greatest(F.floor((F.col(begin) - F.col("_first") - wait_us) / interval_us) + 1, F.lit(0))
         high = F.least(F.floor((last - F.col("_first") - wait_us) / interval_us), F.col("_n"))
         both = at.select(key, "_first", low.alias("_low"), high.alias("_high")).where("_low <= _high")
@@ -284,7 +284,8 @@ def timed_flushes(rows: DataFrame, group: str, fingerprint: str, order: list[str
         return both.select(key, "_first", cells.alias("c")).groupBy(key, "_first", F.col("c.i").alias("_i")).agg(F.sum("c.d").alias(name))
 
     size = numbers(stretches, "_start", F.col("_leave") - 1, "_size")
-    fires = numbers(r.where("_on").select(key, F.col(us).alias("_from"), "_end"), "_from", F.col("_end"), "_fires")
+    starts = stretches.select(key, "_start", "_first").distinct()  # stretches of a group that start together are of one life
+    fires = numbers(r.where("_on").select(key, "_start", F.col(us).alias("_from"), "_end").join(starts, [key, "_start"]), "_from", F.col("_end"), "_fires")
     each = sends.select(key, "_first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n"))).alias("_i"))
     steps = each.join(size, [key, "_first", "_i"], "left").join(fires, [key, "_first", "_i"], "left")
     upto = W.partitionBy(key, "_first").orderBy("_i").rowsBetween(W.unboundedPreceding, 0)
@@ -292,14 +293,14 @@ def timed_flushes(rows: DataFrame, group: str, fingerprint: str, order: list[str
 
 
 def _lives(stretches: DataFrame, key: str, slice_us: int) -> DataFrame:
-    """``key, _first, _stop`` of the unions of overlapping stretches (those that only touch stay apart)."""
+    """The stretches with ``_first``, when the union of overlapping stretches begins that each is part of (those that only touch stay apart)."""
     rows = sliced(stretches, "_start", slice_us)
     w = W.partitionBy(key, "_slice").orderBy("_start", "_leave")
     rows = rows.withColumn("_inner", F.max("_leave").over(w.rowsBetween(W.unboundedPreceding, -1)))
     rows = entering(rows, [key], {"reach": F.max("_leave")}, lambda left, row: {"_reach": max(row["reach"], left["_reach"]) if left else row["reach"]}, {"_reach": "long"})
     far = F.greatest("_inner", "_reach")
     rows = rows.select(key, "_start", "_leave", F.when(far.isNull() | (F.col("_start") >= far), F.col("_start")).alias("_new"))
-    return last_known(rows, [key], ["_start", "_leave"], F.col("_new"), "_first", slice_us).groupBy(key, "_first").agg(F.max("_leave").alias("_stop"))
+    return last_known(rows, [key], ["_start", "_leave"], F.col("_new"), "_first", slice_us).drop("_new")
 
 
 def cached(rows: DataFrame, by: list[str], order: list[str], state: str, keep_us: int, compat: bool = False, slice_us: int = SLICE_US) -> DataFrame:
