@@ -94,6 +94,20 @@ def test_a_key_with_most_rows_is_spread(spark):
     assert sorted(out.columns) == ["id", "k", "top"]
 
 
+def test_nothing_is_broadcast_by_an_estimate(spark, monkeypatch):
+    """Anchors that a fingerprint visits, components of all documents and keys beyond the counted number are shuffled, however low Spark sizes them."""
+    monkeypatch.setattr(common, "HOT_KEYS", 20)
+    prints = spark.range(3000).select(F.xxhash64("id").alias("p"))
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("some own words "), "id").alias("text"))
+    keyed = spark.range(300).select("id", (F.col("id") % 30).alias("k"))
+    spread = common.spread_join(keyed, keyed.groupBy("k").agg(F.count("*").alias("n")), "k", "n", "id")
+    for df in (simhash.near_prints(prints, "p"), spread, simhash.with_components(docs), simhash.drop_near_duplicates(docs)):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        kinds = [line for line in plan.splitlines() if "HashJoin" in line or "SortMergeJoin" in line]
+        assert any("SortMergeJoin" in k for k in kinds) and all("LeftOuter" in k for k in kinds if "Broadcast" in k)  # the counted hot keys
+
+
 def test_hot_roots_and_prints(spark, monkeypatch):
     monkeypatch.setattr(common, "HOT", 100)
     star = spark.createDataFrame([(0, i) for i in range(1, 2000)] + [(5000 + i, 5001 + i) for i in range(60)], "x long, y long")

@@ -112,14 +112,17 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, count: str, spread:
 
     Rows of a key with over ``most`` (by default ``HOT``) rows are dealt by the column ``spread`` over as many tasks as they need. Such keys
     are at most a ``most``-th of the rows; they are broadcast if they are counted as ``HOT_KEYS`` or fewer, else Spark picks the join
-    (and may split it, as its other side has one row a key). ``right`` is read three times: it should be a checkpoint.
+    (and may split it, as its other side has one row a key). ``right`` itself may be broadcast up to as many rows only: its few bytes a row
+    are ten times as many in a broadcast. It is read three times: it should be a checkpoint.
     """
     most, salt, salts = most or HOT, fresh(left, "salt"), fresh(left, "salts")
     right = right.withColumn(salts, F.greatest(F.ceil(F.col(count) / most), F.lit(1)).cast("int"))
     hot = right.where(F.col(count) > most).select(key, salts)
-    hot = F.broadcast(hot) if hot.count() <= HOT_KEYS else hot
+    rows, many = right.agg(F.count("*"), F.count_if(F.col(count) > most)).first()
+    hot = F.broadcast(hot) if many <= HOT_KEYS else hot
     dealt = left.join(hot, key, "left").withColumn(salt, F.pmod(F.xxhash64(spread), F.coalesce(salts, F.lit(1))).cast("int")).drop(salts)
-    return dealt.join(right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.col(salts) - 1))), [key, salt]).drop(salt, salts, count)
+    right = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.col(salts) - 1)))
+    return dealt.join(right if rows <= HOT_KEYS else right.hint("merge"), [key, salt]).drop(salt, salts, count)
 
 
 def range_cuts(df: DataFrame, key: str, pieces: int, per_piece: int = 32) -> list[int]:

@@ -116,6 +116,7 @@ def near_prints(prints: DataFrame, col: str) -> DataFrame:
     A fingerprint has one home anchor and visits every anchor within covering radius plus threshold (about 61); if two
     fingerprints are near, the larger visits the smaller's home, and each pair is compared there once. A fingerprint has
     at most 2,080 neighbours, whatever the number of documents, so the result grows with the distinct fingerprints.
+    Spark takes the visits for as many rows as came in, and would broadcast them; the hint forbids that.
     """
 
     def homes(batches):
@@ -138,7 +139,7 @@ def near_prints(prints: DataFrame, col: str) -> DataFrame:
     left = one.mapInArrow(homes, "anchor long, a long")
     right = one.mapInArrow(visits, "anchor long, b long")
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= LINK)
-    return left.join(right, (left.anchor == right.anchor) & near).select("a", "b")
+    return left.join(right.hint("merge"), (left.anchor == right.anchor) & near).select("a", "b")
 
 
 def with_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -151,7 +152,7 @@ def with_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     prints = checkpointed(df.select(F.col(id_col).alias("doc_id"), simhash(F.col(text_col)).alias("print")))
     nodes = prints.groupBy("print").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"))
     roots = connected_components(near_prints(nodes, "print"), "a", "b")
-    known = nodes.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
+    known = nodes.join(roots.withColumnRenamed("node", "print").hint("merge"), "print", "left").withColumn("root", F.coalesce("root", "print"))
     least = known.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("prints"))
     named = checkpointed(spread_join(known, least, "root", "prints", "print").select("print", "component_id", "rows"))
     return spread_join(prints, named, "print", "rows", "doc_id").select("doc_id", "print", "component_id")
@@ -164,5 +165,5 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     name = fresh(df, "kept")
     kept = with_components(df, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
-    stay = df.join(kept, F.col(id_col) == F.col(name), "left_semi")
+    stay = df.join(kept.hint("merge"), F.col(id_col) == F.col(name), "left_semi")  # as many ids as documents, nearly
     return stay.dropDuplicates([id_col]).unionByName(df.where(F.col(id_col).isNull()))
