@@ -72,6 +72,22 @@ def test_batches_and_lateness_change_nothing(spark, tmp_path, rows, stream, name
     assert sorted(tuple(r) for r in out.collect()) == want and len(want) > 20
 
 
+@pytest.mark.parametrize("buckets", [1, 2])
+def test_a_call_folds_the_keys_of_a_bucket(spark, tmp_path, rows, stream, monkeypatch, buckets):
+    """Keys share calls and state, null and "null" among them; chunks of few rows."""
+    monkeypatch.setattr(timers, "BUCKETS", buckets)
+    monkeypatch.setattr(timers, "CHUNK", 7)
+    machine, columns, pick = MACHINES["cache"]
+    until = timers.horizon_us(max(r[0] for r in rows), LATE_MS)
+    odd = {"a": None, "b": "null", "c": "c"}
+    s = stream().withColumn("k", F.when(F.col("k") == "b", "null").when(F.col("k") == "c", "c"))
+    df = timers.folded(s, "k", ["us", "id"], columns, machine, machine.SCHEMA, LATE_MS)
+    assert "bucket" in df._jdf.queryExecution().analyzed().toString()
+    out = jobs.run_available(df, str(tmp_path))
+    want = [(odd[k], *r) for k, *r in straight(rows, machine, pick, until)]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+
+
 def test_batch_forms(spark, rows):
     until = timers.horizon_us(max(r[0] for r in rows), LATE_MS)
     df = spark.createDataFrame(rows, "us long, id long, k string, f string, firing boolean").withColumn("state", F.when(F.col("firing"), "firing").otherwise("resolved"))

@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from ..operators.scans import ARROW
 
-#: Rows that are Python values at once; all others of a key are Arrow columns.
+#: Rows that are Python values at once; all others of a bucket are Arrow columns.
 CHUNK = 10_000
+#: Buckets of keys: a call of the fold takes milliseconds, and most keys have few rows. It is part of a stream's state and so can't change while one lives.
+BUCKETS = 1024
 
 
 class Machine(Protocol):
@@ -43,51 +45,55 @@ def folded(stream: DataFrame, key: str, order: list[str], columns: list[str], ma
     Rows wait until the watermark, ``late_ms`` behind the newest row, has passed them, and are then taken in ``order``, the
     machine sees their ``columns``; a deadline at or before a row's time comes first. So results don't depend on how rows are cut into
     batches, and deadlines pass as time goes on, with or without rows of the key. Between batches a key keeps what its machine
-    keeps and its waiting rows; a key whose machine has nothing left to keep is forgotten.
+    keeps and its waiting rows; a key whose machine has nothing left to keep is forgotten. One state holds the keys of a bucket.
     """
 
     def run(keys: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        kept, waiting = (json.loads(state.get[0]), _unpacked(state.get[1])) if state.exists else ({}, held_schema.empty_table())
+        kept, waiting = (dict(json.loads(state.get[0])), _unpacked(state.get[1])) if state.exists else ({}, held_schema.empty_table())
         waiting = pa.concat_tables([waiting, *(pa.Table.from_pandas(b.set_axis(held_schema.names, axis=1), held_schema, preserve_index=False) for b in batches)])
         now = (state.getCurrentWatermarkMs() - 1) * 1000
         out: list[tuple] = []
 
-        def pass_deadlines(upto: int) -> None:
-            while (at := machine.due(kept)) is not None and at <= upto:
-                out.extend(machine.fire(kept, at))
+        def pass_deadlines(name: str | None, one: dict, upto: int) -> None:
+            while (at := machine.due(one)) is not None and at <= upto:
+                out.extend((name, *r) for r in machine.fire(one, at))
 
         if len(waiting) and pc.min(waiting.column(0)).as_py() <= now:
             waiting = waiting.take(pc.sort_indices(waiting, [(n, "ascending") for n in held_schema.names[: len(order)]], null_placement="at_start"))
             ready = int(np.searchsorted(waiting.column(0).to_numpy(), now, "right"))
             for i in range(0, ready, CHUNK):
                 part = waiting.slice(i, min(CHUNK, ready - i))
-                for at, values in zip(part.column(0).to_pylist(), zip(*(c.to_pylist() for c in part.columns[len(order) :]), strict=True), strict=True):
-                    pass_deadlines(at)
-                    out.extend(machine.row(kept, at, values))
+                for at, name, values in zip(part.column(0).to_pylist(), part.column(len(order)).to_pylist(), zip(*(c.to_pylist() for c in part.columns[len(order) + 1 :]), strict=True), strict=True):
+                    one = kept.setdefault(name, {})
+                    pass_deadlines(name, one, at)
+                    out.extend((name, *r) for r in machine.row(one, at, values))
                 if len(out) >= CHUNK:
-                    yield _frame(keys[0], out, names)
+                    yield _frame(out, names)
                     out.clear()
             waiting = waiting.slice(ready)
-        pass_deadlines(now)
-        nexts = [t for t in (machine.due(kept), pc.min(waiting.column(0)).as_py()) if t is not None]
+        for name, one in kept.items():
+            pass_deadlines(name, one, now)
+        kept = {name: one for name, one in kept.items() if one}
+        nexts = [t for t in (*map(machine.due, kept.values()), pc.min(waiting.column(0)).as_py()) if t is not None]
         if kept or len(waiting):
-            state.update((json.dumps(kept), _packed(waiting)))
+            state.update((json.dumps(list(kept.items())), _packed(waiting)))
             if nexts:
                 state.setTimeoutTimestamp(max(-(-min(nexts) // 1000), state.getCurrentWatermarkMs() + 1))
         elif state.exists:
             state.remove()
-        yield _frame(keys[0], out, names)
+        yield _frame(out, names)
 
     names = ["key", *[c.split()[0] for c in schema.split(",")]]
-    held = [F.col(c).alias(f"_{i}") for i, c in enumerate([*order, *columns])]
-    rows = stream.withWatermark("ts", f"{late_ms} milliseconds").select("ts", F.col(key).cast("string").alias("key"), *held)
+    text = F.col(key).cast("string")
+    held = [c.alias(f"_{i}") for i, c in enumerate([*map(F.col, order), text, *map(F.col, columns)])]
+    rows = stream.withWatermark("ts", f"{late_ms} milliseconds").select("ts", F.pmod(F.xxhash64(text), F.lit(BUCKETS)).cast("int").alias("bucket"), *held)
     kinds = dict(rows.dtypes)
     held_schema = pa.schema([(f"_{i}", ARROW[kinds[f"_{i}"]]) for i in range(len(held))])
-    return rows.groupBy("key").applyInPandasWithState(_without_ts(run, [f"_{i}" for i in range(len(held))]), f"key string, {schema}", "kept string, waiting binary", "append", "EventTimeTimeout")
+    return rows.groupBy("bucket").applyInPandasWithState(_without_ts(run, [f"_{i}" for i in range(len(held))]), f"key string, {schema}", "kept string, waiting binary", "append", "EventTimeTimeout")
 
 
-def _frame(key: str, rows: list[tuple], names: list[str]) -> pd.DataFrame:
-    return pd.DataFrame([(key, *row) for row in rows], columns=names)
+def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=names)
 
 
 def _packed(rows: pa.Table) -> bytes:
